@@ -25,3 +25,75 @@ def op6_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame
     from siftwright.llm.packing import pack_documents
 
     return pack_documents(spark, documents(spark, sf_dir))
+
+
+@query
+def op1_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.langid import identify
+
+    return identify(spark, documents(spark, sf_dir))
+
+
+@query
+def op2_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.lzprint import fingerprints
+
+    return fingerprints(spark, documents(spark, sf_dir))
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.decontam import contamination
+
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document after repeated lines go, as a digest, with the spans that went."""
+    from pyspark.sql import functions as F
+
+    from siftwright.llm.linededup import dedup_units
+
+    out = dedup_units(documents(spark, sf_dir))
+    return out.select("doc_id", "n_units", "n_removed", "spans", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op3_benchmark_decontamination"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM documents),
+     i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM benchmark),
+     g AS (SELECT DISTINCT item_id, least(len(words), 10) AS n, unnest([array_to_string(words[p : p + 9], ' ') FOR p IN range(1, greatest(1, len(words) - 9) + 1)]) AS gram FROM i WHERE len(words) > 0),
+     lengths AS (SELECT DISTINCT n FROM g),
+     places AS (SELECT doc_id, n, unnest(range(1, len(words) - n + 2)) AS p, words FROM w, lengths WHERE len(words) >= n),
+     hit AS (SELECT doc_id, p, n, item_id FROM (SELECT doc_id, p, n, array_to_string(words[p : p + n - 1], ' ') AS gram FROM places) JOIN g USING (n, gram)),
+     per_word AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+     per_item AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN per_word USING (doc_id) LEFT JOIN per_item USING (doc_id)
+"""
+
+ORACLE_SQL["op9_line_dedup"] = r"""
+WITH lines AS (
+       SELECT doc_id, k, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS start,
+              trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\x0B\f\r ]+', ' ', 'g')) AS unit
+       FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents)),
+     judged AS (SELECT *, CASE WHEN len(string_split(unit, ' ')) >= 5 THEN row_number() OVER (PARTITION BY unit ORDER BY doc_id, k) > 1 ELSE false END AS gone FROM lines)
+SELECT d.doc_id, CASE WHEN any_value(d.text) IS NULL THEN 0 ELSE count(*) END AS n_units, count(*) FILTER (gone) AS n_removed,
+       coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT), ',' ORDER BY k) FILTER (gone), '') AS spans,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged j JOIN documents d ON d.doc_id = j.doc_id GROUP BY d.doc_id
+"""
+
+
+@query
+def op4_nested_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.secretscan import find_secrets
+
+    return find_secrets(documents(spark, sf_dir))
+
+
+@query
+def op7_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.pii import find_pii
+
+    return find_pii(documents(spark, sf_dir))
