@@ -113,3 +113,10 @@ def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwright.llm.toxicity import score_toxicity
 
     return score_toxicity(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op10_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.jaccardjoin import linked_groups
+
+    return linked_groups(spark, documents(spark, sf_dir))
