@@ -120,3 +120,10 @@ def op10_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwright.llm.jaccardjoin import linked_groups
 
     return linked_groups(spark, documents(spark, sf_dir))
+
+
+@query
+def op8_suffix_array_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.suffixfamily import dedup_substrings
+
+    return dedup_substrings(spark, documents(spark, sf_dir))
