@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwright.llm import decontam, jaccardjoin, packing, pii, toxicity
 from siftwright.llm.common import ship
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
@@ -20,11 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, linked by the n-gram Jaccard join, the document of the least id."""
+    """Of each group of near duplicates, linked by the n-gram Jaccard join, the document of the least id; of repeated rows one."""
     ship(spark)
     groups = jaccardjoin.linked_groups(spark, docs)
     kept = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
+    return docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
