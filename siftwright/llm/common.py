@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -19,9 +20,12 @@ CHUNK_BYTES = 1 << 21
 def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and cut from its lineage.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests) a local one is used.
+    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests) a local one is used. Shuffle files
+    of steps before that nothing refers to any more are let go first, which Spark does when the driver collects its garbage.
     """
     sc = spark.sparkContext
+    gc.collect()
+    sc._jvm.System.gc()
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

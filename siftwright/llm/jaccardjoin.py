@@ -7,14 +7,17 @@ is replicated to the regions of its first n - ceil((1 - t) * n) + 1 shingles and
 Shingles that very many documents hold come late in the order, so that common passages open no regions of their own.
 
 Regions with the same members are one. Within a region, documents run in order of size with a window on the size ratio; counts of
-shingles by hash part bound the symmetric difference from below, and what passes is verified on the whole sets. A large region is joined
+shingles by hash part, coarse at first and finer for pairs that pass, bound the symmetric difference from below, and what is left is
+verified on the whole sets. A large region is joined
 recursively: documents are compared with leaders first, the links that hold are merged, and only then do pairs that are still in different
 groups meet. Equal sets are one node from the start, so copies cost no pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from siftwright.llm.common import checkpoint, chunks, mix64, text_buffer
 from siftwright.llm.components import components
 from siftwright.llm.lzprint import powers
+from siftwright.llm.suffixfamily import bitmap, marked, slot_of
 
 WIDTH = 4
 #: Links have 100 * intersection >= LEAST * union.
@@ -92,26 +96,45 @@ def prefix_size(n: int, least: int = LEAST) -> int:
     return n - (least * n + 99) // 100 + 1 if n else 0
 
 
-def profile(shingles: np.ndarray) -> bytes:
+def profile(shingles: np.ndarray, parts: int = PARTS) -> bytes:
     """Counts of shingles by part of the hash space, up to 255."""
-    return np.minimum(np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def fine_parts(n: int) -> int:
+    """Parts of a profile that holds a few shingles each."""
+    return 1 << min(14, max(6, (n // 3).bit_length()))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """At least so many shingles are in one of two sets alone, by their fine profiles."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        if int(x.max()) == 255:  # a count that may be larger can't be summed
+            return 0
+        x = x.reshape(-1, len(y)).sum(0, dtype=np.int64)
+        y = y.astype(np.int64)
+        x = np.where((y == 255) & (x > 255), 255, x)
+    return int(np.abs(x.astype(np.int64) - y).sum())
 
 
 def described(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """(doc_id, n, digest, head, profile): head is the low shingles, or as many as the prefix has if those are more."""
+    """(doc_id, n, digest, head, profile, fine): head is the low shingles, or as many as the prefix has if those are more."""
     low = np.uint64(int(LOW * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, head, counts = [], [], [], []
+            n, digest, head, counts, fine = [], [], [], [], []
             for s in sets_of(batch, width):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 head.append(s[: max(int(np.searchsorted(s, low)), prefix_size(len(s), least))].tobytes())
                 counts.append(profile(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, head, counts))], ["doc_id", "n", "digest", "head", "profile"])
+                fine.append(profile(s, fine_parts(len(s))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, head, counts, fine))], ["doc_id", "n", "digest", "head", "profile", "fine"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, head binary, profile binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, head binary, profile binary, fine binary")
 
 
 def common_shingles(rows: DataFrame) -> np.ndarray:
@@ -246,27 +269,62 @@ def candidates(members: DataFrame, least: int, again: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
-    """Of pairs (a, b) of doc_ids, those whose sets link; the sets are made again from the texts of the documents that occur."""
+def refined(pairs: DataFrame, profiles: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) that the fine profiles (node, n, fine) of their sets leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets_of(batch, width)], pa.binary())], ["node", "shingles"])
+            keep = [
+                (100 + least) * apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (100 - least) * (n + m)
+                for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with_a = pairs.join(profiles.select(F.col("node").alias("a"), "n", F.col("fine").alias("x")), "a")
+    with_b = with_a.join(profiles.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
+    return with_b.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long").distinct()
+
+
+@functools.lru_cache(256)
+def packed_set(text: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(text), np.uint8)
+    return shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+
+
+def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
+    """Of pairs (a, b) of doc_ids, those whose whole sets link.
+
+    The texts of the documents that occur travel to the pairs, compressed, and their sets are made again there; which documents those are
+    a bitmap of bounded size tells before anything travels.
+    """
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(slot_of(batch.column("node").to_numpy()))], ["slot"])
+
+    wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")).mapInArrow(slots, "slot long").distinct())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("node").to_numpy()
+            keep = np.flatnonzero(marked(slot_of(ids), wanted))
+            raw, offsets = text_buffer(batch.column("text"))
+            texts = [zlib.compress(raw[offsets[k] : offsets[k + 1]].tobytes(), 1) for k in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(texts, pa.binary())], ["node", "packed"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = packed_set(x, width), packed_set(y, width)
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
                 keep.append(both > 0 and 100 * both >= least * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").mapInArrow(run, "node long, shingles binary")
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text").mapInArrow(send, "node long, packed binary")
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
+    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
     return with_b.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
@@ -282,16 +340,16 @@ def linked_groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, leas
     named = rows.filter("n > 0 and doc_id is not null")
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head"))
     members = checkpoint(spark, memberships(nodes, common_shingles(named), least))
-    profiles = named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "profile")
+    profiles = named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "profile", "fine")
     sizes = members.groupBy("region").agg(F.count("*").alias("size"))
-    full = members.join(sizes, "region").join(profiles, "node").withColumn("label", F.lit(0).cast("long"))
+    full = members.join(sizes, "region").join(profiles.drop("fine"), "node").withColumn("label", F.lit(0).cast("long"))
     pairs = checkpoint(spark, candidates(full, least, False))
-    links = checkpoint(spark, verified(pairs, own, width, least))
+    links = checkpoint(spark, verified(spark, checkpoint(spark, refined(pairs, profiles, least)), own, width, least))
     found = components(spark, links)
     large = full.filter(F.col("size") > SMALL).drop("label").join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    late = checkpoint(spark, candidates(large, least, True).join(pairs, ["a", "b"], "left_anti"))
+    late = checkpoint(spark, refined(candidates(large, least, True).join(pairs, ["a", "b"], "left_anti"), profiles, least))
     if not late.isEmpty():
-        found = components(spark, found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(verified(late, own, width, least)))
+        found = components(spark, found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(verified(spark, late, own, width, least)))
     classes = named.join(named.groupBy("digest").agg(F.min("doc_id").alias("node")), "digest").select("doc_id", "node")
     groups = classes.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
