@@ -27,8 +27,8 @@ from siftwright.llm.common import checkpoint, chunks, mix64, text_buffer
 from siftwright.llm.lzprint import powers
 
 LENGTH, GRAM = 100, 36
-#: Bytes hashed at a time, strings that make a batch of the index, bits of the bitmap of concerned documents.
-CHUNK, BATCH, BITS = 1 << 19, 100_000, 1 << 24
+#: Bytes hashed at a time, strings that make a batch of the index, notes that a task holds, bits of the bitmap of concerned documents.
+CHUNK, BATCH, FLUSH, BITS = 1 << 19, 100_000, 500_000, 1 << 24
 #: Stands for a null doc_id, before all others.
 NO_ID = -(2**63)
 
@@ -130,10 +130,6 @@ class SuffixFamily:
             self.levels.append(level)
 
 
-def in_shards(column: str, count: int):
-    return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
-
-
 def noted(found: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, payload) of notes, dealt by document."""
     bucket = (mix64(found["doc"].astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -144,12 +140,8 @@ def noted(found: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([pack({k: v[p] for k, v in found.items()}, NOTE) for p in parts], pa.binary())], ["bucket", "payload"])
 
 
-def bucket_of(doc: int, buckets: int) -> int:
-    return int(mix64(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(buckets))
-
-
 def records(docs: DataFrame, shards: int, length: int) -> DataFrame:
-    """(shard, payload) of the neighbourhoods of all documents; of equal ones in a batch of text only the first travels for others to find."""
+    """(shard, payload) of the neighbourhoods of all documents, by the hash at their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,47 +162,52 @@ def records(docs: DataFrame, shards: int, length: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, payload binary")
 
 
-def by_key(rows: DataFrame, key: str, parts: int, each: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """each(key, payloads) for every key of rows (key, payload)."""
+def by_key(rows: DataFrame, key: str, parts: int, buckets: int, each: Callable[[list[bytes]], Iterator[dict[str, np.ndarray]]]) -> DataFrame:
+    """Rows (bucket, payload) of the notes that each(key, payloads) finds for every key of rows (key, payload); few rows for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, found = None, [], []
+
+        def sent(all_of_it: bool) -> Iterator[pa.RecordBatch]:
+            if found and (all_of_it or sum(len(x["doc"]) for x in found) > FLUSH):
+                yield from noted({name: np.concatenate([x[name] for x in found]) for name, _ in NOTE}, buckets)
+                found.clear()
+
         for batch in batches:
             for k, payload in zip(batch.column(key).to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if k != at:
                     if held:
-                        yield from each(at, held)
+                        found.extend(each(held))
+                        yield from sent(False)
                     at, held = k, []
                 held.append(payload)
         if held:
-            yield from each(at, held)
+            found.extend(each(held))
+        yield from sent(True)
 
+    schema = "bucket int, payload binary"
     return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def classify(buckets: int) -> Callable:
+def classify(payloads: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
     """Notes of the neighbourhoods that repeat: WHOLE if an earlier one is equal, PART if others share the anchor alone."""
-
-    def each(_: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        r = unpack(payloads, RECORD)
-        keys, inverse, counts = np.unique(r["h"], return_inverse=True, return_counts=True)
-        some = np.flatnonzero(counts[inverse] > 1)
-        if not len(some):
-            return
-        r = {k: v[some] for k, v in r.items()}
-        order = np.lexsort((r["lo"], r["ver"], r["doc"], r["f"], r["h"]))
-        r = {k: v[order] for k, v in r.items()}
-        new_h = np.r_[True, r["h"][1:] != r["h"][:-1]]
-        new_f = new_h | np.r_[True, r["f"][1:] != r["f"][:-1]]
-        first = np.flatnonzero(new_f)[np.cumsum(new_f) - 1]
-        later = (r["doc"] != r["doc"][first]) | (r["ver"] != r["ver"][first]) | (r["lo"] != r["lo"][first])
-        kinds = np.add.reduceat(new_f, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
-        kind = np.where(later, WHOLE, np.where(kinds > 1, PART, 0)).astype(np.uint8)
-        keep = np.flatnonzero(kind)
-        if len(keep):
-            yield from noted({"doc": r["doc"][keep], "ver": r["ver"][keep], "lo": r["lo"][keep], "wide": r["wide"][keep].astype(np.int32), "kind": kind[keep]}, buckets)
-
-    return each
+    r = unpack(payloads, RECORD)
+    keys, inverse, counts = np.unique(r["h"], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(counts[inverse] > 1)
+    if not len(some):
+        return
+    r = {k: v[some] for k, v in r.items()}
+    order = np.lexsort((r["lo"], r["ver"], r["doc"], r["f"], r["h"]))
+    r = {k: v[order] for k, v in r.items()}
+    new_h = np.r_[True, r["h"][1:] != r["h"][:-1]]
+    new_f = new_h | np.r_[True, r["f"][1:] != r["f"][:-1]]
+    first = np.flatnonzero(new_f)[np.cumsum(new_f) - 1]
+    later = (r["doc"] != r["doc"][first]) | (r["ver"] != r["ver"][first]) | (r["lo"] != r["lo"][first])
+    kinds = np.add.reduceat(new_f, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
+    kind = np.where(later, WHOLE, np.where(kinds > 1, PART, 0)).astype(np.uint8)
+    keep = np.flatnonzero(kind)
+    if len(keep):
+        yield {"doc": r["doc"][keep], "ver": r["ver"][keep], "lo": r["lo"][keep], "wide": r["wide"][keep].astype(np.int32), "kind": kind[keep]}
 
 
 def bitmap(rows: DataFrame) -> np.ndarray:
@@ -244,7 +241,7 @@ def concerned(notes: DataFrame, kinds: tuple[int, ...]) -> np.ndarray:
 
 
 def meet(docs: DataFrame, notes: DataFrame, bits: np.ndarray, buckets: int, parts: int, each: Callable, schema: str) -> DataFrame:
-    """each(doc_id, ver, raw bytes, notes of it) for the documents that bits mark, next to the notes of their bucket."""
+    """each() over rows (doc_id, ver, raw bytes, notes of it) of the documents that bits mark, next to the notes of their bucket."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,10 +253,9 @@ def meet(docs: DataFrame, notes: DataFrame, bits: np.ndarray, buckets: int, part
                 texts = [zlib.compress(raw[offsets[k] : offsets[k + 1]].tobytes(), 1) for k in keep.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.ones(len(keep), np.int32)), pa.array(ids[keep]), pa.array(batch.column("ver").to_numpy()[keep]), pa.array(texts, pa.binary())], ["bucket", "part", "doc_id", "ver", "payload"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, n, order_key = None, [], None, None
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, held, n = None, [], None
         for batch in batches:
-            out = []
             for bucket, part, doc, ver, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "doc_id", "ver", "payload")), strict=True):
                 if bucket != at:
                     at, held, n = bucket, [], None
@@ -273,8 +269,10 @@ def meet(docs: DataFrame, notes: DataFrame, bits: np.ndarray, buckets: int, part
                 a, b = np.searchsorted(n["doc"], [doc, doc], "left")[0], np.searchsorted(n["doc"], doc, "right")
                 own = {k: v[a:b] for k, v in n.items()}
                 own = {k: v[own["ver"] == ver] for k, v in own.items()}
-                out.append((doc, ver, np.frombuffer(zlib.decompress(payload), np.uint8), own))
-            yield from each(out)
+                yield doc, ver, np.frombuffer(zlib.decompress(payload), np.uint8), own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(met(batches))
 
     sent = docs.mapInArrow(send, "bucket int, part int, doc_id long, ver int, payload binary")
     theirs = notes.select("bucket", F.lit(0).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("ver"), "payload")
@@ -297,26 +295,35 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
     one and have the same result. Other columns are ignored.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = buckets = max(64, 4 * parts)
+    shards, buckets = max(64, 2 * parts), max(64, parts)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("ver", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int"))
-    note_schema = "bucket int, payload binary"
-    notes = checkpoint(spark, by_key(records(own, shards, length), "shard", parts, classify(buckets), note_schema))
+    notes = checkpoint(spark, by_key(records(own, shards, length), "shard", parts, buckets, classify))
     partly, touched = concerned(notes, (PART,)), concerned(notes, (WHOLE, PART))
 
-    def contexts(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def contexts(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[tuple]] = {}
+        held = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for shard, own_rows in rows.items():
+                d, v, a, w, t = zip(*own_rows, strict=True)
+                head = pack({"doc": np.array(d, np.int64), "ver": np.array(v), "lo": np.array(a), "wide": np.array(w), "kind": np.full(len(d), PART)}, NOTE)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(d).to_bytes(4, "little") + head + b"".join(t)], pa.binary())], ["shard", "payload"])
+            rows.clear()
+
         for doc, ver, raw, n in found:
             part = n["kind"] == PART
             for lo, wide in zip(n["lo"][part].tolist(), n["wide"][part].tolist(), strict=True):
                 text = raw[lo : lo + wide + length]
-                rows.setdefault(int(anchor_shard(text, wide, shards, length)), []).append((doc, ver, lo, wide, text.tobytes()))
-        for shard, own_rows in rows.items():
-            d, v, a, w, t = zip(*own_rows, strict=True)
-            head = pack({"doc": np.array(d, np.int64), "ver": np.array(v), "lo": np.array(a), "wide": np.array(w), "kind": np.full(len(d), PART)}, NOTE)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(d).to_bytes(4, "little") + head + b"".join(t)], pa.binary())], ["shard", "payload"])
-
-    def index(_: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+                rows.setdefault(int(anchor_shard(text, shards, length)), []).append((doc, ver, lo, wide, text.tobytes()))
+                held += len(text)
+            if held > 32 * FLUSH:
+                yield from sent()
+                held = 0
+        yield from sent()
+
+    def index(payloads: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
         width = sum(np.dtype(k).itemsize for _, k in NOTE)
         heads, texts = [], []
         for raw in payloads:
@@ -343,10 +350,10 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
             a, b = np.flatnonzero(begin), np.flatnonzero(end)
             if len(a):
                 source = own_order[which[a]]
-                yield from noted({"doc": n["doc"][source], "ver": n["ver"][source], "lo": n["lo"][source] + step[a], "wide": (b - a).astype(np.int32), "kind": np.full(len(a), WHOLE, np.uint8)}, buckets)
+                yield {"doc": n["doc"][source], "ver": n["ver"][source], "lo": n["lo"][source] + step[a], "wide": (b - a).astype(np.int32), "kind": np.full(len(a), WHOLE, np.uint8)}
             start = stop
 
-    def finish(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def finish(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, _, raw, n in found:
             whole = n["kind"] == WHOLE
@@ -356,6 +363,9 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
             gone = np.cumsum(depth[:-1]) > 0
             spans = int((gone & np.r_[True, ~gone[:-1]]).sum())
             rows.append((None if doc == NO_ID else doc, len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
+            if len(rows) >= 1000:
+                yield result_batch(rows)
+                rows = []
         if rows:
             yield result_batch(rows)
 
@@ -371,11 +381,11 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
                 yield result_batch(rows)
 
     partial = meet(own, notes, partly, buckets, parts, contexts, "shard int, payload binary")
-    ranges = checkpoint(spark, by_key(partial, "shard", parts, index, note_schema))
+    ranges = checkpoint(spark, by_key(partial, "shard", parts, buckets, index))
     return meet(own, notes.unionByName(ranges), touched, buckets, parts, finish, RESULT).unionByName(own.mapInArrow(untouched, RESULT))
 
 
-def anchor_shard(text: np.ndarray, wide: int, shards: int, length: int, gram: int = GRAM) -> int:
+def anchor_shard(text: np.ndarray, shards: int, length: int, gram: int = GRAM) -> int:
     """The shard of a neighbourhood, from its bytes: any of its strings shows the anchor."""
     up, down = powers(len(text))
     sums = np.zeros(length + 1, np.uint64)
