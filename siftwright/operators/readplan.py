@@ -52,6 +52,6 @@ def read_window(p: Column, line: Column, start: Column, end: Column) -> tuple[Co
 
 def preview(lines: DataFrame, probes: DataFrame, keys: list[str], radius: int = 2) -> DataFrame:
     """The numbered lines around each probe (keys, line) as one text."""
-    near = lines.join(F.broadcast(probes.withColumnRenamed("line", "at")), keys).filter(F.abs(F.col("line") - F.col("at")) <= radius)
+    near = lines.join(probes.withColumnRenamed("line", "at"), keys).filter(F.abs(F.col("line") - F.col("at")) <= radius)
     numbered = F.concat(F.lpad(F.col("line").cast("string"), 5, " "), F.lit(": "), F.col("value"))
     return near.groupBy(*keys, "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", numbered.alias("t")))), lambda x: x["t"]), "\n").alias("preview"))
