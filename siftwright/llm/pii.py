@@ -77,12 +77,15 @@ DIGIT_WORD = re.compile(rf"(?i){_digit}")
 #: Anything that might be a look-alike or invisible: the blocks of the above, full-width and mathematical forms.
 ODD = re.compile("[­Ͱ-ϿЀ-ԯ​-‍․⁠∙。﹒﻿！-ﾟ\U0001d400-\U0001d7ff]")
 _open, _close = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
-_at, _dot = "at|ät|arroba|arobase|chez", "dot|punkt|punto|point"
+_at, _dot = "at|ät|arroba|arobase", "dot|punkt|punto|point"
 BRACKETED_AT = re.compile(rf"(?i){_open}(?:{_at}|@){_close}")
 BRACKETED_DOT = re.compile(rf"(?i){_open}(?:{_dot}|\.){_close}")
-#: Words for @ and . without brackets count only together, as in "name at host dot com".
-SPOKEN = re.compile(rf"(?i)(?<=[a-z0-9])(\s+(?:{_at})\s+)(?=[a-z0-9-]+(?:(?:\s+(?:{_dot})\s+|\.)[a-z0-9-]+)*\s+(?:{_dot})\s+[a-z])")
-SPOKEN_DOT = re.compile(rf"(?i)(?<=[a-z0-9])\s+(?:{_dot})\s+(?=[a-z])")
+#: Words for @ and . without brackets count only together and in one language, as in "name at host dot com".
+PAIRS = {"at": "dot", "ät": "punkt", "arobase": "point", "arroba": "punto"}
+SPOKEN = {
+    dot: re.compile(rf"(?i)(?<=[a-z0-9])(\s+{at}\s+)(?=([a-z0-9-]+(?:(?:\s+{dot}\s+|\.)[a-z0-9-]+)*\s+{dot}\s+[a-z]+))") for at, dot in PAIRS.items()
+}
+SPOKEN_DOT = {dot: re.compile(rf"(?i)(?<=[a-z0-9])\s+{dot}\s+(?=[a-z])") for dot in PAIRS.values()}
 SIGNS = ("dot", "punkt", "punto", "point", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "(.", "[.", "arroba")
 
 
@@ -115,11 +118,11 @@ def at_and_dot(layer: Layer) -> Layer:
         return layer
     edits = {(m.start(), m.end()): "@" for m in BRACKETED_AT.finditer(layer.text)}
     edits |= {(m.start(), m.end()): "." for m in BRACKETED_DOT.finditer(layer.text)}
-    for m in SPOKEN.finditer(layer.text):
-        edits.setdefault(m.span(1), "@")
-        host = re.compile(rf"(?i)[a-z0-9-]+(?:(?:\s+(?:{_dot})\s+|\.)[a-z0-9-]+)+").match(layer.text, m.end())
-        for d in SPOKEN_DOT.finditer(layer.text, host.start(), host.end()) if host else ():
-            edits.setdefault(d.span(), ".")
+    for dot, spoken in SPOKEN.items():
+        for m in spoken.finditer(layer.text) if dot in low else ():
+            edits.setdefault(m.span(1), "@")
+            for d in SPOKEN_DOT[dot].finditer(layer.text, *m.span(2)):
+                edits.setdefault(d.span(), ".")
     kept, at = [], 0
     for (a, b), new in sorted(edits.items()):
         if a >= at:
