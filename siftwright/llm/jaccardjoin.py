@@ -8,9 +8,9 @@ Shingles that very many documents hold come late in the order, so that common pa
 
 Regions with the same members are one. Within a region, documents run in order of size with a window on the size ratio; counts of
 shingles by hash part, coarse at first and finer for pairs that pass, bound the symmetric difference from below, and what is left is
-verified on the whole sets. A large region is joined
-recursively: documents are compared with leaders first, the links that hold are merged, and only then do pairs that are still in different
-groups meet. Equal sets are one node from the start, so copies cost no pairs.
+verified on the whole sets. Regions are joined recursively: at first each document meets its nearest neighbour of another group, links
+that hold merge groups, regions of one group drop out, and what is left is joined with more neighbours and at last in full. So a group of
+very many near copies costs a few pairs for each, and still no two documents that link stay apart. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ WIDTH = 4
 LEAST = 85
 #: Share of the hash space whose shingles are counted, and the count from which one is common; at most COMMON of them are set last.
 LOW, OFTEN, COMMON = 0.2, 512, 1_000_000
-#: Members up to which a region's pairs are all compared at once.
-SMALL = 64
+#: Nearest documents of other groups that each meets in a region, round by round (at last all that may link), out of so many before it.
+ROUNDS, RECENT = (1, 4, 16, None), 256
 PARTS = 64
 
 _bytes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -212,56 +212,57 @@ def memberships(nodes: DataFrame, common: np.ndarray, least: int) -> DataFrame:
 
 
 class Region:
-    """Members of a region in order of size; only those that a later one may still link with are held."""
+    """Members of a region in order of size; those from first to last may still link with a later one."""
 
-    def __init__(self, key: int):
-        self.key, self.total = key, 0
-        self.nodes = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.counts = np.zeros((0, PARTS), np.int16)
-        self.groups = np.zeros(0, np.int64)
+    def __init__(self):
+        self.first = self.last = 0
+        self.nodes, self.sizes, self.groups = (np.zeros(64, np.int64) for _ in range(3))
+        self.counts = np.zeros((64, PARTS), np.int16)
 
     def forget(self, n: int, least: int) -> None:
-        first = int(np.searchsorted(self.sizes, -(-least * n // 100)))
-        if first > 0:
-            self.nodes, self.sizes, self.counts, self.groups = self.nodes[first:], self.sizes[first:], self.counts[first:], self.groups[first:]
-
-    def near(self, n: int, counts: np.ndarray, least: int) -> np.ndarray:
-        """Numbers of held members whose symmetric difference may be small enough."""
-        apart = np.abs(self.counts - counts).sum(1, dtype=np.int64)
-        return np.flatnonzero((100 + least) * apart <= (100 - least) * (self.sizes + n))
-
-    def hold(self, node: int, n: int, counts: np.ndarray, group: int) -> None:
-        self.nodes, self.sizes = np.append(self.nodes, node), np.append(self.sizes, n)
-        self.counts, self.groups = np.concatenate([self.counts, counts[None]]), np.append(self.groups, group)
-
-
-def candidates(members: DataFrame, least: int, again: bool) -> DataFrame:
-    """(a, b) pairs of members (region, node, n, profile, size, label) that may link.
-
-    At first all pairs of small regions, and in large ones pairs with leaders (a member that is near no leader becomes one). again: of
-    large regions, the pairs whose labels differ.
-    """
+        self.first += int(np.searchsorted(self.sizes[self.first : self.last], -(-least * n // 100)))
+
+    def near(self, n: int, counts: np.ndarray, label: int, least: int, most: int | None) -> np.ndarray:
+        """Nodes of other groups whose symmetric difference may be small enough; the nearest of recent ones if only `most` are asked for."""
+        start = self.first if most is None else max(self.first, self.last - RECENT)
+        others = start + np.flatnonzero(self.groups[start : self.last] != label)
+        apart = np.abs(self.counts[others] - counts).sum(1, dtype=np.int64)
+        keep = np.flatnonzero((100 + least) * apart <= (100 - least) * (self.sizes[others] + n))
+        if most is not None and len(keep) > most:
+            keep = keep[np.argpartition(apart[keep], most - 1)[:most]]
+        return self.nodes[others[keep]]
+
+    def hold(self, node: int, n: int, counts: np.ndarray, label: int) -> None:
+        if self.last == len(self.nodes):  # what is forgotten makes room, or the room doubles
+            own, size = slice(self.first, self.last), max(64, 2 * (self.last - self.first))
+            for name in ("nodes", "sizes", "groups", "counts"):
+                old = getattr(self, name)
+                new = np.zeros((size, *old.shape[1:]), old.dtype)
+                new[: self.last - self.first] = old[own]
+                setattr(self, name, new)
+            self.first, self.last = 0, self.last - self.first
+        k = self.last
+        self.nodes[k], self.sizes[k], self.groups[k], self.counts[k] = node, n, label, counts
+        self.last += 1
+
+
+def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
+    """(a, b) pairs of members (region, node, n, profile, label) of different labels that may link; for each the `most` nearest, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region = Region(0)
-        seen = None
+        region, seen = Region(), None
         for batch in batches:
             found_a, found_b = [], []
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "node", "n", "size", "label")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "node", "n", "label")]
             counts = np.frombuffer(b"".join(batch.column("profile").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
-            for key, node, n, size, label, own in zip(*(c.tolist() for c in columns), counts, strict=True):
+            for key, node, n, label, own in zip(*(c.tolist() for c in columns), counts, strict=True):
                 if seen != key:
-                    region, seen = Region(key), key
+                    region, seen = Region(), key
                 region.forget(n, least)
-                near = region.near(n, own, least)
-                if again:
-                    near = near[region.groups[near] != label]
-                others = region.nodes[near]
+                others = region.near(n, own, label, least, most)
                 found_a.append(np.minimum(others, node))
                 found_b.append(np.maximum(others, node))
-                if again or size <= SMALL or not len(near):
-                    region.hold(node, n, own, label)
+                region.hold(node, n, own, label)
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
 
@@ -341,15 +342,19 @@ def linked_groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, leas
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head"))
     members = checkpoint(spark, memberships(nodes, common_shingles(named), least))
     profiles = named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "profile", "fine")
-    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
-    full = members.join(sizes, "region").join(profiles.drop("fine"), "node").withColumn("label", F.lit(0).cast("long"))
-    pairs = checkpoint(spark, candidates(full, least, False))
-    links = checkpoint(spark, verified(spark, checkpoint(spark, refined(pairs, profiles, least)), own, width, least))
-    found = components(spark, links)
-    large = full.filter(F.col("size") > SMALL).drop("label").join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    late = checkpoint(spark, refined(candidates(large, least, True).join(pairs, ["a", "b"], "left_anti"), profiles, least))
-    if not late.isEmpty():
-        found = components(spark, found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(verified(spark, late, own, width, least)))
+    found = done = None
+    for most in ROUNDS:
+        labelled = members.withColumn("label", F.col("node"))
+        if found is not None:
+            labelled = members.join(found, "node", "left").select("region", "node", F.coalesce("component", "node").alias("label"))
+        mixed = labelled.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
+        pairs = candidates(labelled.join(mixed, "region").join(profiles.drop("fine"), "node"), least, most)
+        pairs = checkpoint(spark, pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        done = pairs if done is None else done.unionByName(pairs)
+        links = verified(spark, checkpoint(spark, refined(pairs, profiles, least)), own, width, least)
+        if found is not None:
+            links = links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        found = components(spark, links)
     classes = named.join(named.groupBy("digest").agg(F.min("doc_id").alias("node")), "digest").select("doc_id", "node")
     groups = classes.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -94,9 +94,9 @@ def brute_groups(rows, least=85):
     return sorted((d, len(s), top(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_jaccard_groups_against_brute_force(spark, small, monkeypatch):
-    monkeypatch.setattr(jaccardjoin, "SMALL", small)
+@pytest.mark.parametrize("rounds", [(1, 4, 16, None), (None,)])
+def test_jaccard_groups_against_brute_force(spark, rounds, monkeypatch):
+    monkeypatch.setattr(jaccardjoin, "ROUNDS", rounds)
     monkeypatch.setattr(jaccardjoin, "OFTEN", 8)
     r = np.random.default_rng(3)
     words = [f"w{k}" for k in range(500)]
