@@ -60,7 +60,7 @@ def repo_hash(path: Column) -> Column:
 
 
 def uri_to_path(uri: Column) -> Column:
-    return F.url_decode(F.replace(F.regexp_replace(uri, "^file://", ""), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(F.regexp_replace(uri, "^[a-z0-9]+:(//[^/]*)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
 
 
 def path_to_uri(path: Column) -> Column:

@@ -11,7 +11,11 @@ from siftwright.functions.text import half_up
 def golden_entries(scenarios: DataFrame) -> DataFrame:
     """(id, kind, path) of must, should and side files of scenarios."""
     kinds = {"must": "mustHit", "should": "shouldHit", "side": "side"}
-    rows = F.flatten(F.array(*[F.transform(F.coalesce(F.col(f"golden.{c}"), F.array().cast("array<string>")), lambda p, k=k: F.struct(F.lit(k).alias("kind"), p.alias("path"))) for k, c in kinds.items()]))
+
+    def listed(kind: str, column: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"golden.{column}"), F.array().cast("array<string>")), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("path")))
+
+    rows = F.flatten(F.array(*[listed(k, c) for k, c in kinds.items()]))
     return scenarios.select("id", F.explode(rows).alias("g")).select("id", "g.kind", "g.path")
 
 

@@ -14,7 +14,8 @@ from siftwright.operators import evidence as ev
 from siftwright.operators import ranking, readplan, scoring
 from siftwright.plans.profiles import infer_profiles, search_plan
 
-EMPTY = F.array().cast("array<string>")
+def no_strings():
+    return F.array().cast("array<string>")
 
 
 def facts_of(files: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def section_filter(section, anchor: scoring.Anchor, options: scoring.Options):
 def collect_evidence(files: DataFrame, facts: DataFrame, anchor: scoring.Anchor, options: scoring.Options, line: int, edges: DataFrame | None = None) -> DataFrame:
     """All evidence rows of one query: the anchor, type relations, pattern sections, and edges if there are any."""
     context = facts.select("path", "module", "layer", "source_set")
-    strings = lambda *xs: F.array(*[F.lit(x) for x in xs]) if xs else EMPTY
+    strings = lambda *xs: F.array(*[F.lit(x) for x in xs]) if xs else no_strings()
 
     def rows(found: DataFrame, stage: int, category, reason: str, verified: str, confidence: str, base=None):
         at = F.array(F.struct(F.coalesce("line", F.lit(1)).cast("int").alias("line"), F.lit(1).alias("column"))) if "line" in found.columns else F.col("positions")
@@ -86,7 +87,7 @@ def impact(files: DataFrame, path: str, line: int, column: int, options: scoring
     facts = facts_of(files)
     anchor = resolve_anchor(facts, path, line, column, role)
     merged = ev.merge_evidence(collect_evidence(files, facts, anchor, options, line, edges))
-    known = facts.select("path", "type_name", "kind", "package_name", "annotations", F.transform(F.concat("implements_types", F.when(F.col("extends_type").isNotNull(), F.array("extends_type")).otherwise(EMPTY)), simple_name).alias("parents"), "methods")
+    known = facts.select("path", "type_name", "kind", "package_name", "annotations", F.transform(F.concat("implements_types", F.when(F.col("extends_type").isNotNull(), F.array("extends_type")).otherwise(no_strings())), simple_name).alias("parents"), "methods")
     candidates = ranking.exclude_modules(merged, options.exclude_modules).join(known, "path", "left").withColumn("ledger", F.array(scoring.entry("evidence", "merge", F.col("score"), "merged evidence")))
     scored = scoring.final_scores(candidates, anchor, options).withColumns({"priority": ranking.priority(options.test_read_mode), "strong": ranking.is_strong(F.col("ledger"))})
     most = ranking.read_plan_max(options.mode, options.read_plan_max)

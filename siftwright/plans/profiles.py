@@ -30,7 +30,11 @@ def profile_votes(facts: DataFrame) -> DataFrame:
     low = F.lower("path")
     controller = F.filter(noted, lambda a: a.isin("RestController", "Controller"))
     votes = [F.transform(controller, lambda _: vote("controller", WEIGHTS["annotation"]))]
-    votes += [F.transform(F.filter(noted, lambda a, n=name: a == n), lambda _, p=profile: vote(p, WEIGHTS["annotation"])) for name, profile in ANNOTATION_VOTES.items() if profile != "controller"]
+
+    def noted_as(name: str, profile: str):
+        return F.transform(F.filter(noted, lambda a: a == name), lambda _: vote(profile, WEIGHTS["annotation"]))
+
+    votes += [noted_as(name, profile) for name, profile in ANNOTATION_VOTES.items() if profile != "controller"]
     single = [F.when(parents.rlike(pattern) | ((F.col("kind") == "interface") if profile == "port" else F.lit(False)), vote(profile, WEIGHTS["parent"])) for profile, pattern in PARENT_VOTES.items()]
     single += [F.when(low.rlike(pattern), vote(profile, WEIGHTS["path"])) for profile, pattern in PATH_VOTES.items()]
     named = F.coalesce("type_name", F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*.java") -> DataFrame
 
 
 def paths_root(root: str) -> str:
-    return root.removeprefix("file://").rstrip("/")
+    """root without scheme and host, as file paths are compared."""
+    return re.sub(r"^[a-z0-9]+:(//[^/]*)?(?=/)", "", root).rstrip("/")
 
 
 def changed_files(listing: DataFrame, snapshot: DataFrame) -> DataFrame:
