@@ -48,7 +48,7 @@ def emails(text: str) -> Iterator[Span]:
 def plain_spans(text: str) -> list[Span]:
     out = list(emails(text)) if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(part.lstrip("0")) < 4 and int(part) <= 255 for part in m[0].split(".")):
+        if all(len(part) < 4 and int(part or 0) <= 255 for part in (p.lstrip("0") for p in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := m[0].translate(NOT_DIGITS)) <= 19 and luhn(digits):

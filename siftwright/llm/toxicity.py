@@ -40,6 +40,8 @@ LEET = {
 #: Log probabilities of the channel: a letter written as a sign, a sign or letter that stands for nothing.
 AS_SIGN, DROPPED, REPEATED = -1.0, -0.5, -0.5
 BEAM = 24
+#: Characters of a token that are restored together; longer tokens are no words, and go piece by piece.
+PIECE = 64
 
 _kind = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 4 other sign
 _kind[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -85,6 +87,8 @@ class Restorer:
         self.token = functools.lru_cache(100_000)(self._token)
 
     def _token(self, token: str) -> str:
+        if len(token) > PIECE:
+            return "".join([self.token(token[k : k + PIECE]) for k in range(0, len(token), PIECE)])
         beams = {(0, 0, SPACE): (0.0, "")}
         low = token.lower()
         for k, ch in enumerate(low):
