@@ -36,7 +36,7 @@ LEAST = 85
 #: Share of the hash space whose shingles are counted, and the count from which one is common; at most COMMON of them are set last.
 LOW, OFTEN, COMMON = 0.2, 512, 1_000_000
 #: Nearest documents of other groups that each meets in a region, round by round (at last all that may link), out of so many before it.
-ROUNDS, RECENT = (1, 4, 16, None), 256
+ROUNDS, RECENT = (3, None), 256
 PARTS = 64
 
 _bytes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
