@@ -8,7 +8,6 @@ in the source. A digest that very many units share is one row of the small side
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import checkpoint, mix64
+from siftwright.llm.common import mix64
 
 SLOTS = 128
 #: An odd multiplier of polynomial hashes and its inverse modulo 2**64.
