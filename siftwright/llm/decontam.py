@@ -113,4 +113,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_literals:
     if named is None:  # a clashing column keeps its values
         renamed = docs.withColumnRenamed("words", "own words")
         return clean(renamed, benchmark, size, max_literals).withColumnRenamed("own words", "words").select(docs.columns)
-    return hits(named, item_windows(benchmark, size), size, max_literals).filter("size(hits) = 0").select(docs.columns)
+    found = hits(named, item_windows(benchmark, size), size, max_literals)
+    # a filter would move below the words, which its conditions would then make anew for every window; a generator stays above them
+    return found.withColumn("hits", F.explode(F.when(F.size("hits") == 0, F.array(F.lit(1))))).select(docs.columns)
