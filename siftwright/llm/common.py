@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised kernels handle at a time: their working arrays are 8 to 40 times as large.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ WINDOW = 4096
 #: Id that ends every document.
 END_ID = 2
 #: Words and stems whose ids a worker remembers (about 200 bytes each); beyond it the memory starts anew, so results don't depend on it.
-WORD_MEMORY, STEM_MEMORY = 1_500_000, 1_000_000
+WORD_MEMORY, STEM_MEMORY = 400_000, 400_000
 #: ASCII punctuation without the apostrophe, which starts contractions.
 TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
