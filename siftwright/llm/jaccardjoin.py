@@ -8,9 +8,9 @@ Shingles that very many documents hold come late in the order, so that common pa
 
 Regions with the same members are one. Within a region, documents run in order of size with a window on the size ratio; counts of
 shingles by hash part, coarse at first and finer for pairs that pass, bound the symmetric difference from below, and what is left is
-verified on the whole sets. Regions are joined recursively: at first each document meets its nearest neighbour of another group, links
-that hold merge groups, regions of one group drop out, and what is left is joined with more neighbours and at last in full. So a group of
-very many near copies costs a few pairs for each, and still no two documents that link stay apart. Equal sets are one node from the start.
+verified on the whole sets. Regions are joined recursively: at first each document meets its nearest neighbours of other groups, links
+that hold merge groups, regions of one group drop out, and what is left is joined in full. So a group of very many near copies costs a
+few pairs for each, and still no two documents that link stay apart. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
