@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -31,6 +31,21 @@ def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Tells how to let go of what a worker remembers for the tasks of one operator."""
+    _held[name] = clear
+
+
+def release(own: str = "") -> None:
+    """Lets go of what this worker remembers for other operators: it may run the tasks of many."""
+    for name in [n for n in _held if n != own]:
+        _held.pop(name)()
+    pa.default_memory_pool().release_unused()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each Spark context, so that workers can import it wherever they run."""
     sc = spark.sparkContext

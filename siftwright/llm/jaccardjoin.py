@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import checkpoint, chunks, mix64, text_buffer
+from siftwright.llm.common import checkpoint, chunks, hold, mix64, release, text_buffer
 from siftwright.llm.components import components
 from siftwright.llm.lzprint import powers
 from siftwright.llm.suffixfamily import bitmap, marked, slot_of
@@ -124,6 +124,7 @@ def described(docs: DataFrame, width: int, least: int) -> DataFrame:
     low = np.uint64(int(LOW * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("jaccardjoin")
         for batch in batches:
             n, digest, head, counts, fine = [], [], [], [], []
             for s in sets_of(batch, width):
@@ -314,6 +315,7 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(texts, pa.binary())], ["node", "packed"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccardjoin", packed_set.cache_clear)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import CHUNK_BYTES, checkpoint, chunks, mix64, text_buffer
+from siftwright.llm.common import CHUNK_BYTES, checkpoint, chunks, mix64, release, text_buffer
 
 ORDER, SPACE, UNKNOWN = 4, 32, 0xFFFF
 UND = "und"
@@ -182,6 +182,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, key, n) of the four-grams of documents (text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("langid")
         held: dict[str, list] = {}
 
         def merged(parts: list) -> list:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import checkpoint
+from siftwright.llm.common import checkpoint, hold, release
 
 WINDOW = 4096
 #: Id that ends every document.
@@ -107,7 +107,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
     """(doc_id, doc_tokens, full: crc32 of each leading whole window, rest, rest_crc) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("packing")
         encode, end, width = encoder(tokenizer_path).encode, struct.pack("<I", END_ID), 4 * window
+        hold("packing", encoder.cache_clear)
         for batch in batches:
             total, full, rest, rest_crc = [], [], [], []
             for value in batch.column("text"):

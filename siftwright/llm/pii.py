@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siftwright.llm.common import release
 from siftwright.llm.spans import Layer, Span, scan
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -166,6 +167,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     schema, place = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("pii")
         for batch in batches:
             texts = pa.array([None if t is None else masked(t) for t in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == place else c for k, c in enumerate(batch.columns)], batch.schema.names)

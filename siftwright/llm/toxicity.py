@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import checkpoint, chunks, mix64, text_buffer
+from siftwright.llm.common import checkpoint, chunks, mix64, release, text_buffer
 from siftwright.llm.langid import SPACE, Model, count_grams, kneser_ney
 
 #: Labelled rows that the lexicon and the curve are fitted on, and entries of the lexicon, at most.
@@ -181,6 +181,7 @@ class Lexicon:
 
 def restored(batch: pa.RecordBatch, restorer: Restorer | None) -> Iterator[tuple[int, list[str]]]:
     """First row and restored texts of each chunk of a batch."""
+    release("toxicity")
     column = batch.column("text")
     raw, offsets = text_buffer(column)
     for a, b in chunks(offsets):
