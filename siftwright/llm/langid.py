@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
 One model of order four per language, counted over all training documents: workers count four-grams of their share, Spark adds them up,
-and the driver turns the table of distinct four-grams (bounded by max_types) into probabilities. All languages share one sorted array of
+and the driver turns the table of all distinct four-grams, however rare, into probabilities. All languages share one sorted array of
 64-bit hashes per order with a column of log probabilities per language; a directory on the leading bits of the hash makes a look-up one
 or two steps. A document gets the language of lowest cross-entropy per character. A logistic curve over the evidence (margin times
 length), fitted on a fold that was not counted, gives the confidence; documents whose cross-entropy lies far above what that fold shows
@@ -25,8 +25,6 @@ from siftwright.llm.common import CHUNK_BYTES, checkpoint, chunks, mix64, releas
 
 ORDER, SPACE, UNKNOWN = 4, 32, 0xFFFF
 UND = "und"
-#: Distinct four-grams, over all languages, that a model holds at most; beyond it the rarest go.
-MAX_TYPES = 4_000_000
 #: Steps of the calibration histogram, in log(1 + nats of margin).
 BINS, BIN_WIDTH = 64, 0.25
 #: Standard deviations above the language's mean cross-entropy at which a document is rejected.
@@ -206,18 +204,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def train(spark: SparkSession, docs: DataFrame, calibration: DataFrame, max_types: int = MAX_TYPES) -> Model | None:
+def train(spark: SparkSession, docs: DataFrame, calibration: DataFrame) -> Model | None:
     """A model of documents (text, lang), calibrated on others; None if no text has a language."""
     grams = checkpoint(spark, count_grams(docs))
-    least = 1
-    if grams.count() > max_types:
-        by_count = sorted(grams.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("types")).collect(), reverse=True)
-        kept = np.cumsum([r["types"] for r in by_count])
-        least = min((r["n"] for r, total in zip(by_count, kept, strict=True) if total <= max_types), default=10_000)
-    table = grams.filter(F.col("n") >= least).toPandas()
-    if table.empty:
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
+    if not langs:
         return None
-    model = kneser_ney({lang: (own["key"].to_numpy().astype(np.int64).view(np.uint64), own["n"].to_numpy()) for lang, own in table.groupby("lang")})
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")  # names would weigh more than keys and counts
+    table = grams.select(number.alias("lang"), "key", "n").toArrow()
+    lang, keys, counts = (table.column(c).to_numpy() for c in ("lang", "key", "n"))
+    del table
+    model = kneser_ney({x: (keys[lang == k].view(np.uint64), counts[lang == k]) for k, x in enumerate(langs, 1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {x: k for k, x in enumerate(model.langs)}

@@ -59,6 +59,16 @@ def test_kneser_ney_sums_to_one():
         assert 0.7 < total <= 1.0 + 1e-5  # the rest is for characters that were never seen
 
 
+def test_small_language_beside_millions_of_types(spark):
+    r = np.random.default_rng(3)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9FFF, 100_000))) for _ in range(42)] + ["wenig vom kleinen"] * 2
+    docs = table(spark, texts, ["xa"] * 42 + ["xb"] * 2)
+    model = langid.train(spark, docs, docs.filter("doc_id > 40"))
+    assert model.langs == ["xa", "xb"] and model.grams[-1].size > 4_000_000
+    nats, _ = model.cross_entropies(["wenig vom kleinen", texts[0][:50]])
+    assert nats.argmin(1).tolist() == [1, 0]
+
+
 # --- fingerprints
 
 
