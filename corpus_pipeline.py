@@ -18,9 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, linked by the n-gram Jaccard join, the document of the least id; of repeated rows one."""
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the document of the least id; of repeated rows one."""
     ship(spark)
-    groups = jaccardjoin.linked_groups(spark, docs)
+    groups = jaccardjoin.linked_groups(spark, docs, width=5, least=80)
     kept = groups.filter("component_id = doc_id").select("doc_id").distinct()
     return docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 

@@ -50,6 +50,14 @@ def test_stages_and_result(spark, corpus):
     assert out.groupby("doc_id").length.sum().to_dict() == sizes
 
 
+def test_near_copies_between_the_thresholds(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = words[:90] + [f"x{k}" for k in range(14)] + words[104:]  # five-word similarity 178 / 214, four-word 180 / 214
+    far = words[:90] + [f"y{k}" for k in range(20)] + words[110:]  # five-word similarity 172 / 220
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([words, near, far])], "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.one_of_each_group(spark, docs, "").collect()} == {0, 2}
+
+
 def test_empty_corpus(spark, corpus, tmp_path):
     folder, *_ = corpus
     for name in ("documents", "benchmark", "labels"):
