@@ -87,7 +87,9 @@ SPOKEN = {
     dot: re.compile(rf"(?i)(?<=[a-z0-9])(\s+{at}\s+)(?=([a-z0-9-]+(?:(?:\s+{dot}\s+|\.)[a-z0-9-]+)*\s+{dot}\s+[a-z]+))") for at, dot in PAIRS.items()
 }
 SPOKEN_DOT = {dot: re.compile(rf"(?i)(?<=[a-z0-9])\s+{dot}\s+(?=[a-z])") for dot in PAIRS.values()}
-SIGNS = ("dot", "punkt", "punto", "point", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "(.", "[.", "arroba")
+#: What a text holds wherever one of the above matches: the bracketed ones without the blank before, and the words for a dot.
+BRACKETED = re.compile(rf"(?i){_open.removeprefix(r'\s?')}(?:{_at}|@|{_dot}|\.){_close}")
+DOT_WORDS = {dot: re.compile(rf"(?i){dot}") for dot in PAIRS.values()}
 
 
 def lookalikes(layer: Layer) -> Layer:
@@ -113,14 +115,18 @@ def spelled_digits(layer: Layer) -> Layer:
     return layer.replaced(edits) if edits else layer
 
 
+def disguised_sign(text: str) -> bool:
+    """Whether any transducer for @ and dot may find something."""
+    return bool(BRACKETED.search(text)) or any(w.search(text) for w in DOT_WORDS.values())
+
+
 def at_and_dot(layer: Layer) -> Layer:
-    low = layer.text.lower()
-    if not any(s in low for s in SIGNS):
+    if not disguised_sign(layer.text):
         return layer
     edits = {(m.start(), m.end()): "@" for m in BRACKETED_AT.finditer(layer.text)}
     edits |= {(m.start(), m.end()): "." for m in BRACKETED_DOT.finditer(layer.text)}
     for dot, spoken in SPOKEN.items():
-        for m in spoken.finditer(layer.text) if dot in low else ():
+        for m in spoken.finditer(layer.text) if DOT_WORDS[dot].search(layer.text) else ():
             edits.setdefault(m.span(1), "@")
             for d in SPOKEN_DOT[dot].finditer(layer.text, *m.span(2)):
                 edits.setdefault(d.span(), ".")
@@ -135,10 +141,8 @@ def at_and_dot(layer: Layer) -> Layer:
 def disguised_spans(text: str) -> list[Span]:
     """Spans that only the rewritten text shows, as source offsets."""
     odd = not text.isascii() and ODD.search(text)
-    if not odd and not DIGIT_RUN.search(text):
-        low = text.lower()
-        if not any(s in low for s in SIGNS):
-            return []
+    if not odd and not DIGIT_RUN.search(text) and not disguised_sign(text):
+        return []
     source = Layer.source(text)
     layer = at_and_dot(spelled_digits(lookalikes(source)))
     if layer is source:

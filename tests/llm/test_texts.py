@@ -208,6 +208,12 @@ def test_pii_disguises_keep_offsets():
         assert pii.disguised_spans(clean) == [] and pii.masked(clean) == clean
 
 
+def test_pii_every_bracketed_sign_is_looked_at():
+    for address in ("max (ät) firma.de", "lea (arobase) exemple.fr", "ana{@}host.com", "joe <@> host.com", "joe { at } host.com", "joe ( @ ) host.com", "joe@host{.}com", "joe\t[\tAT\t]\thost.com"):
+        assert ("email", 6, 6 + len(address)) in pii.disguised_spans(f"write {address} now"), address
+        assert pii.masked(f"write {address} now") == "write <EMAIL> now"
+
+
 def test_scans_as_tables(spark):
     texts = [None, "", "a@b.cc 1.2.3.4", "token=abcdefghijklm", "x" * 300_000, "a@b.cc 1.2.3.4"]
     docs = table(spark, texts)
