@@ -1,8 +1,9 @@
 """Secrets, also inside URL, Unicode and base64 encodings and compressed data, nested at will.
 
-A worklist starts with the source. Each layer is scanned, then unwrapped: escapes are rewritten in place, every base64 run that decodes
-to text or to a compressed stream is a layer of its own. Layers carry the source span of each character, so hits map back through all
-of them. A layer whose text was seen before at the same place isn't unwrapped again, which ends cycles; the list ends when no layer yields a new one.
+A worklist starts with the source. Each layer is scanned, then unwrapped: escapes are rewritten in place, every base64 run is a layer of its
+own, and so is what a compressed stream in it holds, however often it was compressed. Bytes that aren't UTF-8 are replaced, one by one.
+Layers carry the source span of each character, so hits map back through all of them. A layer whose text was seen before at the same place
+isn't unwrapped again, which ends cycles; the list ends when no layer yields a new one.
 """
 
 from __future__ import annotations
@@ -10,10 +11,17 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
 import html
+import io
+import itertools
 import lzma
 import re
+import tempfile
 import zlib
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame
 
@@ -33,6 +41,10 @@ ESCAPED = re.compile(r"\\[ux]([0-9A-Fa-f]+)|&#[0-9]+;|&#[xX][0-9A-Fa-f]+;")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Bytes that a compressed stream may unfold to; longer ones are scanned as far as that.
 UNFOLD = 1 << 24
+BLOCK = 1 << 20
+#: Characters that patterns and encodings are made of; a text may be cut after any other.
+JOINED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\&#;"
+ODD_BYTE = re.compile("[\udc80-\udcff]")
 
 
 def plain_spans(text: str) -> list[Span]:
@@ -72,83 +84,132 @@ def escape_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def unfolded(raw: bytes) -> bytes | None:
-    """What a compressed stream holds; None if raw isn't one."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            return zlib.decompressobj(47).decompress(raw, UNFOLD) or None
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, UNFOLD) or None
-        if raw[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor(memlimit=1 << 27).decompress(raw, UNFOLD) or None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
-    return None
+def decompressor(raw: bytes):
+    """What reads the compressed stream that raw starts like; None if it starts like none."""
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(memlimit=1 << 27) if raw[:6] == b"\xfd7zXZ\0" else None
 
 
-def as_text(raw: bytes) -> str | None:
+def unfolded(source: BinaryIO) -> Iterator[bytes]:
+    """What a compressed stream holds; nothing if source isn't one."""
+    raw = source.read()
     try:
-        text = raw.decode()
-    except UnicodeDecodeError:
+        if (stream := decompressor(raw)) is not None:
+            yield stream.decompress(raw, UNFOLD)
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        return
+
+
+def text_blocks(blocks: Iterable[bytes]) -> Iterator[str]:
+    """The text of blocks of bytes, parted after characters that no pattern and no encoding reaches across."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), []
+    for block in blocks:
+        text = decoder.decode(block)
+        if end := len(text.rstrip(JOINED)):
+            yield "".join([*held, text[:end]])
+            held = []
+        held.append(text[end:])
+    yield "".join([*held, decoder.decode(b"", True)])
+
+
+def stream_texts(raw: bytes) -> Iterator[str]:
+    """Blocks of the text that a compressed stream holds; streams in it are unfolded again until none is left or one comes back."""
+    source, seen = io.BytesIO(raw), {hashlib.blake2b(raw, digest_size=16).digest()}
+    while True:
+        blocks, head = unfolded(source), b""
+        while len(head) < 6 and (more := next(blocks, b"")):
+            head += more
+        blocks = itertools.chain([head], blocks)
+        if decompressor(head) is None:
+            yield from text_blocks(blocks)
+            return
+        source, digest = tempfile.SpooledTemporaryFile(1 << 24), hashlib.blake2b(digest_size=16)
+        for block in blocks:
+            source.write(block)
+            digest.update(block)
+        if digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        source.seek(0)
+        yield from text_blocks(iter(lambda: source.read(BLOCK), b""))  # it may only look like a stream  # noqa: B023
+        source.seek(0)
+
+
+def base64_bytes(run: str) -> bytes | None:
+    run = run.rstrip("=")
+    try:
+        return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4)) if len(run) % 4 != 1 else None
+    except binascii.Error:
         return None
-    return text if text.isprintable() or all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
-def base64_layers(layer: Layer) -> list[Layer]:
-    out = []
+def readable(raw: bytes) -> str:
+    """raw as text; a byte that is no UTF-8 is a lone surrogate."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def promising(text: str) -> bool:
+    """Whether text holds a secret or may be encoded again."""
+    return bool(URL.search(text) or ESCAPE.search(text) or BASE64.search(text) or plain_spans(text))
+
+
+def base64_layers(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except binascii.Error:
+        if (raw := base64_bytes(m[0])) is None:
             continue
         a, b = m.span()
-        if (inner := unfolded(raw)) is not None:
-            if (text := as_text(inner)) is not None:  # a compressed character comes from all of the stream
-                first, last = min(layer.starts[a:b]), max(layer.ends[a:b])
-                out.append(Layer(text, [first] * len(text), [last] * len(text), [True] * len(text)))
-        elif (text := as_text(raw)) is not None:
+        if decompressor(raw) is not None:  # a compressed character comes from all of the stream
+            first, last = min(layer.starts[a:b]), max(layer.ends[a:b])
+            for text in stream_texts(raw):
+                if promising(text):
+                    yield Layer(text, [first] * len(text), [last] * len(text), [True] * len(text))
+        if promising(text := readable(raw)):
             starts, ends, at = [], [], 0
             for ch in text:
-                till = at + len(ch.encode())
+                till = at + (1 if ODD_BYTE.match(ch) else len(ch.encode()))
                 one, two = a + at * 4 // 3, min(b, a - (-till * 4 // 3))
                 starts.append(min(layer.starts[one:two]))
                 ends.append(max(layer.ends[one:two]))
                 at = till
-            out.append(Layer(text, starts, ends, [True] * len(text)))
-    return out
+            yield Layer(ODD_BYTE.sub("\ufffd", text), starts, ends, [True] * len(text))
 
 
 def wrapped(text: str) -> bool:
     """Whether anything in text might be encoded; cheap, as almost no text is."""
     if "%" in text and URL.search(text) or ("\\" in text or "&#" in text) and ESCAPE.search(text):
         return True
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        try:
-            raw = binascii.a2b_base64(run[: len(run) // 4 * 4].replace("-", "+").replace("_", "/"))
-        except binascii.Error:
-            continue
-        if raw[:1] == b"\x78" or raw[:2] in (b"\x1f\x8b", b"BZ", b"\xfd7") or raw.isascii() or as_text(raw[:8].decode("utf-8", "ignore").encode()) and as_text(raw) is not None:
-            return True
-    return False
+    return any((raw := base64_bytes(m[0])) is not None and (decompressor(raw) is not None or promising(readable(raw))) for m in BASE64.finditer(text))
+
+
+def unwrapped(layer: Layer) -> Iterator[Layer]:
+    """The layers that layer holds, one after the other."""
+    for edits in (url_edits(layer.text), escape_edits(layer.text)):
+        if edits:
+            yield layer.replaced(edits)
+    yield from base64_layers(layer)
 
 
 def nested_spans(text: str) -> list[Span]:
     """Spans found under at least one encoding, as source offsets."""
     if not wrapped(text):
         return []
-    work, seen, out = [Layer.source(text)], {(text, 0, len(text))}, set()
+
+    def key(layer: Layer) -> tuple[bytes, int, int]:
+        return hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.starts[0], layer.ends[-1]
+
+    source = Layer.source(text)
+    work, seen, out = [unwrapped(source)], {key(source)}, set()
     while work:
-        layer = work.pop()
-        found = [layer.replaced(edits) for edits in (url_edits(layer.text), escape_edits(layer.text)) if edits]
-        for new in [*found, *base64_layers(layer)]:
-            if new.text and (key := (new.text, new.starts[0], new.ends[-1])) not in seen:
-                seen.add(key)
-                work.append(new)
-                out.update(s for span in plain_spans(new.text) if (s := new.origin(span)))
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+        elif new.text and (k := key(new)) not in seen:
+            seen.add(k)
+            out.update(s for span in plain_spans(new.text) if (s := new.origin(span)))
+            work.append(unwrapped(new))
     return list(out)
 
 

@@ -1,7 +1,10 @@
 """Operators on texts against brute force, with nulls, empty tables, repeated rows and clashing columns."""
 
 import base64
+import bz2
+import gzip
 import hashlib
+import lzma
 import re
 import zlib
 
@@ -171,6 +174,16 @@ def test_secrets_plain_and_nested():
     assert secretscan.nested_spans("plain text %zz \\u12 &#x; thisisaverylongwordwithoutanything") == []
 
 
+def test_secrets_in_streams_of_streams_and_odd_text():
+    secret = b"password = hunter2hunter2"
+    odd = ["\u00a0 ", "\u202f ", "\u200b ", "\ufeff", "\f", "\0"]
+    coded = [gzip.compress(gzip.compress(secret)), bz2.compress(lzma.compress(zlib.compress(secret))), b"\xff\xfe " + secret, secret + " \u00e9\u20ac".encode(), *(x.encode() + secret for x in odd)]
+    for raw in [*coded, *(zlib.compress(x.encode() + secret) for x in odd)]:
+        text = f"say {base64.b64encode(raw).decode().rstrip('=')} end"
+        found = secretscan.nested_spans(text)
+        assert found and all(k == "assign" and 4 <= a < b <= len(text) - 4 for k, a, b in found), raw
+
+
 def test_secret_cycles_end():
     text = "%25" * 50 + base64.b64encode(b"%25%25 nothing here").decode()
     assert secretscan.nested_spans(text) == []
