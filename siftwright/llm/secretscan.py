@@ -39,8 +39,7 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX
 ESCAPED = re.compile(r"\\[ux]([0-9A-Fa-f]+)|&#[0-9]+;|&#[xX][0-9A-Fa-f]+;")
 #: Sixteen characters hold twelve bytes, the shortest secret.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Bytes that a compressed stream may unfold to; longer ones are scanned as far as that.
-UNFOLD = 1 << 24
+#: Bytes that a compressed stream is unfolded by.
 BLOCK = 1 << 20
 #: Characters that patterns and encodings are made of; a text may be cut after any other.
 JOINED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\&#;"
@@ -94,13 +93,25 @@ def decompressor(raw: bytes):
 
 
 def unfolded(source: BinaryIO) -> Iterator[bytes]:
-    """What a compressed stream holds; nothing if source isn't one."""
-    raw = source.read()
+    """Blocks of what the compressed streams one after the other in source hold and of what follows them; as far as they are sound."""
+    data = source.read(BLOCK)
     try:
-        if (stream := decompressor(raw)) is not None:
-            yield stream.decompress(raw, UNFOLD)
+        while (stream := decompressor(data)) is not None:
+            while not stream.eof:
+                out = stream.decompress(data, BLOCK)
+                data = getattr(stream, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                elif not data and not stream.eof and not (data := source.read(BLOCK)):
+                    return
+            data = stream.unused_data or data
+            if len(data) < 6:
+                data += source.read(BLOCK)
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         return
+    while data:
+        yield data
+        data = source.read(BLOCK)
 
 
 def text_blocks(blocks: Iterable[bytes]) -> Iterator[str]:

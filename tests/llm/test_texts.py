@@ -184,6 +184,17 @@ def test_secrets_in_streams_of_streams_and_odd_text():
         assert found and all(k == "assign" and 4 <= a < b <= len(text) - 4 for k, a, b in found), raw
 
 
+def test_secrets_behind_much_text_in_a_stream():
+    secret, much = b"password = hunter2hunter2", "é".encode() * (1 << 23) + b"\n"
+    for pack in (zlib.compress, bz2.compress, lzma.compress):
+        text = f"say {base64.b64encode(pack(b'x' + much + secret)).decode()} end"
+        assert secretscan.nested_spans(text) == [("assign", 4, len(text) - 4)]
+    rest = f"say {base64.b64encode(gzip.compress(b'one') + gzip.compress(secret)).decode()} end"
+    assert secretscan.nested_spans(rest) == [("assign", 4, len(rest) - 4)]
+    parted = list(secretscan.text_blocks([b"one, pass", b"word = hunter2", b"hunter2\xc3", b"\xa9 end"]))
+    assert "".join(parted) == "one, password = hunter2hunter2é end" and any("password = hunter2hunter2" in x for x in parted)
+
+
 def test_secret_cycles_end():
     text = "%25" * 50 + base64.b64encode(b"%25%25 nothing here").decode()
     assert secretscan.nested_spans(text) == []
