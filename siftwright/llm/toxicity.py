@@ -1,6 +1,6 @@
 """Toxicity of texts, read through leetspeak, spacing and repetition.
 
-A noisy-channel decoder restores suspicious tokens: each source character offers the letters it may stand for (or nothing, for what
+A noisy-channel decoder restores spaced letters and digits, tokens with signs or digits in them, and tokens with a letter twice: each source character offers the letters it may stand for (or nothing, for what
 parts spaced letters and for repetitions), and Viterbi search over that lattice finds the likeliest letters under a Kneser-Ney character
 model counted over all learning documents. A lexicon of word beginnings, weighted by how much oftener toxic documents hold them, then
 scores the restored text, and a logistic curve turns its strongest hit, their sum and their density into a probability.
@@ -11,7 +11,6 @@ covers all documents outside the held-out fold, and scoring reads whole texts.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,96 +42,100 @@ BEAM = 24
 #: Characters of a token that are restored together; longer tokens are no words, and go piece by piece.
 PIECE = 64
 
-_kind = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 4 other sign
-_kind[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
-_kind[0x30:0x3A] = 2
-_kind[[ord(c) for c in "@$!|+"]] = 4
-
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?![^\W_])")
-TOKEN = re.compile(r"[\w@$!|+€£]+")
-MIXED = re.compile(r"[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9]|([^\W\d_])\1\1")
-
-
-def suspicious(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Numbers of the texts (bytes between offsets) that may hold a token to restore."""
-    if len(raw) < 3:
-        return np.zeros(0, np.int64)
-    kind = _kind[raw]
-    letter = kind == 1
-    at = [np.flatnonzero((kind[:-1] > 1) & letter[1:]), np.flatnonzero(letter[:-1] & (kind[1:] == 2))]
-    low = raw | np.uint8(0x20)
-    at.append(np.flatnonzero((low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2] & (raw[:-2] < 0x80)))
-    alone = letter.copy()
-    alone[1:] &= ~letter[:-1]
-    alone[:-1] &= ~letter[1:]
-    at.append(np.flatnonzero(alone[:-4] & alone[2:-2] & alone[4:]))
-    wide = np.flatnonzero(raw >= 0x80)  # letters of two bytes stand alone too
-    if len(wide):
-        first = letter & (raw & 0xC0 != 0x80)  # one mark a character
-        marks = np.flatnonzero(raw & 0xC0 != 0x80)
-        one = first[marks]
-        single = one.copy()
-        single[1:] &= ~one[:-1]
-        single[:-1] &= ~one[1:]
-        at.append(marks[np.flatnonzero(single[:-4] & single[2:-2] & single[4:])])
-    places = np.concatenate(at)
-    return np.unique(np.searchsorted(offsets, places, "right") - 1)
+#: A sign or digit between spaced letters at their start costs this much more to leave out, about what a space costs the model.
+BREAK = -4.0
+#: Restored tokens that are remembered.
+MEMORY = 100_000
+
+_unit = r"(?:[^\W\d_]|[0-9@$!|+€£])"
+SPACED = re.compile(rf"(?<![^\W_])(?:{_unit}[ .*_\-]+){{2,}}{_unit}(?![^\W_])")
+RUN = re.compile(r"[ .*_\-]{2,}")
+#: Tokens with a sign before a letter, a digit after one, or a letter twice in a row.
+MIXED = re.compile(r"(?<![\w@$!|+€£])[\w@$!|+€£]*?(?:[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9]|(?i:([^\W\d_])\1))[\w@$!|+€£]*")
 
 
 class Restorer:
-    """Viterbi search for what tokens stand for."""
+    """Viterbi search for what tokens stand for, many tokens at a time."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.token = functools.lru_cache(100_000)(self._token)
-
-    def _token(self, token: str) -> str:
-        if len(token) > PIECE:
-            return "".join([self.token(token[k : k + PIECE]) for k in range(0, len(token), PIECE)])
-        beams = {(0, 0, SPACE): (0.0, "")}
-        low = token.lower()
-        for k, ch in enumerate(low):
-            again = k > 0 and ch == low[k - 1]
-            if ch.isalpha():
-                options = [(ch, 0.0)] + [("", REPEATED)] * again
-            elif ch in LEET:
-                options = [(x, AS_SIGN) for x in LEET[ch]] + [("", REPEATED)] * again
-            else:
-                options = [("", DROPPED)]
-            steps = [(state, text, score + cost, new) for state, (score, text) in beams.items() for new, cost in options]
-            beams = self._best(steps)
-        ends = self._best([(state, text, score, " ") for state, (score, text) in beams.items()])
-        return max(ends.values())[1].strip()
-
-    def _best(self, steps: list[tuple]) -> dict:
-        keys = []
-        for state, _, _, new in steps:
-            code = SPACE if new == " " else self._code(new) if new else 0
-            keys.append(state[0] << 48 | state[1] << 32 | state[2] << 16 | code)
-        costs = self.model.log_probabilities(np.array(keys, np.uint64))[:, 0]
-        best: dict = {}
-        for (state, text, score, new), key, cost in zip(steps, keys, costs.tolist(), strict=True):
-            to = (state[1], state[2], key & 0xFFFF) if new else state
-            total = score + cost if new else score
-            if to not in best or best[to][0] < total:
-                best[to] = total, text + new
-        return best if len(best) <= BEAM else dict(sorted(best.items(), key=lambda x: -x[1][0])[:BEAM])
+        self.known: dict[tuple[str, bool], str] = {}
+
+    def restore(self, tokens: set[tuple[str, bool]]) -> dict[tuple[str, bool], str]:
+        """What each token (text, whether its letters are spaced) stands for."""
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        parts = {t: [(t[0][k : k + PIECE], t[1]) for k in range(0, len(t[0]), PIECE)] for t in tokens}
+        new = sorted({x for own in parts.values() for x in own} - self.known.keys())
+        for a in range(0, len(new), 4096):
+            self.known.update(zip(new[a : a + 4096], self._search(new[a : a + 4096]), strict=True))
+        return {t: "".join([self.known[x] for x in own]) for t, own in parts.items()}
+
+    def _search(self, tokens: list[tuple[str, bool]]) -> list[str]:
+        lows = [t.lower() for t, _ in tokens]
+        beams: list[dict] = [{(0, 0, SPACE): (0.0, "")} for _ in tokens]
+        ends = [""] * len(tokens)
+        for k in range(max(map(len, lows), default=0) + 1):
+            steps, keys, sizes = [], [], []
+            for low, (_, spaced), beam in zip(lows, tokens, beams, strict=True):
+                options = [] if k > len(low) else [(" ", 0.0, SPACE)] if k == len(low) else self._options(low, k, spaced)
+                for state, (score, text) in beam.items() if options else ():
+                    base = state[0] << 48 | state[1] << 32 | state[2] << 16
+                    for new, cost, code in options:
+                        steps.append((state, text, score + cost, new, code))
+                        keys.append(base | code)
+                sizes.append(len(steps))
+            costs = self.model.log_probabilities(np.array(keys, np.uint64))[:, 0].tolist()
+            at = 0
+            for i, till in enumerate(sizes):
+                best: dict = {}
+                for (state, text, score, new, code), cost in zip(steps[at:till], costs[at:till], strict=True):
+                    to = (state[1], state[2], code) if new else state
+                    total = score + cost if new else score
+                    if to not in best or best[to][0] < total:
+                        best[to] = total, text + new
+                beams[i] = best if len(best) <= BEAM else dict(sorted(best.items(), key=lambda x: -x[1][0])[:BEAM])
+                if k == len(lows[i]):
+                    ends[i] = max(best.values())[1].strip()
+                at = till
+        return ends
+
+    def _options(self, low: str, k: int, spaced: bool) -> list[tuple[str, float, int]]:
+        """(letter or nothing, log probability, code) of what character k may stand for."""
+        ch = low[k]
+        again = k > 0 and ch == low[k - 1]
+        if ch.isalpha():
+            options = [(ch, 0.0)] + [("", REPEATED)] * again
+        elif ch in LEET:
+            options = [(x, AS_SIGN) for x in LEET[ch]] + [("", REPEATED)] * again
+            if spaced:  # or a sign between words
+                options.append((" ", AS_SIGN) if k else ("", AS_SIGN + BREAK))
+        else:
+            options = [("", DROPPED)] + [(" ", 0.0)] * (spaced and k > 0 and low[k - 1] in " .*_-")  # of several, words may be parted
+        return [(new, cost, SPACE if new == " " else self._code(new) if new else 0) for new, cost in options]
 
     @staticmethod
     def _code(ch: str) -> int:
         p = ord(ch)
         return p if p < 0xFFFF else 0xE000 + p % 6400
 
-    def text(self, text: str) -> str:
-        """text with spaced and mixed tokens restored."""
-        if len(text) > 4:
-            text = SPACED.sub(lambda m: self.token(m[0]), text)
-
-        def mended(m: re.Match) -> str:
-            core = m[0].strip("@$!|+€£_") if not m[0][:1].isalpha() and not any(c.isalpha() for c in m[0]) else m[0].rstrip("@$!|+€£_")
-            return self.token(core) + m[0][len(core) :] if core and any(c.isalpha() for c in core) and MIXED.search(core) else m[0]
-
-        return TOKEN.sub(mended, text)
+    def texts(self, texts: list[str]) -> list[str]:
+        """texts with spaced and mixed tokens restored."""
+        found = [[(*m.span(), (RUN.sub("  ", m[0]), True)) for m in SPACED.finditer(t) if any(map(str.isalpha, m[0]))] for t in texts]
+        texts = self._replaced(texts, found)
+        found = [[(m.start(), m.start() + len(core), (core, False)) for m in MIXED.finditer(t) if (core := m[0].rstrip("@$!|+€£_"))] for t in texts]
+        return self._replaced(texts, found)
+
+    def _replaced(self, texts: list[str], found: list[list[tuple]]) -> list[str]:
+        restored = self.restore({x for own in found for *_, x in own})
+        out = []
+        for text, own in zip(texts, found, strict=True):
+            parts, at = [], 0
+            for a, b, x in own:
+                parts += [text[at:a], restored[x]]
+                at = b
+            out.append("".join([*parts, text[at:]]) if own else text)
+        return out
 
 
 def prefix_keys(words: list[bytes]) -> set[int]:
@@ -183,14 +186,10 @@ def restored(batch: pa.RecordBatch, restorer: Restorer | None) -> Iterator[tuple
     """First row and restored texts of each chunk of a batch."""
     release("toxicity")
     column = batch.column("text")
-    raw, offsets = text_buffer(column)
+    _, offsets = text_buffer(column)
     for a, b in chunks(offsets):
         texts = [x or "" for x in column.slice(a, b - a).to_pylist()]
-        if restorer is not None:
-            for k in suspicious(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).tolist():
-                if 0 <= k < len(texts):
-                    texts[k] = restorer.text(texts[k])
-        yield a, texts
+        yield a, texts if restorer is None else restorer.texts(texts)
 
 
 def one_of_copies(rows: list) -> set[int]:

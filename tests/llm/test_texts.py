@@ -274,6 +274,16 @@ def test_toxicity_learns_and_sees_through_disguises(spark):
     assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == {k for k, x in out.items() if not x.predicted}
 
 
+def test_disguises_together_reach_the_lattice():
+    texts = ["the loser is an idiot and the moron is trash scum", "дурак и болван"] * 50
+    codes, _, _ = langid.encode(texts)
+    model = langid.kneser_ney({"all": np.unique(langid.windows(codes)[codes > 0], return_counts=True)})
+    cases = {"1 d 1 0 t": "idiot", "i d 1 o t": "idiot", "m 0 r 0 n": "moron", "t r 4 s h": "trash", "l 0 s e r": "loser", "$ c u m": "scum", "i  d  i  o  t": "idiot", "sccuumm": "scum", "iIddiioott": "idiot", "ддурраакк": "дурак", "2 i d i o t": "idiot"}
+    restorer = toxicity.Restorer(model)
+    assert dict(zip(cases, (x.strip() for x in restorer.texts(list(cases))), strict=True)) == cases
+    assert restorer.texts(["the  idiot", "1 2 3 4", "i d i o t   i s   t h e   m o r o n", ""]) == ["the  idiot", "1 2 3 4", "idiot is the moron", ""]
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {x.score for x in toxicity.score_toxicity(spark, table(spark, ["a", None]), labels).collect()} == {0.0}
