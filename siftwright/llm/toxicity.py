@@ -72,32 +72,42 @@ class Restorer:
         return {t: "".join([self.known[x] for x in own]) for t, own in parts.items()}
 
     def _search(self, tokens: list[tuple[str, bool]]) -> list[str]:
-        lows = [t.lower() for t, _ in tokens]
-        beams: list[dict] = [{(0, 0, SPACE): (0.0, "")} for _ in tokens]
         ends = [""] * len(tokens)
-        for k in range(max(map(len, lows), default=0) + 1):
-            steps, keys, sizes = [], [], []
-            for low, (_, spaced), beam in zip(lows, tokens, beams, strict=True):
-                options = [] if k > len(low) else [(" ", 0.0, SPACE)] if k == len(low) else self._options(low, k, spaced)
-                for state, (score, text) in beam.items() if options else ():
+        active = [(i, t.lower(), spaced, 0, {(0, 0, SPACE): (0.0, "")}) for i, (t, spaced) in enumerate(tokens)]
+        while active:
+            steps, keys, moved = [], [], []
+            for i, low, spaced, k, beam in active:
+                if len(beam) == 1:  # as far as there is no choice, no score is needed
+                    ((state, (score, text)),) = beam.items()
+                    a = k
+                    while k < len(low) and low[k].isalpha() and (k == 0 or low[k] != low[k - 1]):
+                        k += 1
+                    if k == len(low):
+                        ends[i] = (text + low[a:k]).strip()
+                        continue
+                    if k > a:
+                        beam = {(*state, *map(self._code, low[max(a, k - 3) : k]))[-3:]: (score, text + low[a:k])}
+                options = [(" ", 0.0, SPACE)] if k == len(low) else self._options(low, k, spaced)
+                for state, (score, text) in beam.items():
                     base = state[0] << 48 | state[1] << 32 | state[2] << 16
                     for new, cost, code in options:
                         steps.append((state, text, score + cost, new, code))
                         keys.append(base | code)
-                sizes.append(len(steps))
-            costs = self.model.log_probabilities(np.array(keys, np.uint64))[:, 0].tolist()
-            at = 0
-            for i, till in enumerate(sizes):
+                moved.append((i, low, spaced, k, len(steps)))
+            costs = self.model.log_probabilities(np.array(keys, np.uint64))[:, 0].tolist() if keys else []
+            active, at = [], 0
+            for i, low, spaced, k, till in moved:
                 best: dict = {}
                 for (state, text, score, new, code), cost in zip(steps[at:till], costs[at:till], strict=True):
                     to = (state[1], state[2], code) if new else state
                     total = score + cost if new else score
                     if to not in best or best[to][0] < total:
                         best[to] = total, text + new
-                beams[i] = best if len(best) <= BEAM else dict(sorted(best.items(), key=lambda x: -x[1][0])[:BEAM])
-                if k == len(lows[i]):
-                    ends[i] = max(best.values())[1].strip()
                 at = till
+                if k == len(low):
+                    ends[i] = max(best.values())[1].strip()
+                else:
+                    active.append((i, low, spaced, k + 1, best if len(best) <= BEAM else dict(sorted(best.items(), key=lambda x: -x[1][0])[:BEAM])))
         return ends
 
     def _options(self, low: str, k: int, spaced: bool) -> list[tuple[str, float, int]]:
