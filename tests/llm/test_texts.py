@@ -284,6 +284,15 @@ def test_disguises_together_reach_the_lattice():
     assert restorer.texts(["the  idiot", "1 2 3 4", "i d i o t   i s   t h e   m o r o n", ""]) == ["the  idiot", "1 2 3 4", "idiot is the moron", ""]
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    r = np.random.default_rng(5)
+    words = ["".join(r.choice(["ka", "lo", "mi", "ru", "sen", "ta"], 3)) for _ in range(400)]
+    texts = [" ".join([*r.choice(words, 30), *["vekrubel"] * (k % 5 == 0)]) for k in range(30)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(30)], "doc_id long, toxic int")
+    out = {x.doc_id: x.score for x in toxicity.score_toxicity(spark, table(spark, texts), labels).collect()}
+    assert min(out[k] for k in range(0, 30, 5)) > max(out[k] for k in range(30) if k % 5)
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {x.score for x in toxicity.score_toxicity(spark, table(spark, ["a", None]), labels).collect()} == {0.0}
