@@ -1,19 +1,21 @@
 """Toxicity of texts, read through leetspeak, spacing and repetition.
 
-A noisy-channel decoder restores spaced letters and digits, tokens with signs or digits in them, and tokens with a letter twice: each source character offers the letters it may stand for (or nothing, for what
-parts spaced letters and for repetitions), and Viterbi search over that lattice finds the likeliest letters under a Kneser-Ney character
-model counted over all learning documents. A lexicon of word beginnings, weighted by how much oftener toxic documents hold them, then
+A noisy-channel decoder restores spaced letters and digits, tokens with signs or digits in them, and tokens with a letter twice: each
+source character offers the letters it may stand for (or nothing, for what parts spaced letters and for repetitions), and an exact Viterbi
+search over that lattice finds the likeliest letters under a Kneser-Ney character model counted over all learning documents. A lexicon of word beginnings, weighted by how much oftener toxic documents hold them, then
 scores the restored text, and a logistic curve turns its strongest hit, their sum and their density into a probability.
 
 The lexicon and the curve are fitted on a bounded sample of labelled rows (SAMPLE), of which near copies count once; the character model
-covers all documents outside the held-out fold, and scoring reads whole texts.
+covers all documents outside the held-out fold, and scoring reads whole texts. Each half of the sample has the features that the other
+half's lexicon gives it when the curve is fitted, so the curve sees hits as unknown texts show them.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from siftwright.llm.common import checkpoint, chunks, mix64, release, text_buffer
 from siftwright.llm.langid import SPACE, Model, count_grams, kneser_ney
 
-#: Labelled rows that the lexicon and the curve are fitted on, and entries of the lexicon, at most.
-SAMPLE, ENTRIES = 20_000, 20_000
+#: Labelled rows that the lexicon and the curve are fitted on, at most.
+SAMPLE = 20_000
 #: Log-likelihood ratio, times the logarithm of the labelled rows (29.7 at 20,000), from which a word beginning is told from chance.
 LEAST_EVIDENCE = 3.0
 TOXIC_FROM = 0.7
@@ -38,20 +40,83 @@ LEET = {
 }
 #: Log probabilities of the channel: a letter written as a sign, a sign or letter that stands for nothing.
 AS_SIGN, DROPPED, REPEATED = -1.0, -0.5, -0.5
-BEAM = 24
-#: Characters of a token that are restored together; longer tokens are no words, and go piece by piece.
-PIECE = 64
-
 #: A sign or digit between spaced letters at their start costs this much more to leave out, about what a space costs the model.
 BREAK = -4.0
-#: Restored tokens that are remembered.
-MEMORY = 100_000
+#: Restored tokens that are remembered, look-ups made at a time, characters of a lattice laid out at a time.
+MEMORY, LOOKUPS, STRETCH = 100_000, 1 << 17, 2048
 
 _unit = r"(?:[^\W\d_]|[0-9@$!|+€£])"
 SPACED = re.compile(rf"(?<![^\W_])(?:{_unit}[ .*_\-]+){{2,}}{_unit}(?![^\W_])")
 RUN = re.compile(r"[ .*_\-]{2,}")
-#: Tokens with a sign before a letter, a digit after one, or a letter twice in a row.
-MIXED = re.compile(r"(?<![\w@$!|+€£])[\w@$!|+€£]*?(?:[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9]|(?i:([^\W\d_])\1))[\w@$!|+€£]*")
+#: Kinds of characters: letters; digits and signs that may stand for letters; other digits and the underscore; what parts spaced letters.
+LETTER, SIGN, OTHER, PARTS = 1, 2, 4, 8
+UNKNOWN = 255
+
+_kinds = np.full(0x110000, UNKNOWN, np.uint8)
+_lower = np.arange(0x110000, dtype=np.uint32)
+
+
+def kind_of(ch: str) -> int:
+    if ch in LEET:
+        return SIGN
+    if ch in " .*_-":
+        return PARTS | OTHER * (ch == "_")
+    return 0 if not ch.isalnum() else OTHER if ch.isdecimal() else LETTER
+
+
+def kinds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind and lower-cased code point of each character of texts, one after the other with a zero after each, and where each begins."""
+    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = _kinds[points]
+    if (new := found == UNKNOWN).any():
+        for p in np.unique(points[new]).tolist():
+            low = chr(p).lower()
+            _kinds[p], _lower[p] = kind_of(chr(p)), ord(low) if len(low) == 1 else p
+        found = _kinds[points]
+    return found, _lower[points], np.r_[0, np.cumsum([len(t) + 1 for t in texts])].astype(np.int64)
+
+
+def spaced_places(texts: list[str]) -> list[list[int]]:
+    """Places in each text at which three units stand apart one after the other; spaced words begin at some of them only."""
+    kind, _, begins = kinds(texts)
+    unit, parts = (kind & (LETTER | SIGN)) > 0, (kind & PARTS) > 0
+    at = np.flatnonzero(unit)
+    run = np.cumsum(~(unit | parts))  # the same along units and what parts them
+    followed = np.r_[parts[1:], False][at]
+    first = np.zeros(len(at), bool)
+    if len(at) > 2:
+        near = (np.diff(at) > 1) & (np.diff(run[at]) == 0) & followed[:-1]
+        first[:-2] = near[:-1] & near[1:]
+    out: list[list[int]] = [[] for _ in texts]
+    starts = at[first]
+    for k, p in zip((np.searchsorted(begins, starts, "right") - 1).tolist(), starts.tolist(), strict=True):
+        out[k].append(p - int(begins[k]))
+    return out
+
+
+def mixed_tokens(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """Start and end of the tokens of each text with a sign before a letter, a digit after one, or a letter twice in a row."""
+    kind, low, begins = kinds(texts)
+    letter, sign = kind == LETTER, kind == SIGN
+    digit = sign & (low >= 0x30) & (low <= 0x39)
+    choice = np.zeros(len(kind), bool)
+    choice[1:] = letter[1:] & (sign[:-1] | (letter[:-1] & (low[1:] == low[:-1]))) | digit[1:] & letter[:-1]
+    token = (kind & (LETTER | SIGN | OTHER)) > 0
+    edges = np.flatnonzero(np.diff(token, prepend=False))  # the last character is no part of a token
+    starts, ends = edges[::2], edges[1::2]
+    own = np.unique(np.searchsorted(starts, np.flatnonzero(choice), "right") - 1)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for k, a, b in zip((np.searchsorted(begins, starts[own], "right") - 1).tolist(), starts[own].tolist(), ends[own].tolist(), strict=True):
+        out[k].append((a - int(begins[k]), b - int(begins[k])))
+    return out
+
+
+def spelled(way: tuple | None) -> str:
+    parts = []
+    while way is not None:
+        way, new = way
+        parts.append(new)
+    return "".join(reversed(parts)).strip()
 
 
 class Restorer:
@@ -65,50 +130,85 @@ class Restorer:
         """What each token (text, whether its letters are spaced) stands for."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        parts = {t: [(t[0][k : k + PIECE], t[1]) for k in range(0, len(t[0]), PIECE)] for t in tokens}
-        new = sorted({x for own in parts.values() for x in own} - self.known.keys())
+        new = sorted(tokens - self.known.keys())
         for a in range(0, len(new), 4096):
             self.known.update(zip(new[a : a + 4096], self._search(new[a : a + 4096]), strict=True))
-        return {t: "".join([self.known[x] for x in own]) for t, own in parts.items()}
+        return {t: self.known[t] for t in tokens}
 
     def _search(self, tokens: list[tuple[str, bool]]) -> list[str]:
+        """The likeliest restoration of each token; look-ups of many tokens are made together."""
         ends = [""] * len(tokens)
-        active = [(i, t.lower(), spaced, 0, {(0, 0, SPACE): (0.0, "")}) for i, (t, spaced) in enumerate(tokens)]
-        while active:
-            steps, keys, moved = [], [], []
-            for i, low, spaced, k, beam in active:
-                if len(beam) == 1:  # as far as there is no choice, no score is needed
-                    ((state, (score, text)),) = beam.items()
+        todo = [(i, self._walk(t.lower(), spaced), None) for i, (t, spaced) in enumerate(tokens)]
+        waiting, held = [], 0
+        while todo or waiting:
+            if todo and held < LOOKUPS:
+                i, walk, costs = todo.pop()
+                try:
+                    keys = walk.send(costs)
+                except StopIteration as end:
+                    ends[i] = end.value
+                    continue
+                waiting.append((i, walk, len(keys), keys))
+                held += len(keys)
+                continue
+            found = self.model.log_probabilities(np.array([k for *_, keys in waiting for k in keys], np.uint64))[:, 0].tolist()
+            at = 0
+            for i, walk, n, _ in waiting:
+                todo.append((i, walk, found[at : at + n]))
+                at += n
+            waiting, held = [], 0
+        return ends
+
+    def _walk(self, low: str, spaced: bool) -> Generator[list[int], list[float], str]:
+        """Asks for the costs of keys and returns the likeliest restoration of a token.
+
+        A state is the last three characters. The lattice is laid out STRETCH characters at a time, whatever the scores will be; as far as
+        it has one state and no choice, no score is needed.
+        """
+        states: dict = {(0, 0, SPACE): (0.0, None)}
+        k = 0
+        while k <= len(low):
+            layers, keys, reach = [], [], list(states)
+            till = k + STRETCH
+            while k <= len(low) and k < till:
+                if len(reach) == 1:
                     a = k
                     while k < len(low) and low[k].isalpha() and (k == 0 or low[k] != low[k - 1]):
                         k += 1
-                    if k == len(low):
-                        ends[i] = (text + low[a:k]).strip()
-                        continue
                     if k > a:
-                        beam = {(*state, *map(self._code, low[max(a, k - 3) : k]))[-3:]: (score, text + low[a:k])}
+                        reach = [(*reach[0], *map(self._code, low[max(a, k - 3) : k]))[-3:]]
+                        layers.append((low[a:k], reach[0]))
+                    if k == len(low):
+                        k += 1
+                        break
                 options = [(" ", 0.0, SPACE)] if k == len(low) else self._options(low, k, spaced)
-                for state, (score, text) in beam.items():
-                    base = state[0] << 48 | state[1] << 32 | state[2] << 16
+                steps, following = [], {}
+                for state in reach:
+                    x, y, z = state
+                    base = x << 48 | y << 32 | z << 16
                     for new, cost, code in options:
-                        steps.append((state, text, score + cost, new, code))
-                        keys.append(base | code)
-                moved.append((i, low, spaced, k, len(steps)))
-            costs = self.model.log_probabilities(np.array(keys, np.uint64))[:, 0].tolist() if keys else []
-            active, at = [], 0
-            for i, low, spaced, k, till in moved:
+                        to = (y, z, code) if new else state
+                        steps.append((state, to, new, cost))
+                        following[to] = None
+                        if new:
+                            keys.append(base | code)
+                layers.append(steps)
+                reach = list(following)
+                k += 1
+            costs = iter((yield keys) if keys else [])
+            for layer in layers:
+                if isinstance(layer, tuple):
+                    ((score, way),) = states.values()
+                    states = {layer[1]: (score, (way, layer[0]))}
+                    continue
                 best: dict = {}
-                for (state, text, score, new, code), cost in zip(steps[at:till], costs[at:till], strict=True):
-                    to = (state[1], state[2], code) if new else state
-                    total = score + cost if new else score
+                for state, to, new, cost in layer:
+                    score, way = states[state]
+                    total = score + cost + next(costs) if new else score + cost
                     if to not in best or best[to][0] < total:
-                        best[to] = total, text + new
-                at = till
-                if k == len(low):
-                    ends[i] = max(best.values())[1].strip()
-                else:
-                    active.append((i, low, spaced, k + 1, best if len(best) <= BEAM else dict(sorted(best.items(), key=lambda x: -x[1][0])[:BEAM])))
-        return ends
+                        best[to] = total, (way, new) if new else way
+                states = best
+        return spelled(max(states.values(), key=lambda x: x[0])[1])
 
     def _options(self, low: str, k: int, spaced: bool) -> list[tuple[str, float, int]]:
         """(letter or nothing, log probability, code) of what character k may stand for."""
@@ -131,10 +231,19 @@ class Restorer:
 
     def texts(self, texts: list[str]) -> list[str]:
         """texts with spaced and mixed tokens restored."""
-        found = [[(*m.span(), (RUN.sub("  ", m[0]), True)) for m in SPACED.finditer(t) if any(map(str.isalpha, m[0]))] for t in texts]
-        texts = self._replaced(texts, found)
-        found = [[(m.start(), m.start() + len(core), (core, False)) for m in MIXED.finditer(t) if (core := m[0].rstrip("@$!|+€£_"))] for t in texts]
-        return self._replaced(texts, found)
+        spaced = []
+        for text, places in zip(texts, spaced_places(texts), strict=True):
+            own, end = [], 0
+            for p in places:
+                if p < end or not (m := SPACED.match(text, p)):
+                    continue
+                end = m.end()
+                if any(map(str.isalpha, m[0])):
+                    own.append((*m.span(), (RUN.sub("  ", m[0]), True)))
+            spaced.append(own)
+        texts = self._replaced(texts, spaced)
+        mixed = [[(a, a + len(core), (core, False)) for a, b in own if (core := text[a:b].rstrip("@$!|+€£_"))] for text, own in zip(texts, mixed_tokens(texts), strict=True)]
+        return self._replaced(texts, mixed)
 
     def _replaced(self, texts: list[str], found: list[list[tuple]]) -> list[str]:
         restored = self.restore({x for own in found for *_, x in own})
@@ -241,59 +350,104 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
     sketches = rows.mapInArrow(sketch, "doc_id long, toxic int, k0 long, k1 long, k2 long").collect()  # `sample` rows
     kept = one_of_copies(sketches)
-    toxic = sum(r["toxic"] > 0 for r in sketches if r["doc_id"] in kept)
-    clean = len(kept) - toxic
-    if not toxic or not clean:
+    if len({r["toxic"] > 0 for r in sketches if r["doc_id"] in kept}) < 2:
         return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen = [Counter() for _ in range(4)]  # clean and toxic of the first half, then of the second
         restorer = Restorer(model)
         for batch in batches:
             ids, truth = batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist()
-            for a, texts in restored(batch, restorer):
-                for k, text in enumerate(texts, a):
+            for first, texts in restored(batch, restorer):
+                for k, text in enumerate(texts, first):
                     if ids[k] in kept:
-                        seen[truth[k] > 0].update(prefix_keys(set(WORD.findall(text.lower().encode("utf-8", "surrogatepass")))))
-        keys = np.array(list(seen[0].keys() | seen[1].keys()), np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array([seen[j][k] for k in keys.tolist()], pa.int64()) for j in (0, 1))], ["key", "b", "a"])
-
-    table = rows.mapInArrow(count, "key long, b long, a long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a, b, total = F.col("a"), F.col("b"), toxic + clean
-    p = (a + b) / total
-    loglike = lambda x, n, q: x * F.log(F.greatest(q, F.lit(1e-12))) + (n - x) * F.log(F.greatest(1 - q, F.lit(1e-12)))
-    evidence = 2 * (loglike(a, F.lit(toxic), a / toxic) + loglike(b, F.lit(clean), b / clean) - loglike(a, F.lit(toxic), p) - loglike(b, F.lit(clean), p))
-    weight = F.log((a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1)))
-    entries = table.select("key", evidence.alias("evidence"), weight.alias("weight")).filter((F.col("evidence") >= LEAST_EVIDENCE * float(np.log(total))) & (F.col("weight") > 0)).orderBy(F.desc("evidence"), "key").limit(ENTRIES).toPandas()
-    lexicon = Lexicon(entries["key"].to_numpy().astype(np.int64).view(np.uint64), entries["weight"].to_numpy().astype(float))
+                        seen[2 * half(ids[k]) + (truth[k] > 0)].update(prefix_keys(set(WORD.findall(text.lower().encode("utf-8", "surrogatepass")))))
+        keys = np.array(list(set().union(*seen)), np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array([seen[j][k] for k in keys.tolist()], pa.int64()) for j in range(4))], ["key", "b0", "a0", "b1", "a1"])
+
+    table = rows.mapInArrow(count, "key long, b0 long, a0 long, b1 long, a1 long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")))
+    sizes = [[sum((r["toxic"] > 0) == t and half(r["doc_id"]) == h for r in sketches if r["doc_id"] in kept) for t in (True, False)] for h in (0, 1)]
+    lexicons = lexicons_of(table, sizes)
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch in batches:
             ids, truth = batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist()
-            for a, texts in restored(batch, restorer):
-                x = lexicon.features(texts)
-                own = [k for k in range(len(texts)) if ids[a + k] in kept]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[own, j], pa.float64()) for j in range(FEATURES)), pa.array([float(truth[a + k] > 0) for k in own], pa.float64())], [*(f"x{j}" for j in range(FEATURES)), "toxic"])
+            for first, texts in restored(batch, restorer):
+                own = [k for k in range(len(texts)) if ids[first + k] in kept]
+                by = np.array([half(ids[first + k]) for k in own], bool)
+                x = [lexicon.features(texts)[own] for lexicon in lexicons]
+                both = np.column_stack([np.where(by[:, None], x[0], x[1]), x[2]])
+                yield pa.RecordBatch.from_arrays([*(pa.array(both[:, j], pa.float64()) for j in range(2 * FEATURES)), pa.array([float(truth[first + k] > 0) for k in own], pa.float64())], [*(f"x{j}" for j in range(2 * FEATURES)), "toxic"])
+
+    points = rows.mapInArrow(design, ", ".join([*(f"x{j} double" for j in range(2 * FEATURES)), "toxic double"])).toPandas().to_numpy(dtype=float)  # `sample` rows
+    crossed, whole = points[:, :FEATURES], points[:, FEATURES : 2 * FEATURES]
+    return model, lexicons[2], curve(crossed if crossed.any() else whole, points[:, -1])  # halves of a few rows show nothing
+
+
+def half(doc_id: int) -> int:
+    """The half of the sample that a document is in."""
+    return zlib.crc32(b"%d" % doc_id) >> 8 & 1
 
-    points = rows.mapInArrow(design, ", ".join([*(f"x{j} double" for j in range(FEATURES)), "toxic double"])).toPandas().to_numpy(dtype=float)  # `sample` rows
-    return model, lexicon, curve(points[:, :-1], points[:, -1])
+
+def lexicons_of(table: DataFrame, sizes: list[list[int]]) -> list[Lexicon]:
+    """Lexicons of the first half, the second, and both, from the numbers of their toxic (a) and clean (b) rows that hold a key.
+
+    An entry has a likelihood ratio that chance doesn't explain and is commoner in toxic rows. Their number is bounded by the sample's.
+    """
+    columns = []
+    for name, a, b, (toxic, clean) in (("0", F.col("a0"), F.col("b0"), sizes[0]), ("1", F.col("a1"), F.col("b1"), sizes[1]), ("2", F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"), [x + y for x, y in zip(*sizes, strict=True)])):
+        toxic_rows, clean_rows = max(1, toxic), max(1, clean)
+        p = (a + b) / (toxic_rows + clean_rows)
+        loglike = lambda x, n, q: x * F.log(F.greatest(q, F.lit(1e-12))) + (n - x) * F.log(F.greatest(1 - q, F.lit(1e-12)))
+        evidence = 2 * (loglike(a, F.lit(toxic_rows), a / toxic_rows) + loglike(b, F.lit(clean_rows), b / clean_rows) - loglike(a, F.lit(toxic_rows), p) - loglike(b, F.lit(clean_rows), p))
+        weight = F.log((a + 0.5) / (toxic_rows + 1) / ((b + 0.5) / (clean_rows + 1)))
+        told = (evidence >= LEAST_EVIDENCE * float(np.log(toxic_rows + clean_rows))) & (weight > 0)
+        columns.append(F.when(told, weight).otherwise(0.0).alias(f"w{name}"))
+    found = table.select("key", *columns).filter("w0 > 0 or w1 > 0 or w2 > 0").toPandas()
+    keys = found["key"].to_numpy().astype(np.int64).view(np.uint64)
+    weights = [found[f"w{k}"].to_numpy().astype(float) for k in range(3)]
+    return [Lexicon(keys[w > 0], w[w > 0]) for w in weights]
 
 
 def hash_word(word: bytes) -> int:
     return int.from_bytes(word[:8].ljust(8, b"\0"), "big") ^ (int.from_bytes(word[8:16].ljust(8, b"\0"), "big") * 0x9E3779B97F4A7C15 % 2**64)
 
 
-def curve(x: np.ndarray, truth: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Coefficients of a ridge logistic regression by damped Newton steps; the last is the intercept."""
-    design = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(design.shape[1])
-    penalty = ridge * np.diag([1.0] * (len(w) - 1) + [1e-3])
+def curve(x: np.ndarray, truth: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Coefficients of a ridge logistic regression; the last is the intercept.
+
+    More evidence never lowers a score: a feature whose weight would be negative has none. Features are scaled to unit deviation, and
+    Newton steps are halved until the penalised loss falls, so that classes that can be told apart without error have a solution too.
+    """
+    scale = np.maximum(x.std(0), 1e-9)
+    free = [j for j in range(x.shape[1]) if x[:, j].std() > 0]
+    while True:
+        w = _newton(np.column_stack([x[:, free] / scale[free], np.ones(len(x))]), truth, ridge)
+        if not free or w[:-1].min() >= 0:
+            break
+        free.pop(int(w[:-1].argmin()))
+    out = np.zeros(x.shape[1] + 1)
+    out[free], out[-1] = w[:-1] / scale[free], w[-1]
+    return out
+
+
+def _newton(design: np.ndarray, truth: np.ndarray, ridge: float) -> np.ndarray:
+    penalty = ridge * np.diag([1.0] * (design.shape[1] - 1) + [1e-3])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float(np.sum(np.logaddexp(0, z) - truth * z) + w @ penalty @ w / 2)
+
+    w, now = np.zeros(design.shape[1]), np.inf
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
         step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + penalty, design.T @ (truth - p) - penalty @ w)
-        w = w + np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-8:
+        now, share = loss(w), 1.0
+        while share > 1e-9 and loss(w + share * step) > now:
+            share /= 2
+        w = w + share * step
+        if share * np.abs(step).max() < 1e-8:
             break
     return w
 

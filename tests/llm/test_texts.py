@@ -293,6 +293,65 @@ def test_toxicity_learns_from_few_labels(spark):
     assert min(out[k] for k in range(0, 30, 5)) > max(out[k] for k in range(30) if k % 5)
 
 
+def all_readings(restorer, low, spaced):
+    """(score, text) of every path through the lattice of a token, one by one."""
+    paths = [(0.0, (0, 0, langid.SPACE), "")]
+    for k in range(len(low) + 1):
+        options = [(" ", 0.0, langid.SPACE)] if k == len(low) else restorer._options(low, k, spaced)
+        out = []
+        for score, state, text in paths:
+            for new, cost, code in options:
+                if not new:
+                    out.append((score + cost, state, text))
+                    continue
+                key = np.array([state[0] << 48 | state[1] << 32 | state[2] << 16 | code], np.uint64)
+                out.append((score + cost + float(restorer.model.log_probabilities(key)[0, 0]), (state[1], state[2], code), text + new))
+        paths = out
+    return [(score, text.strip()) for score, _, text in paths]
+
+
+@given(st.text(alphabet="1i06t!ssor", min_size=1, max_size=7), st.booleans())
+@settings(max_examples=80, deadline=None)
+def test_restoring_is_the_best_of_all_readings(token, spaced):
+    codes, _, _ = langid.encode(["the loser is an idiot and the moron is trash scum", "gloss its bots"] * 9)
+    restorer = toxicity.Restorer(langid.kneser_ney({"all": np.unique(langid.windows(codes)[codes > 0], return_counts=True)}))
+    low = " ".join(token) if spaced else token
+    readings = all_readings(restorer, low, spaced)
+    best = max(score for score, _ in readings)
+    assert restorer.restore({(low, spaced)})[(low, spaced)] in {text for score, text in readings if score > best - 1e-9}
+
+
+MIXED = re.compile(r"(?<![\w@$!|+€£])[\w@$!|+€£]*?(?:[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9]|([^\W\d_])(?=(.))(?i:\1))[\w@$!|+€£]*")
+
+
+@given(st.lists(st.text(alphabet="aAéß1٣@+_ .*-\n\0", max_size=24), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_tokens_with_a_choice_are_those_of_the_patterns(texts):
+    assert toxicity.mixed_tokens(texts) == [[m.span() for m in MIXED.finditer(t)] for t in texts]
+    for text, places in zip(texts, toxicity.spaced_places(texts), strict=True):
+        assert {m.start() for m in toxicity.SPACED.finditer(text)} <= set(places)
+
+
+@pytest.mark.parametrize("every", [1, 4])
+def test_toxicity_predicts_at_any_density_of_labels(spark, every):
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(["ka", "lo", "mi", "ru", "sen", "ta"], 3)) for _ in range(400)]
+    texts = [" ".join([*r.choice(words, 40), *["vekrubel", "zoldrin"][: (k % 8 == 0) + (k % 16 == 0)]]) for k in range(800)]
+    labels = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(800) if k // 16 % every == 0], "doc_id long, toxic int")
+    out = {x.doc_id: x.predicted for x in toxicity.score_toxicity(spark, table(spark, texts), labels).collect()}
+    assert [out[k] for k in range(800)] == [int(k % 8 == 0) for k in range(800)]
+
+
+def test_curve_of_classes_apart_and_of_features_that_mislead():
+    r = np.random.default_rng(2)
+    truth = (r.random(4000) < 0.1).astype(float)
+    x = np.column_stack([truth * 9 + r.random(4000) * 0.1, truth * 3, 5 - truth])
+    w = toxicity.curve(x, truth)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert w[:-1].min() >= 0 and ((p > 0.7) == (truth > 0)).all()
+    assert not toxicity.curve(-x[:, :2], truth)[:-1].any() and not toxicity.curve(np.zeros((9, 3)), truth[:9])[:-1].any()
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {x.score for x in toxicity.score_toxicity(spark, table(spark, ["a", None]), labels).collect()} == {0.0}
