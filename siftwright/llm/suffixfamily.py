@@ -4,10 +4,14 @@ Every string of `length` bytes has an anchor: the place in it whose next GRAM by
 strings have equal anchors, so strings are dealt to shards by the hash at their anchor and all that could match meet there. The strings
 of one anchor lie side by side; together they are its neighbourhood, and only the bounds of neighbourhoods and their hashes travel.
 
-In a shard, a neighbourhood whose bytes all occur before is wholly repeated. Neighbourhoods that share the anchor but not all of their
-bytes match in part. Their bytes are sent to the shard's index family: in order of documents, each batch gets a suffix array of its
+In a shard, a neighbourhood whose bytes all occur before is wholly repeated; of those that repeat within one task only the earliest
+travels, so a passage that very many documents share is a few records for each task. Neighbourhoods that share the anchor but not all of
+their bytes match in part. Their bytes are sent to the shard's index family: in order of documents, each batch gets a suffix array of its
 strings, is scanned against the levels that are there for matches of full length, and becomes a level itself; levels of equal size are
-merged, so there are logarithmically many and every string is merged as often. Matching strings go back to their documents as ranges.
+merged, so there are logarithmically many and every string is merged as often. A level is an array of places in the shard's text; strings
+are gathered block by block to be compared. Matching strings go back to their documents as ranges.
+
+Shards and buckets follow the counted size of the input, so that each fits a task's memory.
 
 Documents that no range concerns, by a bitmap of bounded size, are never shuffled.
 """
@@ -23,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import checkpoint, chunks, mix64, text_buffer
+from siftwright.llm.common import checkpoint, chunks, mix64, release, text_buffer
 from siftwright.llm.lzprint import powers
 
 LENGTH, GRAM = 100, 36
 #: Bytes hashed at a time, strings that make a batch of the index, notes that a task holds, bits of the bitmap of concerned documents.
-CHUNK, BATCH, FLUSH, BITS = 1 << 19, 100_000, 500_000, 1 << 24
+CHUNK, BATCH, FLUSH, BITS = 1 << 19, 50_000, 500_000, 1 << 24
+#: Bytes of text whose records make a shard, and whose notes make a bucket, on average.
+SHARE = 1 << 23
 #: Stands for a null doc_id, before all others.
 NO_ID = -(2**63)
 
@@ -96,36 +102,52 @@ def neighbourhoods(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, g
 
 
 class SuffixFamily:
-    """Levels of sorted arrays of distinct strings, the older the larger."""
+    """Levels of suffix arrays: places in one text, in the order of the `length` bytes there, each string once, the older the larger."""
 
-    def __init__(self):
+    def __init__(self, text: np.ndarray, length: int = LENGTH):
+        self.windows = np.lib.stride_tricks.sliding_window_view(text, length)
         self.levels: list[np.ndarray] = []
 
-    def add(self, strings: np.ndarray) -> np.ndarray:
-        """Whether each of strings (n x length bytes, in order) is in the family or earlier in strings; then they are in the family."""
-        if not len(strings):
+    def strings(self, places: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.windows[places]).view(f"S{self.windows.shape[1]}").ravel()
+
+    def add(self, places: np.ndarray) -> np.ndarray:
+        """Whether the string at each place is in the family or at an earlier one of places; then they are in the family."""
+        if not len(places):
             return np.zeros(0, bool)
-        keys = np.ascontiguousarray(strings).view(f"S{strings.shape[1]}").ravel()
+        keys = self.strings(places)
         array = np.argsort(keys, kind="stable")  # the suffix array of the batch, cut at the length
         ordered = keys[array]
         first = np.ones(len(keys), bool)
         first[1:] = ordered[1:] != ordered[:-1]
         distinct = ordered[first]
         known = np.zeros(len(distinct), bool)
-        for level in self.levels:  # both sides are sorted: a scan of the one along the other
-            at = np.searchsorted(level, distinct)
-            inside = at < len(level)
-            known[inside] |= level[at[inside]] == distinct[inside]
+        for level in self.levels:
+            known |= self._scan(level, distinct)[1]
         repeated = np.empty(len(keys), bool)
         repeated[array] = ~first | known[np.cumsum(first) - 1]
-        self._push(distinct[~known])
+        self._push(places[array][first][~known])
         return repeated
 
+    def _scan(self, level: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted strings stand in a level, and whether they are there, by a scan of the one along the other."""
+        rows, found = np.zeros(len(strings), np.int64), np.zeros(len(strings), bool)
+        starts = np.arange(0, len(level), BATCH)
+        cuts = np.r_[0, np.searchsorted(strings, self.strings(level[starts[1:]])), len(strings)].tolist()
+        for start, a, b in zip(starts.tolist(), cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            block = self.strings(level[start : start + BATCH])
+            at = np.searchsorted(block, strings[a:b])
+            rows[a:b] = start + at
+            found[a:b] = block[np.minimum(at, len(block) - 1)] == strings[a:b]
+        return rows, found
+
     def _push(self, level: np.ndarray) -> None:
         while self.levels and len(self.levels[-1]) <= 2 * len(level):
-            both = np.concatenate([self.levels.pop(), level])
-            both.sort(kind="stable")  # two runs, which this sort merges
-            level = both
+            older = self.levels.pop()
+            rows = [self._scan(older, self.strings(level[a : a + BATCH]))[0] for a in range(0, len(level), BATCH)]
+            level = np.insert(older, np.concatenate(rows), level) if rows else older
         if len(level):
             self.levels.append(level)
 
@@ -140,32 +162,70 @@ def noted(found: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([pack({k: v[p] for k, v in found.items()}, NOTE) for p in parts], pa.binary())], ["bucket", "payload"])
 
 
+def by_place(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    order = np.lexsort((r["lo"], r["ver"], r["doc"], r["f"], r["h"]))
+    return {k: v[order] for k, v in r.items()}
+
+
+def equal_to_last(r: dict[str, np.ndarray], names: tuple[str, ...]) -> np.ndarray:
+    same = np.ones(len(r["h"]), bool)
+    same[:1] = False
+    for name in names:
+        same[1:] &= r[name][1:] == r[name][:-1]
+    return same
+
+
+def as_notes(r: dict[str, np.ndarray], kind: np.ndarray | int) -> dict[str, np.ndarray]:
+    return {"doc": r["doc"], "ver": r["ver"], "lo": r["lo"], "wide": r["wide"].astype(np.int32), "kind": np.broadcast_to(np.asarray(kind, np.uint8), len(r["doc"]))}
+
+
 def records(docs: DataFrame, shards: int, length: int) -> DataFrame:
-    """(shard, payload) of the neighbourhoods of all documents, by the hash at their anchors."""
+    """(shard, done, payload) of the neighbourhoods of all documents, by the hash at their anchors.
+
+    Of equal ones that a task meets, the earliest is a record and the others are notes already (done), dealt anywhere.
+    """
+
+    def sent(parts: list[dict[str, np.ndarray]], turn: int) -> Iterator[pa.RecordBatch]:
+        r = by_place({name: np.concatenate([p[name] for p in parts]) for name, _ in RECORD})
+        again = equal_to_last(r, ("f", "h"))
+        others = again & ~equal_to_last(r, ("f", "h", "doc", "ver", "lo"))  # whole repeated rows count as one
+        rows = []
+        if others.any():
+            rows.append((turn % shards, True, pack(as_notes({k: v[others] for k, v in r.items()}, WHOLE), NOTE)))
+        r = {k: v[~again] for k, v in r.items()}
+        shard = (r["h"] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        r = {k: v[order] for k, v in r.items()}
+        cuts = np.r_[0, np.flatnonzero(np.diff(shard[order])) + 1, len(order)].tolist()
+        rows += [(int(shard[order[a]]), False, pack({k: v[a:b] for k, v in r.items()}, RECORD)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["shard", "done", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("suffixfamily")
+        parts, held, turn = [], 0, 0
         for batch in batches:
             raw, offsets = text_buffer(batch.column("text"))
             docs_, vers = batch.column("doc_id").to_numpy(), batch.column("ver").to_numpy()
-            parts = []
+            turn = int(docs_[0]) & 0x7FFFFFFF if not turn and len(docs_) else turn
             for a, b in chunks(offsets, CHUNK):
                 text, lo, wide, h, f = neighbourhoods(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-                parts.append({"h": h, "f": f, "doc": docs_[a:b][text], "ver": vers[a:b][text], "lo": lo, "wide": wide})
-            found = {name: np.concatenate([p[name] for p in parts]) for name, _ in RECORD} if parts else {}
-            if not parts or not len(found["h"]):
-                continue
-            shard = (found["h"] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            split = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in split], pa.int32()), pa.array([pack({k: v[p] for k, v in found.items()}, RECORD) for p in split], pa.binary())], ["shard", "payload"])
+                if len(h):
+                    parts.append({name: x.astype(kind) for (name, kind), x in zip(RECORD, (h, f, docs_[a:b][text], vers[a:b][text], lo, wide), strict=True)})
+                    held += len(h)
+                if held > FLUSH:
+                    yield from sent(parts, turn)
+                    parts, held, turn = [], 0, turn + 1
+        if parts:
+            yield from sent(parts, turn)
 
-    return docs.mapInArrow(run, "shard int, payload binary")
+    return docs.mapInArrow(run, "shard int, done boolean, payload binary")
 
 
 def by_key(rows: DataFrame, key: str, parts: int, buckets: int, each: Callable[[list[bytes]], Iterator[dict[str, np.ndarray]]]) -> DataFrame:
-    """Rows (bucket, payload) of the notes that each(key, payloads) finds for every key of rows (key, payload); few rows for a task."""
+    """Rows (bucket, payload) of the notes that each(payloads) finds for every key of rows (key, done, payload), and of those already done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("suffixfamily")
         at, held, found = None, [], []
 
         def sent(all_of_it: bool) -> Iterator[pa.RecordBatch]:
@@ -174,13 +234,16 @@ def by_key(rows: DataFrame, key: str, parts: int, buckets: int, each: Callable[[
                 found.clear()
 
         for batch in batches:
-            for k, payload in zip(batch.column(key).to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for k, done, payload in zip(batch.column(key).to_pylist(), batch.column("done").to_pylist(), batch.column("payload"), strict=True):
                 if k != at:
                     if held:
                         found.extend(each(held))
                         yield from sent(False)
                     at, held = k, []
-                held.append(payload)
+                if done:
+                    found.append(unpack([payload.as_py()], NOTE))
+                else:
+                    held.append(payload.as_py())
         if held:
             found.extend(each(held))
         yield from sent(True)
@@ -192,22 +255,20 @@ def by_key(rows: DataFrame, key: str, parts: int, buckets: int, each: Callable[[
 def classify(payloads: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
     """Notes of the neighbourhoods that repeat: WHOLE if an earlier one is equal, PART if others share the anchor alone."""
     r = unpack(payloads, RECORD)
+    payloads.clear()
     keys, inverse, counts = np.unique(r["h"], return_inverse=True, return_counts=True)
     some = np.flatnonzero(counts[inverse] > 1)
     if not len(some):
         return
-    r = {k: v[some] for k, v in r.items()}
-    order = np.lexsort((r["lo"], r["ver"], r["doc"], r["f"], r["h"]))
-    r = {k: v[order] for k, v in r.items()}
-    new_h = np.r_[True, r["h"][1:] != r["h"][:-1]]
-    new_f = new_h | np.r_[True, r["f"][1:] != r["f"][:-1]]
+    r = by_place({k: v[some] for k, v in r.items()})
+    new_h, new_f = ~equal_to_last(r, ("h",)), ~equal_to_last(r, ("f", "h"))
     first = np.flatnonzero(new_f)[np.cumsum(new_f) - 1]
     later = (r["doc"] != r["doc"][first]) | (r["ver"] != r["ver"][first]) | (r["lo"] != r["lo"][first])
     kinds = np.add.reduceat(new_f, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
     kind = np.where(later, WHOLE, np.where(kinds > 1, PART, 0)).astype(np.uint8)
     keep = np.flatnonzero(kind)
     if len(keep):
-        yield {"doc": r["doc"][keep], "ver": r["ver"][keep], "lo": r["lo"][keep], "wide": r["wide"][keep].astype(np.int32), "kind": kind[keep]}
+        yield as_notes({k: v[keep] for k, v in r.items()}, kind[keep])
 
 
 def bitmap(rows: DataFrame) -> np.ndarray:
@@ -295,9 +356,10 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
     one and have the same result. Other columns are ignored.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, buckets = max(64, 2 * parts), max(64, parts)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("ver", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int"))
+    share = (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE
+    shards, buckets = max(64, 2 * parts, share), max(64, parts, share)
     notes = checkpoint(spark, by_key(records(own, shards, length), "shard", parts, buckets, classify))
     partly, touched = concerned(notes, (PART,)), concerned(notes, (WHOLE, PART))
 
@@ -309,7 +371,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
             for shard, own_rows in rows.items():
                 d, v, a, w, t = zip(*own_rows, strict=True)
                 head = pack({"doc": np.array(d, np.int64), "ver": np.array(v), "lo": np.array(a), "wide": np.array(w), "kind": np.full(len(d), PART)}, NOTE)
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(d).to_bytes(4, "little") + head + b"".join(t)], pa.binary())], ["shard", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([False]), pa.array([len(d).to_bytes(4, "little") + head + b"".join(t)], pa.binary())], ["shard", "done", "payload"])
             rows.clear()
 
         for doc, ver, raw, n in found:
@@ -331,12 +393,14 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
             heads.append(raw[4 : 4 + n * width])
             texts.append(np.frombuffer(raw, np.uint8, offset=4 + n * width))
         n, text = unpack(heads, NOTE), np.concatenate(texts)
+        payloads.clear()
+        heads, texts = [], []
         sizes = n["wide"].astype(np.int64) + length
         at = np.cumsum(sizes) - sizes
         order = np.lexsort((n["lo"], n["ver"], n["doc"]))
         same = np.r_[False, (np.diff(n["doc"][order]) == 0) & (np.diff(n["ver"][order]) == 0) & (np.diff(n["lo"][order]) == 0)]
         order = order[~same]  # whole repeated rows count as one
-        family, view = SuffixFamily(), np.lib.stride_tricks.sliding_window_view(text, length)
+        family = SuffixFamily(text, length)
         counts = n["wide"][order].astype(np.int64) + 1
         cuts = np.searchsorted(np.cumsum(counts), np.arange(BATCH, counts.sum() + BATCH, BATCH))
         start = 0
@@ -344,7 +408,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
             own_order, own_counts = order[start:stop], counts[start:stop]
             which = np.repeat(np.arange(len(own_order)), own_counts)
             step = np.arange(len(which)) - np.repeat(np.cumsum(own_counts) - own_counts, own_counts)
-            repeated = family.add(view[at[own_order][which] + step])
+            repeated = family.add(at[own_order][which] + step)
             begin = repeated & (np.r_[True, ~repeated[:-1]] | (step == 0))
             end = repeated & (np.r_[~repeated[1:], True] | (step == own_counts[which] - 1))
             a, b = np.flatnonzero(begin), np.flatnonzero(end)
@@ -380,7 +444,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
             if rows:
                 yield result_batch(rows)
 
-    partial = meet(own, notes, partly, buckets, parts, contexts, "shard int, payload binary")
+    partial = meet(own, notes, partly, buckets, parts, contexts, "shard int, done boolean, payload binary")
     ranges = checkpoint(spark, by_key(partial, "shard", parts, buckets, index))
     return meet(own, notes.unionByName(ranges), touched, buckets, parts, finish, RESULT).unionByName(own.mapInArrow(untouched, RESULT))
 

@@ -61,16 +61,26 @@ def test_neighbourhoods_cover_every_string_once(texts):
             assert by_string.setdefault(texts[t][a + k : a + k + length], x) == x
 
 
-@given(st.lists(st.lists(st.binary(min_size=4, max_size=4).map(lambda b: bytes(x % 2 for x in b)), max_size=30), max_size=8))
+@given(st.lists(st.lists(st.binary(min_size=4, max_size=4).map(lambda b: bytes(x % 2 for x in b)), max_size=30), max_size=8), st.sampled_from([3, 100]))
 @settings(max_examples=150, deadline=None)
-def test_family_finds_what_is_there(batches):
-    family, seen = suffixfamily.SuffixFamily(), set()
-    for batch in batches:
-        wanted = []
-        for s in batch:
-            wanted.append(s in seen)
-            seen.add(s)
-        assert family.add(np.array([list(s) for s in batch], np.uint8).reshape(-1, 4)).tolist() == wanted
+def test_family_finds_what_is_there(batches, block):
+    text = np.frombuffer(b"".join(s for batch in batches for s in batch) + b"zzzz", np.uint8)
+    at = np.cumsum([0, *map(len, batches)]) * 4
+    monkey = suffixfamily.BATCH
+    suffixfamily.BATCH = block  # blocks of a scan smaller than the levels
+    try:
+        family, seen = suffixfamily.SuffixFamily(text, 4), set()
+        for batch, a in zip(batches, at.tolist(), strict=False):
+            wanted = []
+            for s in batch:
+                wanted.append(s in seen)
+                seen.add(s)
+            assert family.add(a + 4 * np.arange(len(batch))).tolist() == wanted
+    finally:
+        suffixfamily.BATCH = monkey
+    for level in family.levels:
+        strings = [text[p : p + 4].tobytes() for p in level.tolist()]
+        assert strings == sorted(set(strings))
     assert all(len(a) > 2 * len(b) for a, b in zip(family.levels, family.levels[1:], strict=False))
 
 
@@ -97,7 +107,6 @@ def brute_groups(rows, least=85):
 @pytest.mark.parametrize("rounds", [(3, None), (1, None)])
 def test_jaccard_groups_against_brute_force(spark, rounds, monkeypatch):
     monkeypatch.setattr(jaccardjoin, "ROUNDS", rounds)
-    monkeypatch.setattr(jaccardjoin, "OFTEN", 8)
     r = np.random.default_rng(3)
     words = [f"w{k}" for k in range(500)]
     base = [list(r.choice(words, n)) for n in (60, 60, 80, 200, 25, 10, 4, 3, 1)]
