@@ -59,7 +59,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document after repeated lines go, as a digest, with the spans that went."""
+    """What is left of each document after repeated passages go, as a digest, with the spans that went."""
     from pyspark.sql import functions as F
 
     from siftwright.llm.linededup import dedup_units
@@ -82,15 +82,18 @@ FROM w LEFT JOIN per_word USING (doc_id) LEFT JOIN per_item USING (doc_id)
 """
 
 ORACLE_SQL["op9_line_dedup"] = r"""
-WITH lines AS (
-       SELECT doc_id, k, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS start,
-              trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\x0B\f\r ]+', ' ', 'g')) AS unit
-       FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents)),
-     judged AS (SELECT *, CASE WHEN len(string_split(unit, ' ')) >= 5 THEN row_number() OVER (PARTITION BY unit ORDER BY doc_id, k) > 1 ELSE false END AS gone FROM lines)
-SELECT d.doc_id, CASE WHEN any_value(d.text) IS NULL THEN 0 ELSE count(*) END AS n_units, count(*) FILTER (gone) AS n_removed,
-       coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT), ',' ORDER BY k) FILTER (gone), '') AS spans,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged j JOIN documents d ON d.doc_id = j.doc_id GROUP BY d.doc_id
+WITH cut AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]|[^.!?\n]+')) AS piece, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]|[^.!?\n]+'), 1) AS k FROM documents),
+     units AS (
+       SELECT doc_id, k, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) AS start,
+              trim(regexp_replace(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?\n]$', ''), '[\t\x0B\f\r ]+', ' ', 'g')) AS unit FROM cut),
+     judged AS (SELECT *, unit <> '' AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, k) > 1 AS again FROM units),
+     parted AS (SELECT *, sum(CASE WHEN unit <> '' AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS part FROM judged),
+     runs AS (SELECT doc_id, part, min(k) AS a, max(k) AS b FROM parted WHERE again GROUP BY doc_id, part HAVING sum(length(unit)) >= 100),
+     marked AS (SELECT p.*, r.a IS NOT NULL AS gone, r.a FROM parted p LEFT JOIN runs r ON r.doc_id = p.doc_id AND p.k BETWEEN r.a AND r.b),
+     spans AS (SELECT doc_id, string_agg(span, ',' ORDER BY a) AS spans FROM (SELECT doc_id, a, CAST(min(start) AS BIGINT) || ':' || CAST(max(start + length(piece)) AS BIGINT) AS span FROM marked WHERE gone GROUP BY doc_id, a) GROUP BY doc_id),
+     totals AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(piece, '' ORDER BY k) FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN totals USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 

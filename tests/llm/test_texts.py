@@ -361,21 +361,67 @@ def test_toxicity_without_labels(spark):
 # --- lines
 
 
-def test_line_dedup_against_brute_force(spark):
-    long = "one two three four five six"
-    texts = [f"{long}\nshort line\n{long.upper()}", f"short line\n  {long.replace(' ', '  ')}  \nnew words that nobody else ever wrote", None, "", "a b c d e\n" * 3000, f"{long}\nshort line\n{long.upper()}"]
-    out = {r.doc_id: r for r in linededup.dedup_units(table(spark, texts)).collect()}
-    seen = set()
+def brute_runs(texts, ends, least):
+    """(kept text, spans, units removed) of each text, from the definition."""
+    seen, out = set(), []
+    for t in texts:
+        pieces, at = [], 0
+        while at < len(t):
+            end = next((k + 1 for k in range(at, len(t)) if t[k] in ends), len(t))
+            core = t[at : end - 1] if t[end - 1] in ends else t[at:end]
+            core = re.sub("[A-Z]", lambda m: m[0].lower(), core)
+            pieces.append((at, end, re.sub(r"[\t\x0b\f\r\n ]+", " ", core).strip(" ")))
+            at = end
+        again = []
+        for *_, norm in pieces:
+            again.append(None if not norm else norm in seen)
+            seen.add(norm)
+        spans, n, k = [], 0, 0
+        while k < len(pieces):
+            if not again[k]:
+                k += 1
+                continue
+            stop = k
+            while stop < len(pieces) and again[stop] is not False:
+                stop += 1
+            while not again[stop - 1]:
+                stop -= 1
+            if sum(len(p[2]) for p in pieces[k:stop] if p[2]) >= least:
+                spans.append((pieces[k][0], pieces[stop - 1][1]))
+                n += stop - k
+            k = stop
+        kept = "".join(c for j, c in enumerate(t) if not any(a <= j < b for a, b in spans))
+        out.append((kept, ",".join(f"{a}:{b}" for a, b in spans), n))
+    return out
+
+
+@pytest.mark.parametrize(("unit", "ends", "least"), [("sentence", ".!?\n", 100), ("sentence", ".!?\n", 1), ("line", "\n", 20)])
+def test_line_dedup_against_brute_force(spark, unit, ends, least):
+    long = "one two three four five six. And seven eight nine ten eleven twelve! Then ñ thirteen fourteen,\tfifteen sixteen"
+    texts = [
+        f"{long}\nshort line\n{long.upper().replace('Ñ', 'ñ')}", f"short line\n  {long.replace(' ', '  ')}  \nnew words that nobody else ever wrote", None, "", "a b c d e\n" * 3000,
+        f"{long}\nshort line\n{long.upper().replace('Ñ', 'ñ')}", f"before it {long}. Short line.\n\n. {long} and after it", "short line. And so on", "...\n\n", f"{long[:70]}? no {long}", "x" * 200_000, "y " * 100 + "x" * 200_000,
+    ]
+    out = {r.doc_id: r for r in linededup.dedup_units(table(spark, texts), unit, least).collect()}
+    wanted = brute_runs([t or "" for t in texts], ends, least)
     for k, t in enumerate(texts):
-        kept, gone, at = [], [], 0
-        for line in (t or "").split("\n"):
-            unit = " ".join(line.encode().lower().decode().split())
-            if len(unit.split()) >= 5 and unit in seen:
-                gone.append(f"{at}:{at + len(line)}")
-            else:
-                kept.append(line)
-            if len(unit.split()) >= 5:
-                seen.add(unit)
-            at += len(line) + 1
-        assert out[k].kept_text == (None if t is None else "\n".join(kept)) and out[k].spans == ",".join(gone) and out[k].n_removed == len(gone)
-    assert linededup.dedup_units(table(spark, [])).count() == 0
+        assert ((out[k].kept_text or ""), out[k].spans, out[k].n_removed) == wanted[k], k
+        assert (out[k].kept_text is None) == (t is None)
+    assert linededup.dedup_units(table(spark, []), unit).count() == 0
+
+
+def test_line_dedup_of_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FLUSH", 1)
+    rows = [(None, "a b. c d."), (3, "A b. x y."), (3, "A b. x y."), (3, "x y. p q."), (9, "p q. a b. new.")]
+    docs = spark.createDataFrame([(*r, "v", 1) for r in rows], "doc_id long, text string, version string, k int")
+    out = {(r.doc_id, r.text): r.kept_text for r in linededup.dedup_units(docs, least=1).collect()}
+    assert out[None, "a b. c d."] == "a b. c d." and out[9, "p q. a b. new."] == " new."
+    texts = {out[3, t] for t in ("A b. x y.", "x y. p q.")}
+    assert texts in ({" x y.", " p q."}, {"", "x y. p q."})  # by the hash that ranks the two
+    assert linededup.dedup_units(docs, least=1).count() == 5
+
+
+def test_line_dedup_of_a_unit_that_all_share(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('the same words stand in every text of this table', if(id % 2 = 0, '', concat('. own ', id))) AS text")
+    out = linededup.dedup_units(docs.repartition(7), least=20).groupBy("n_removed").count().collect()
+    assert {r.n_removed: r["count"] for r in out} == {0: 1, 1: 2999}
