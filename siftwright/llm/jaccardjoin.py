@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwright.llm.common import checkpoint, chunks, hold, mix64, release, text_buffer
@@ -33,8 +33,8 @@ from siftwright.llm.suffixfamily import bitmap, marked, slot_of
 WIDTH = 4
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 85
-#: Share of the hash space whose shingles are counted, and the count from which one is common; at most COMMON of them are set last.
-LOW, OFTEN, COMMON = 0.2, 512, 1_000_000
+#: Shingles in the lowest part of the hash space, in which nearly all prefixes end, are ordered by how many documents hold them.
+LOW_SHARE = 4 / 3
 #: Nearest documents of other groups that each meets in a region, round by round (at last all that may link), out of so many before it.
 ROUNDS, RECENT = (3, None), 256
 PARTS = 64
@@ -119,97 +119,62 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.abs(x.astype(np.int64) - y).sum())
 
 
+def low_bound(least: int) -> np.uint64:
+    return np.uint64(min(2**64 - 1, int(LOW_SHARE * (100 - least) / 100 * 2**64)))
+
+
 def described(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """(doc_id, n, digest, head, profile, fine): head is the low shingles, or as many as the prefix has if those are more."""
-    low = np.uint64(int(LOW * 2**64))
+    """(doc_id, n, digest, n_low, head, profile, fine): head is the n_low low shingles, and as many others as the prefix may need."""
+    low = low_bound(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("jaccardjoin")
         for batch in batches:
-            n, digest, head, counts, fine = [], [], [], [], []
+            n, digest, n_low, head, counts, fine = [], [], [], [], [], []
             for s in sets_of(batch, width):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                head.append(s[: max(int(np.searchsorted(s, low)), prefix_size(len(s), least))].tobytes())
+                n_low.append(int(np.searchsorted(s, low)))
+                head.append(s[: max(n_low[-1], prefix_size(len(s), least))].tobytes())
                 counts.append(profile(s))
                 fine.append(profile(s, fine_parts(len(s))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, head, counts, fine))], ["doc_id", "n", "digest", "head", "profile", "fine"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, head binary, profile binary, fine binary")
-
-
-def common_shingles(rows: DataFrame) -> np.ndarray:
-    """Sorted low shingles that more than OFTEN rows hold, the COMMON most frequent at most."""
-    low = np.uint64(int(LOW * 2**64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(n_low, pa.int64()), *(pa.array(x, pa.binary()) for x in (head, counts, fine))],
+                ["doc_id", "n", "digest", "n_low", "head", "profile", "fine"],
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = np.frombuffer(b"".join(batch.column("head").to_pylist()), np.uint64)
-            keys, counts = np.unique(heads[heads < low], return_counts=True)
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000].astype(np.int64))], ["key", "n"])
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, n_low long, head binary, profile binary, fine binary")
 
-    often = rows.select("head").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > OFTEN)
-    found = often.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy().astype(np.int64)
-    return np.sort(found.view(np.uint64))
 
+def memberships(nodes: DataFrame, least: int) -> DataFrame:
+    """(region, node, place) of the regions with two nodes or more; regions of the same nodes are one, their first in the order.
 
-def memberships(nodes: DataFrame, common: np.ndarray, least: int) -> DataFrame:
-    """(region, node) of the regions with two nodes or more; regions of the same nodes are one."""
+    The order of shingles: low ones that one node alone holds, other low ones by the number of nodes that hold them, the rest by hash.
+    place is the number of a node's shingles that come before the region's.
+    """
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners = [], []
-            for node, n, head in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "head")), strict=True):
-                s = np.frombuffer(head, np.uint64)
-                if len(common):
-                    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    if late.any():  # common shingles go after the other low ones, before those that weren't counted
-                        high = s >= np.uint64(int(LOW * 2**64))
-                        s = np.concatenate([s[~late & ~high], s[late], s[high]])
-                s = s[: prefix_size(n, least)]
-                keys.append(s)
-                owners.append(np.full(len(s), node, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "node"])
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held_key, held = None, []
-        for batch in batches:
-            keys, members = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            out_region, out_node = [], []
-            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(keys)].tolist(), strict=True):
-                if held_key is not None and held_key == keys[a]:
-                    held.append(members[a:b])
-                    continue
-                close(held, seen, out_region, out_node)
-                held_key, held = keys[a], [members[a:b]]
-            if out_region:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_region)), pa.array(np.concatenate(out_node))], ["region", "node"])
-        out_region, out_node = [], []
-        close(held, seen, out_region, out_node)
-        if out_region:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_region)), pa.array(np.concatenate(out_node))], ["region", "node"])
-
-    def close(held: list, seen: set, out_region: list, out_node: list) -> None:
-        if not held or len(held) == 1 and len(held[0]) == 1:
-            return
-        nodes = np.unique(np.concatenate(held))
-        if len(nodes) < 2:
-            return
-        region = int.from_bytes(hashlib.blake2b(nodes.tobytes(), digest_size=8).digest(), "little", signed=True)
-        if region in seen:
-            return
-        if len(seen) > 1_000_000:
-            seen.clear()
-        seen.add(region)
-        out_region.append(np.full(len(nodes), region))
-        out_node.append(nodes)
-
-    spread = nodes.select("node", "n", "head").mapInArrow(place, "key long, node long").repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(grouped, "region long, node long").dropDuplicates(["region", "node"])
+            sizes = np.array([len(x) // 8 for x in batch.column("head").to_pylist()], np.int64)
+            if not sizes.sum():
+                continue
+            keys = np.frombuffer(b"".join(batch.column("head").to_pylist()), np.int64)
+            index = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            late = np.where(index >= np.repeat(batch.column("n_low").to_numpy(), sizes), index, -1)
+            owner = np.repeat(batch.column("node").to_numpy(), sizes)
+            for a in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (keys, owner, late.astype(np.int32))], ["key", "node", "late"])
+
+    held = nodes.select("node", "n_low", "head").mapInArrow(explode, "key long, node long, late int")
+    often = held.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = held.join(often, "key")
+    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("late", "often", "key"))).withColumn("n_shared", F.sum(F.expr("int(late < 0)")).over(Window.partitionBy("node")))
+    prefix = nodes.select("node", "n_low", F.expr(f"n - ceil({least} * n / 100) + 1").alias("size"))
+    placed = ranked.join(prefix, "node").select("key", "node", "often", F.expr("late >= 0").alias("high"), F.expr("if(late < 0, n_low - n_shared + rank - 1, late)").cast("int").alias("place"), "size").filter("place < size").drop("size")
+    placed = placed.select("key", "node", "place", F.struct("high", F.expr("if(high, 0, often)").alias("often"), "key").alias("order"))
+    alike = placed.groupBy("key").agg(F.count("*").alias("count"), F.min("order").alias("order"), *(F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2))).filter("count > 1")
+    firsts = alike.groupBy("count", "sum1", "sum2").agg(F.min("order").alias("order")).select("order.key")
+    return placed.join(firsts, "key").select(F.col("key").alias("region"), "node", "place")
 
 
 class Region:
@@ -217,53 +182,58 @@ class Region:
 
     def __init__(self):
         self.first = self.last = 0
-        self.nodes, self.sizes, self.groups = (np.zeros(64, np.int64) for _ in range(3))
+        self.nodes, self.sizes, self.groups, self.places = (np.zeros(64, np.int64) for _ in range(4))
         self.counts = np.zeros((64, PARTS), np.int16)
 
     def forget(self, n: int, least: int) -> None:
         self.first += int(np.searchsorted(self.sizes[self.first : self.last], -(-least * n // 100)))
 
-    def near(self, n: int, counts: np.ndarray, label: int, least: int, most: int | None) -> np.ndarray:
-        """Nodes of other groups whose symmetric difference may be small enough; the nearest of recent ones if only `most` are asked for."""
+    def near(self, n: int, place: int, counts: np.ndarray, label: int, least: int, most: int | None) -> np.ndarray:
+        """Nodes of other groups that may share enough shingles; the nearest of recent ones if only `most` are asked for.
+
+        If the region is the first that a pair has in common, the shingles before their places aren't shared.
+        """
         start = self.first if most is None else max(self.first, self.last - RECENT)
-        others = start + np.flatnonzero(self.groups[start : self.last] != label)
+        own = slice(start, self.last)
+        shared = np.minimum(self.sizes[own] - self.places[own], n - place)
+        others = start + np.flatnonzero((self.groups[own] != label) & ((100 + least) * shared >= least * (self.sizes[own] + n)))
         apart = np.abs(self.counts[others] - counts).sum(1, dtype=np.int64)
         keep = np.flatnonzero((100 + least) * apart <= (100 - least) * (self.sizes[others] + n))
         if most is not None and len(keep) > most:
             keep = keep[np.argpartition(apart[keep], most - 1)[:most]]
         return self.nodes[others[keep]]
 
-    def hold(self, node: int, n: int, counts: np.ndarray, label: int) -> None:
+    def hold(self, node: int, n: int, place: int, counts: np.ndarray, label: int) -> None:
         if self.last == len(self.nodes):  # what is forgotten makes room, or the room doubles
             own, size = slice(self.first, self.last), max(64, 2 * (self.last - self.first))
-            for name in ("nodes", "sizes", "groups", "counts"):
+            for name in ("nodes", "sizes", "groups", "places", "counts"):
                 old = getattr(self, name)
                 new = np.zeros((size, *old.shape[1:]), old.dtype)
                 new[: self.last - self.first] = old[own]
                 setattr(self, name, new)
             self.first, self.last = 0, self.last - self.first
         k = self.last
-        self.nodes[k], self.sizes[k], self.groups[k], self.counts[k] = node, n, label, counts
+        self.nodes[k], self.sizes[k], self.groups[k], self.places[k], self.counts[k] = node, n, label, place, counts
         self.last += 1
 
 
 def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
-    """(a, b) pairs of members (region, node, n, profile, label) of different labels that may link; for each the `most` nearest, or all."""
+    """(a, b) pairs of members (region, node, place, n, profile, label) of different labels that may link; for each the `most` nearest, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, seen = Region(), None
         for batch in batches:
             found_a, found_b = [], []
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "node", "n", "label")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "node", "place", "n", "label")]
             counts = np.frombuffer(b"".join(batch.column("profile").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
-            for key, node, n, label, own in zip(*(c.tolist() for c in columns), counts, strict=True):
+            for key, node, place, n, label, own in zip(*(c.tolist() for c in columns), counts, strict=True):
                 if seen != key:
                     region, seen = Region(), key
                 region.forget(n, least)
-                others = region.near(n, own, label, least, most)
+                others = region.near(n, place, own, label, least, most)
                 found_a.append(np.minimum(others, node))
                 found_b.append(np.maximum(others, node))
-                region.hold(node, n, own, label)
+                region.hold(node, n, place, own, label)
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
 
@@ -341,14 +311,14 @@ def linked_groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, leas
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = checkpoint(spark, described(own, width, least))
     named = rows.filter("n > 0 and doc_id is not null")
-    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head"))
-    members = checkpoint(spark, memberships(nodes, common_shingles(named), least))
+    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("n_low").alias("n_low"), F.first("head").alias("head"))
+    members = checkpoint(spark, memberships(nodes, least))
     profiles = named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "profile", "fine")
     found = done = None
     for most in ROUNDS:
         labelled = members.withColumn("label", F.col("node"))
         if found is not None:
-            labelled = members.join(found, "node", "left").select("region", "node", F.coalesce("component", "node").alias("label"))
+            labelled = members.join(found, "node", "left").select("region", "node", "place", F.coalesce("component", "node").alias("label"))
         mixed = labelled.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
         pairs = candidates(labelled.join(mixed, "region").join(profiles.drop("fine"), "node"), least, most)
         pairs = checkpoint(spark, pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
