@@ -4,13 +4,14 @@ Jaccard distance is a metric, and the pivots of this join are single shingles: a
 of that pivot, any other at distance 1. Taking pivots in one global order, a document's Voronoi region is that of the first shingle it
 holds. The triangle inequality bounds how far a partner's region can be: at distance t at most t * n shingles are missing, so a document
 is replicated to the regions of its first n - ceil((1 - t) * n) + 1 shingles and no others, and every pair within t meets in a region.
-Shingles that very many documents hold come late in the order, so that common passages open no regions of their own.
-
-Regions with the same members are one. Within a region, documents run in order of size with a window on the size ratio; counts of
-shingles by hash part, coarse at first and finer for pairs that pass, bound the symmetric difference from below, and what is left is
-verified on the whole sets. Regions are joined recursively: at first each document meets its nearest neighbours of other groups, links
-that hold merge groups, regions of one group drop out, and what is left is joined in full. So a group of very many near copies costs a
-few pairs for each, and still no two documents that link stay apart. Equal sets are one node from the start.
+The order goes by the number of documents that hold a shingle, counted over all, so that chance and common passages open few regions.
+
+Regions with the same members are one. A large region is split again: into shells by the distance from the empty set, with the shell next
+to each, and those into blocks that meet in pairs. Within a part, documents run in order of size; what can be shared after the places of
+the region's shingle, and counts of shingles by hash part, coarse and then fine, bound the similarity from above. What is left is verified
+on the whole sets. Regions are joined recursively: at first each document meets its nearest neighbours of other groups, links that hold
+merge groups, regions of one group drop out, and what is left is joined in full. So a group of very many near copies costs a few pairs for
+each, and still no two documents that link stay apart. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ LEAST = 85
 LOW_SHARE = 4 / 3
 #: Nearest documents of other groups that each meets in a region, round by round (at last all that may link), out of so many before it.
 ROUNDS, RECENT = (3, None), 256
-PARTS = 64
+#: Members of a region, or of a part of one, that are compared in one task.
+LARGE = 2048
+#: Parts of the counts that are compared first.
+COARSE = 64
 
 _bytes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _bytes[0x41:0x5B] = _bytes[0x61:0x7B]
@@ -96,27 +100,32 @@ def prefix_size(n: int, least: int = LEAST) -> int:
     return n - (least * n + 99) // 100 + 1 if n else 0
 
 
-def profile(shingles: np.ndarray, parts: int = PARTS) -> bytes:
-    """Counts of shingles by part of the hash space, up to 255."""
-    return np.minimum(np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+def parts_of(n: int) -> int:
+    """Parts of the hash space that the shingles of a set are counted by, a power of two; about one shingle each."""
+    return 1 << min(15, max(6, (n - 1).bit_length()))
+
+
+def profile(shingles: np.ndarray) -> bytes:
+    """Counts of shingles by part of the hash space, four bits each; 15 stands for more, too."""
+    parts = parts_of(len(shingles))
+    counts = np.minimum(np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 15).astype(np.uint8)
+    return (counts[0::2] | counts[1::2] << 4).tobytes()
+
+
+def counts_of(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8)
+    return np.column_stack([raw & 15, raw >> 4]).ravel()
 
 
-def fine_parts(n: int) -> int:
-    """Parts of a profile that holds a few shingles each."""
-    return 1 << min(14, max(6, (n // 3).bit_length()))
+def folded(counts: np.ndarray, parts: int) -> np.ndarray:
+    """Counts by fewer parts; a count that may be larger stays 15 or more."""
+    return np.minimum(counts.reshape(-1, parts).sum(0, dtype=np.int64), 255).astype(np.uint8)
 
 
-def apart(x: np.ndarray, y: np.ndarray) -> int:
-    """At least so many shingles are in one of two sets alone, by their fine profiles."""
-    if len(x) < len(y):
-        x, y = y, x
-    if len(x) > len(y):
-        if int(x.max()) == 255:  # a count that may be larger can't be summed
-            return 0
-        x = x.reshape(-1, len(y)).sum(0, dtype=np.int64)
-        y = y.astype(np.int64)
-        x = np.where((y == 255) & (x > 255), 255, x)
-    return int(np.abs(x.astype(np.int64) - y).sum())
+def difference(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """At least so many shingles are in one of two sets alone, by their counts; what may be larger than counted says nothing."""
+    apart = np.abs(many.astype(np.int16) - one.astype(np.int16))
+    return np.where((many >= 15) | (one >= 15), 0, apart).sum(1, dtype=np.int64)
 
 
 def low_bound(least: int) -> np.uint64:
@@ -124,26 +133,25 @@ def low_bound(least: int) -> np.uint64:
 
 
 def described(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """(doc_id, n, digest, n_low, head, profile, fine): head is the n_low low shingles, and as many others as the prefix may need."""
+    """(doc_id, n, digest, n_low, head, profile): head is the n_low low shingles, and as many others as the prefix may need."""
     low = low_bound(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("jaccardjoin")
         for batch in batches:
-            n, digest, n_low, head, counts, fine = [], [], [], [], [], []
+            n, digest, n_low, head, counts = [], [], [], [], []
             for s in sets_of(batch, width):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 n_low.append(int(np.searchsorted(s, low)))
                 head.append(s[: max(n_low[-1], prefix_size(len(s), least))].tobytes())
                 counts.append(profile(s))
-                fine.append(profile(s, fine_parts(len(s))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(n_low, pa.int64()), *(pa.array(x, pa.binary()) for x in (head, counts, fine))],
-                ["doc_id", "n", "digest", "n_low", "head", "profile", "fine"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(n_low, pa.int64()), *(pa.array(x, pa.binary()) for x in (head, counts))],
+                ["doc_id", "n", "digest", "n_low", "head", "profile"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, n_low long, head binary, profile binary, fine binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, n_low long, head binary, profile binary")
 
 
 def memberships(nodes: DataFrame, least: int) -> DataFrame:
@@ -178,17 +186,19 @@ def memberships(nodes: DataFrame, least: int) -> DataFrame:
 
 
 class Region:
-    """Members of a region in order of size; those from first to last may still link with a later one."""
+    """Members of a region whose counts have the same parts, in order of size; those from first to last may still link with a later one."""
 
-    def __init__(self):
-        self.first = self.last = 0
-        self.nodes, self.sizes, self.groups, self.places = (np.zeros(64, np.int64) for _ in range(4))
-        self.counts = np.zeros((64, PARTS), np.int16)
+    FIELDS = ("nodes", "sizes", "groups", "places", "coarse", "fine")
+
+    def __init__(self, parts: int):
+        self.parts, self.first, self.last = parts, 0, 0
+        self.nodes, self.sizes, self.groups, self.places = (np.zeros(16, np.int64) for _ in range(4))
+        self.coarse, self.fine = np.zeros((16, COARSE), np.uint8), np.zeros((16, parts), np.uint8)
 
     def forget(self, n: int, least: int) -> None:
         self.first += int(np.searchsorted(self.sizes[self.first : self.last], -(-least * n // 100)))
 
-    def near(self, n: int, place: int, counts: np.ndarray, label: int, least: int, most: int | None) -> np.ndarray:
+    def near(self, n: int, place: int, coarse: np.ndarray, fine: np.ndarray, label: int, least: int, most: int | None) -> np.ndarray:
         """Nodes of other groups that may share enough shingles; the nearest of recent ones if only `most` are asked for.
 
         If the region is the first that a pair has in common, the shingles before their places aren't shared.
@@ -197,66 +207,81 @@ class Region:
         own = slice(start, self.last)
         shared = np.minimum(self.sizes[own] - self.places[own], n - place)
         others = start + np.flatnonzero((self.groups[own] != label) & ((100 + least) * shared >= least * (self.sizes[own] + n)))
-        apart = np.abs(self.counts[others] - counts).sum(1, dtype=np.int64)
-        keep = np.flatnonzero((100 + least) * apart <= (100 - least) * (self.sizes[others] + n))
-        if most is not None and len(keep) > most:
-            keep = keep[np.argpartition(apart[keep], most - 1)[:most]]
-        return self.nodes[others[keep]]
-
-    def hold(self, node: int, n: int, place: int, counts: np.ndarray, label: int) -> None:
+        apart = np.zeros(0)
+        for counts, one in ((self.coarse, coarse), (self.fine, fine)):
+            if not len(others):
+                return self.nodes[others]
+            apart = difference(counts[others], one)
+            keep = (100 + least) * apart <= (100 - least) * (self.sizes[others] + n)
+            others, apart = others[keep], apart[keep]
+        if most is not None and len(others) > most:
+            others = others[np.argpartition(apart, most - 1)[:most]]
+        return self.nodes[others]
+
+    def hold(self, *member) -> None:
         if self.last == len(self.nodes):  # what is forgotten makes room, or the room doubles
-            own, size = slice(self.first, self.last), max(64, 2 * (self.last - self.first))
-            for name in ("nodes", "sizes", "groups", "places", "counts"):
+            own, size = slice(self.first, self.last), max(16, 2 * (self.last - self.first))
+            for name in self.FIELDS:
                 old = getattr(self, name)
                 new = np.zeros((size, *old.shape[1:]), old.dtype)
                 new[: self.last - self.first] = old[own]
                 setattr(self, name, new)
             self.first, self.last = 0, self.last - self.first
-        k = self.last
-        self.nodes[k], self.sizes[k], self.groups[k], self.places[k], self.counts[k] = node, n, label, place, counts
+        for name, value in zip(self.FIELDS, member, strict=True):
+            getattr(self, name)[self.last] = value
         self.last += 1
 
 
+def split(members: DataFrame, least: int) -> DataFrame:
+    """members (region, n, node, ...) with the shell and blocks of a region that each is in, so that no part of one is large.
+
+    A region of more than LARGE members is cut into shells by their distance from the empty set, which is their size: partners are in the
+    same shell or the next one. A shell that is still large is cut into blocks by hash, and every pair of blocks meets. So every pair that
+    may link meets in some part, and parts are regions of their own.
+    """
+    width = float(np.log(100 / least)) * 1.001
+    large = members.groupBy("region").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE)
+    shell = F.floor(F.log(F.col("n")) / width).cast("int")
+    both = members.join(large, "region", "left").withColumn("shell", F.explode(F.when(F.col("size").isNull(), F.array(F.lit(-1))).otherwise(F.array(shell, shell + 1)))).drop("size")
+    crowds = both.filter("shell >= 0").groupBy("region", "shell").agg(F.ceil(F.count("*") / LARGE).cast("int").alias("blocks")).filter("blocks > 1")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("low"), F.greatest(k, block).alias("high")))
+    alone = F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high")))
+    return both.join(crowds, ["region", "shell"], "left").withColumn("block", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets))).drop("blocks")
+
+
 def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
     """(a, b) pairs of members (region, node, place, n, profile, label) of different labels that may link; for each the `most` nearest, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, seen = Region(), None
+        release("jaccardjoin")
+        regions, seen = [], None
         for batch in batches:
             found_a, found_b = [], []
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "node", "place", "n", "label")]
-            counts = np.frombuffer(b"".join(batch.column("profile").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
-            for key, node, place, n, label, own in zip(*(c.tolist() for c in columns), counts, strict=True):
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("region", "shell", "low", "high", "node", "place", "n", "label")]
+            for *key, node, place, n, label, packed in zip(*columns, batch.column("profile").to_pylist(), strict=True):
                 if seen != key:
-                    region, seen = Region(), key
-                region.forget(n, least)
-                others = region.near(n, place, own, label, least, most)
-                found_a.append(np.minimum(others, node))
-                found_b.append(np.maximum(others, node))
-                region.hold(node, n, place, own, label)
+                    regions, seen = [], key
+                fine = counts_of(packed)
+                coarse = folded(fine, COARSE)
+                if not regions or regions[-1].parts != len(fine):
+                    regions = [*regions[-1:], Region(len(fine))]  # partners have the same parts, or half as many
+                for region in regions:
+                    if region.last > region.first:
+                        region.forget(n, least)
+                        own = fine if region.parts == len(fine) else folded(fine, region.parts)
+                        others = region.near(n, place, coarse, own, label, least, most)
+                        found_a.append(np.minimum(others, node))
+                        found_b.append(np.maximum(others, node))
+                regions[-1].hold(node, n, label, place, coarse, fine)
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
 
-    ordered = members.repartition("region").sortWithinPartitions("region", "n", "node")
+    parts = split(members, least).select("region", "shell", "block.low", "block.high", "node", "place", "n", "label", "profile")
+    ordered = parts.repartition("region", "shell", "low", "high").sortWithinPartitions("region", "shell", "low", "high", "n", "node")
     return ordered.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def refined(pairs: DataFrame, profiles: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) that the fine profiles (node, n, fine) of their sets leave possible."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                (100 + least) * apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (100 - least) * (n + m)
-                for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with_a = pairs.join(profiles.select(F.col("node").alias("a"), "n", F.col("fine").alias("x")), "a")
-    with_b = with_a.join(profiles.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long").distinct()
-
-
 @functools.lru_cache(256)
 def packed_set(text: bytes, width: int) -> np.ndarray:
     raw = np.frombuffer(zlib.decompress(text), np.uint8)
@@ -313,17 +338,17 @@ def linked_groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, leas
     named = rows.filter("n > 0 and doc_id is not null")
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("n_low").alias("n_low"), F.first("head").alias("head"))
     members = checkpoint(spark, memberships(nodes, least))
-    profiles = named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "profile", "fine")
+    profiles = named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "profile")
     found = done = None
     for most in ROUNDS:
         labelled = members.withColumn("label", F.col("node"))
         if found is not None:
             labelled = members.join(found, "node", "left").select("region", "node", "place", F.coalesce("component", "node").alias("label"))
         mixed = labelled.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
-        pairs = candidates(labelled.join(mixed, "region").join(profiles.drop("fine"), "node"), least, most)
+        pairs = candidates(labelled.join(mixed, "region").join(profiles, "node"), least, most)
         pairs = checkpoint(spark, pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
-        links = verified(spark, checkpoint(spark, refined(pairs, profiles, least)), own, width, least)
+        links = verified(spark, pairs, own, width, least)
         if found is not None:
             links = links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
         found = components(spark, links)

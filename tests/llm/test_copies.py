@@ -104,9 +104,10 @@ def brute_groups(rows, least=85):
     return sorted((d, len(s), top(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize("rounds", [(3, None), (1, None)])
-def test_jaccard_groups_against_brute_force(spark, rounds, monkeypatch):
+@pytest.mark.parametrize(("rounds", "large"), [((3, None), 2048), ((1, None), 3), ((None,), 3)])
+def test_jaccard_groups_against_brute_force(spark, rounds, large, monkeypatch):
     monkeypatch.setattr(jaccardjoin, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccardjoin, "LARGE", large)
     r = np.random.default_rng(3)
     words = [f"w{k}" for k in range(500)]
     base = [list(r.choice(words, n)) for n in (60, 60, 80, 200, 25, 10, 4, 3, 1)]
@@ -127,6 +128,16 @@ def test_jaccard_groups_against_brute_force(spark, rounds, monkeypatch):
     assert out == brute_groups(rows)
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.integers(0, 300))
+@settings(max_examples=150, deadline=None)
+def test_counts_never_overstate_a_difference(x, y, cut):
+    a, b = (np.array(sorted(s), np.uint64) for s in (x, {*sorted(x)[cut:], *y}))
+    p, q = (jaccardjoin.counts_of(jaccardjoin.profile(s)) for s in (a, b))
+    for parts in {min(len(p), len(q)), jaccardjoin.COARSE}:
+        found = jaccardjoin.difference(jaccardjoin.folded(p, parts)[None], jaccardjoin.folded(q, parts))[0]
+        assert found <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_jaccard_groups_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, "x y z")], "doc_id long, text string")
     out = sorted((x.doc_id or -1, x.n_shingles, x.component_id) for x in jaccardjoin.linked_groups(spark, docs).collect())
