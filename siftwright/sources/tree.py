@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwright.functions import paths
+from siftwright.functions import build, paths
 from siftwright.schemas import SCENARIO
 
 
@@ -31,15 +31,35 @@ def changed_files(listing: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def source_roots(tree: DataFrame) -> DataFrame:
-    """(relative_path, module, source_set) of the Java source roots, in order; root-level sources are module '.'."""
-    found = F.regexp_extract("path", r"^(?:(.*)/)?src/(main|test)/java/", 0)
-    rows = tree.select(F.regexp_replace(found, "/$", "").alias("relative_path")).filter("relative_path <> ''").distinct()
-    base = F.regexp_replace("relative_path", "/?src/(main|test)/java$", "")
-    return rows.select("relative_path", F.when(base == "", ".").otherwise(F.element_at(F.split(base, "/"), -1)).alias("module"), F.regexp_extract("relative_path", "src/(main|test)/java$", 1).alias("source_set")).orderBy("relative_path")
+    """(relative_path, module, source_set) of the Java source roots, in order: of the root, its folders, and those under modules and apps."""
+    root = F.regexp_extract("path", rf"^({build.MODULE}src/(?:main|test)/java)/", 1)
+    rows = tree.select(root.alias("relative_path")).filter("relative_path <> ''").distinct()
+    inner = "src/(main|test)/java"
+    return rows.select("relative_path", build.module_of(F.col("relative_path"), inner).alias("module"), F.regexp_extract("relative_path", f"{inner}$", 1).alias("source_set")).orderBy("relative_path")
 
 
 def resource_roots(tree: DataFrame) -> DataFrame:
-    return tree.select(F.regexp_extract("path", r"^((?:.*/)?src/main/resources|docs/sql)/", 1).alias("relative_path")).filter("relative_path <> ''").distinct().orderBy("relative_path")
+    return tree.select(F.regexp_extract("path", rf"^({build.MODULE}src/main/resources|docs/sql)/", 1).alias("relative_path")).filter("relative_path <> ''").distinct().orderBy("relative_path")
+
+
+def parse_matches(output: DataFrame, column: str = "value") -> DataFrame:
+    """(path, line, text) of the lines `path:line:text` that a search program prints; other lines are left out."""
+    part = lambda k: F.regexp_extract(column, r"^(.+?):(\d+):(.*)$", k)
+    return output.filter(F.col(column).rlike(r"^.+?:\d+:")).select(part(1).alias("path"), part(2).cast("int").alias("line"), part(3).alias("text"))
+
+
+ALIASES = "array<struct<id: string, root: string, lspEnabled: boolean, layoutProfile: string>>"
+# The layouts that an alias may name.
+LAYOUT_PROFILES = ["ddd-gradle", "maven-reactor", "generic-java"]
+
+
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, root, enabled, layout_profile) of a registry {aliases: [{id, root, lspEnabled, layoutProfile}]}; an entry that isn't right raises."""
+    rows = spark.read.text(path, wholetext=True).select(F.inline(F.from_json("value", f"aliases {ALIASES}")["aliases"]))
+    root, named = F.col("root"), F.col("layoutProfile")
+    right = (F.coalesce("id", F.lit("")) != "") & F.coalesce(root.startswith("/"), F.lit(False)) & (named.isNull() | named.isin(LAYOUT_PROFILES))
+    alias = F.when(right, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("alias without id, absolute root or known layout: "), F.coalesce("id", "root", F.lit("?")))))
+    return rows.select(alias.alias("alias"), F.regexp_replace(root, "(?<=.)/+$", "").alias("root"), F.coalesce("lspEnabled", F.lit(False)).alias("enabled"), named.alias("layout_profile"))
 
 
 def build_text(tree: DataFrame, names: list[str]) -> DataFrame:

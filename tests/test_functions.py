@@ -90,26 +90,76 @@ def test_java_facts(spark):
     assert empty.type_name is None and empty.implements_types == []
 
 
+def test_method_lines():
+    cases = {
+        "public int size() {": "size", "  @Override public List<A, B> x(int a)": "x", "private static <T extends X> T[] foo(": "foo", "public OrderService(": "OrderService",
+        '  @Foo("a") @Bar protected final Map<String, List<X>> m (': "m", "void hidden()": None, "if (x) {": None, "public @N String foo(": None, "public static final int X = foo(3);": None, "return new Foo(": None,
+    }
+    assert {line: facts.method_name(line) for line in cases} == cases
+    spans = lambda *lines: [(m["name"], m["line"], m["end_line"]) for m in facts.method_spans("\n".join(lines))]
+    assert spans("public int a() { return 1; }", "public int b() {", "}") == [("b", 2, 3)]  # a semicolon before the block
+    assert spans("public void a() {", *["x"] * 200) == [("a", 1, 80)] and spans("public void a() {", "x") == [("a", 1, 2)]
+    assert spans("public void a(", *["int b,"] * 11, ") {", "}") == [] and spans("public void a(", *["int b,"] * 10, ") {", "}") == [("a", 1, 13)]
+    assert spans("public void a() // {", "{ // }", "}") == [("a", 1, 3)]
+
+
 def test_symbols_flatten_and_win(spark):
-    tree = '[{"name":"A","kind":5,"range":{"start":{"line":0},"end":{"line":9}},"children":[{"name":"m","kind":6,"range":{"start":{"line":1},"end":{"line":3}}}]}]'
-    flat = facts.flatten_symbols(spark.createDataFrame([("p", tree), ("q", None)], "path string, symbols string"))
-    assert [tuple(r) for r in flat.orderBy("seq").collect()] == [("p", 0, None, "A", 5, 1, 10), ("p", 1, 0, "m", 6, 2, 4)]
-    old = spark.createDataFrame([("p", [("r", 1, 2)]), ("q", [("s", 1, 2)])], "path string, methods array<struct<name:string,line:int,end_line:int>>")
-    got = {r.path: (r.fact_source, [m.name for m in r.methods]) for r in facts.prefer_symbols(old, flat).collect()}
-    assert got == {"p": ("documentSymbol", ["m"]), "q": ("regex", ["s"])}
-
-
-def test_build_files(spark):
-    rows = [("pom.xml", "<java.version>1.8</java.version>", 8), ("build.gradle", "languageVersion = JavaLanguageVersion.of(21)", 21), (".sdkmanrc", "java=17.0.9-tem", 17), (".java-version", "11", 11), ("pom.xml", "<x/>", None)]
-    df = spark.createDataFrame(rows, "name string, content string, wanted int")
-    assert all(r.got == r.wanted for r in df.select("wanted", build.required_jdk(F.col("name"), F.col("content")).alias("got")).collect())
-    versions = spark.createDataFrame([("l", "1.18.4"), ("l", "1.18.38"), ("l", "1.18")], "k string, version string")
+    tree = '[{"name":"A","kind":10,"range":{"start":{"line":0},"end":{"line":9}},"children":[{"name":"z","kind":6,"range":{"start":{"line":1},"end":{"line":0}}},{"name":"m","kind":9,"range":{"start":{"line":1},"end":{"line":3}}}]}]'
+    documents = spark.createDataFrame([("p", tree), ("q", None), ("e", "[]")], "path string, symbols string")
+    flat = facts.flatten_symbols(documents)
+    assert [tuple(r) for r in flat.orderBy("seq").collect()] == [("p", 0, None, "A", 10, 1, 10), ("p", 1, 0, "z", 6, 2, 1), ("p", 2, 0, "m", 9, 2, 4)]
+    old = spark.createDataFrame([(p, "Old", "class", [("r", 1, 2)]) for p in "pqe"], "path string, type_name string, kind string, methods array<struct<name:string,line:int,end_line:int>>")
+    got = {r.path: (r.fact_source, r.type_name, r.kind, [tuple(m) for m in r.methods]) for r in facts.prefer_symbols(old, documents).collect()}
+    assert got == {"p": ("documentSymbol", "A", "enum", [("m", 2, 4), ("z", 2, 2)]), "q": ("regex", "Old", "class", [("r", 1, 2)]), "e": ("documentSymbol", "Old", "class", [("r", 1, 2)])}
+
+
+def files_of(spark, repos):
+    return spark.createDataFrame([(r, p, c) for r, files in repos.items() for p, c in files.items()], "repo string, path string, content string")
+
+
+def test_layouts(spark):
+    repos = {
+        "single": {"src/main/java/demo/A.java": "", "src/test/java/demo/B.java": "", "pom.xml": "<project></project>"},
+        "reactor": {"exam-management/src/main/java/demo/A.java": "", "report/src/main/resources/x.yml": "", "pom.xml": "<modules><module>exam-management</module><module>report</module></modules>"},
+        "gradle": {"modules/school/src/main/java/demo/A.java": "", "apps/admin/src/main/java/demo/B.java": "", "settings.gradle": "include"},
+        "flat": {"lib/A.java": ""}, "plain gradle": {"settings.gradle.kts": "", "core/src/main/java/A.java": ""}, "deep": {"a/b/src/main/java/A.java": ""}, "children": {"pom.xml": "", "x/src/test/java/A.java": ""},
+    }
+    out = {r.repo: (r.layout, r.build_system, r.broad_roots) for r in build.layout(files_of(spark, repos)).collect()}
+    assert out == {
+        "single": ("single", "maven", ["."]), "reactor": ("maven-multi", "maven", ["exam-management", "report"]), "gradle": ("gradle-multi", "gradle", ["apps", "modules"]), "flat": ("flat-layers", "unknown", ["."]),
+        "plain gradle": ("single", "gradle", ["core"]), "deep": ("flat-layers", "unknown", ["."]), "children": ("maven-multi", "maven", ["x"]),
+    }
+
+
+def test_jdk_requirements_and_resolution(spark):
+    repos = {
+        "m8": {"pom.xml": "<maven.compiler.source>1.8</maven.compiler.source><java.version>11</java.version>"}, "g25": {"build.gradle.kts": "languageVersion.set(JavaLanguageVersion.of(25))"},
+        "rel": {"pom.xml": "<java.version>11</java.version><maven.compiler.release> 17 </maven.compiler.release>"}, "sdk": {".sdkmanrc": "java=12.0.2-tem"}, "ver": {".java-version": "temurin-17\n"},
+        "tgt": {"build.gradle": "targetCompatibility = '1.8'"}, "jvm": {".mvn/jvm.config": "-Djava.version=9"}, "fight": {"pom.xml": "<java.version>12</java.version>", ".sdkmanrc": "java=17"},
+        "fight exact": {"pom.xml": "<java.version>11</java.version>", ".sdkmanrc": "java=17"}, "none": {"pom.xml": "<x/>"}, "both": {"build.gradle": "VERSION_17", "build.gradle.kts": "VERSION_11"},
+    }
+    files = files_of(spark, repos)
+    need = build.requirements(files)
+    installed = spark.createDataFrame([("j11", 11), ("j17", 17), ("old", None)], "jdk string, major int")
+    out = {r.repo: (r.source, r.required, r.status, r.jdk, r.runtime) for r in build.resolve_jdk(need, installed, files.select("repo")).collect()}
+    assert out == {
+        "m8": ("maven", 8, "degraded", "j11", "JavaSE-1.8"), "g25": ("gradle-toolchain", 25, "missing", None, "JavaSE-25"), "rel": ("maven", 17, "resolved", "j17", "JavaSE-17"), "sdk": ("sdkmanrc", 12, "missing", None, "JavaSE-12"),
+        "ver": ("java-version", 17, "resolved", "j17", "JavaSE-17"), "tgt": ("gradle-toolchain", 8, "degraded", "j11", "JavaSE-1.8"), "jvm": ("mvn-jvm-config", 9, "degraded", "j11", "JavaSE-9"),
+        "fight": ("maven", 12, "ambiguous", "j17", "JavaSE-12"), "fight exact": ("maven", 11, "resolved", "j11", "JavaSE-11"), "none": ("missing", None, "missing", None, None), "both": ("gradle-toolchain", 11, "resolved", "j11", "JavaSE-11"),
+    }
+    assert {r.repo: (r.source, r.status, r.required) for r in build.resolve_jdk(need, installed, files.select("repo"), 21).collect()}["none"] == ("fallback", "degraded", 21)
+
+
+def test_generated_code(spark):
+    repos = {
+        "gradle": {"build.gradle.kts": 'annotationProcessor("org.projectlombok:lombok:1.18.42")\nannotationProcessor("org.mapstruct:mapstruct-processor:1.6.3")'},
+        "maven": {"pom.xml": "<groupId>org.projectlombok</groupId><artifactId>lombok</artifactId>\n<version>1.18.4</version>"}, "auto": {"gradle/libs.versions.toml": "auto-value dagger"}, "none": {"pom.xml": "", "src/lombok.txt": "lombok"},
+    }
+    row = lambda **kw: {r.repo: (r.processors, r.enabled, r.source, r.lombok, r.semantics) for r in build.generated_code(files_of(spark, repos), **kw).collect()}
+    assert row(lombok_versions=["1.18.42"]) == {
+        "gradle": (["lombok", "mapstruct"], True, "auto", "enabled", "ok"), "maven": (["lombok"], True, "auto", "missing-agent", "incomplete"),
+        "auto": (["auto-value", "dagger"], True, "auto", "not-detected", "ok"), "none": ([], False, "not-detected", "not-detected", "not-detected"),
+    }
+    assert row(override=True)["maven"][3:] == ("enabled", "ok") and row()["gradle"][3:] == ("missing-agent", "incomplete")
+    versions = spark.createDataFrame([("l", "1.18.4"), ("l", "1.18.38"), ("l", "1.18.30")], "k string, version string")
     assert build.latest_version(versions, ["k"]).first().version == "1.18.38"
-    tree = spark.createDataFrame([("a", "modules/x/src/main/java/A.java"), ("b", "pom.xml"), ("b", "x/src/main/java/A.java"), ("c", "src/main/java/A.java"), ("d", "lib/A.java")], "repo string, path string")
-    assert {r.repo: r.layout for r in build.layout(tree).collect()} == {"a": "gradle-multi", "b": "maven-multi", "c": "single", "d": "flat-layers"}
-    gen = build.generated_code(spark.createDataFrame([("a", "org.projectlombok"), ("b", "none")], "repo string, content string"))
-    assert {r.repo: r.generated for r in gen.collect()} == {"a": True, "b": False}
-    need = spark.createDataFrame([("a", "p", 11), ("b", "p", 17), ("b", "q", 21), ("c", "p", 12), ("d", "p", 30)], "repo string, name string, required int")
-    have = spark.createDataFrame([("j11", 11), ("j17", 17)], "jdk string, major int")
-    assert {r.repo: (r.status, r.jdk) for r in build.resolve_jdk(need, have).collect()} == {"a": ("exact", "j11"), "b": ("ambiguous", None), "c": ("compatible", "j17"), "d": ("missing", None)}
-    assert {r.repo: r.status for r in build.resolve_jdk(need, have, strict=True).collect()}["c"] == "missing"
