@@ -70,14 +70,19 @@ def section_summary(items: DataFrame, keys: list[str], top: int = 6) -> DataFram
 
 
 def type_relations(facts: DataFrame, anchors: DataFrame, limit: int = 20) -> DataFrame:
-    """Paths of facts whose parents include the anchor's type (query_id, path, type_name); the first `limit` by path of each query."""
+    """(query_id, path, rank) of facts whose parents include the anchor's type (query_id, path, type_name), not that type itself.
+
+    The first `limit` by path of each query.
+    """
     from siftwright.functions.text import simple_name
 
-    parents = F.concat(F.coalesce("implements_types", F.array().cast("array<string>")), F.when(F.col("extends_type").isNotNull(), F.array("extends_type")).otherwise(F.array().cast("array<string>")))
-    edges = facts.select("path", F.explode(F.array_distinct(F.transform(parents, simple_name))).alias("parent"))
+    none = F.array().cast("array<string>")
+    parents = F.concat(F.coalesce("implements_types", none), F.when(F.col("extends_type").isNotNull(), F.array("extends_type")).otherwise(none))
+    own = F.col("type_name") if "type_name" in facts.columns else F.lit(None).cast("string")
+    edges = facts.select("path", own.alias("own"), F.explode(F.array_distinct(F.transform(parents, simple_name))).alias("parent"))
     wanted = anchors.select("query_id", F.col("path").alias("anchor_path"), simple_name(F.col("type_name")).alias("parent"))
-    found = edges.join(wanted, "parent").filter("path <> anchor_path").select("query_id", "path").distinct()
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("path"))).filter(F.col("rank") <= limit).drop("rank")
+    found = edges.join(wanted, "parent").filter("path <> anchor_path AND NOT own <=> parent").select("query_id", "path").distinct()
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("path"))).filter(F.col("rank") <= limit)
 
 
 def first_seen(matches: DataFrame, keys: list[str], order: list[str], limit: int = 6) -> DataFrame:

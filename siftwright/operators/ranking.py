@@ -36,6 +36,7 @@ def priority(test_read_mode: str = "defer") -> Column:
 
 
 def read_reason(p: Column) -> Column:
+    """Why a candidate is in the read plan. The texts."""
     has = lambda column, x: F.coalesce(F.array_contains(F.col(column), x), F.lit(False))
     return (
         F.when(has("reasons", "target"), "anchor symbol and local behavior")
@@ -43,7 +44,7 @@ def read_reason(p: Column) -> Column:
         .when(has("categories", "persistence"), "persistence or migration evidence")
         .when(F.col("source_set").eqNullSafe("test") & (p == 1), "priority verification candidate")
         .when(F.col("source_set").eqNullSafe("test"), "deferred verification candidate")
-        .otherwise("ranked candidate from evidence")
+        .otherwise("ranked candidate from source index, rg summary, and optional LSP")
     )
 
 
@@ -51,6 +52,15 @@ def exclude_modules(candidates: DataFrame, modules: list[str]) -> DataFrame:
     return candidates.filter(F.col("module").isNull() | ~F.col("module").isin(modules)) if modules else candidates
 
 
+def suppression_counts(candidates: DataFrame, scored: DataFrame, modules: list[str], by: list[str]) -> DataFrame:
+    """by, deferred_tests, cross_module_consumers, excluded_modules: candidates in modules, and of the scored rest those that a ledger's entry holds back."""
+    noted = lambda i: F.count_if(F.exists("ledger", lambda e: e["id"] == i))
+    held = scored.groupBy(*by).agg(noted("finalize.defer-test").alias("deferred_tests"), noted("finalize.cross-module").alias("cross_module_consumers"))
+    out = candidates.groupBy(*by).agg(F.count_if(F.coalesce(F.col("module").isin(modules), F.lit(False)) if modules else F.lit(False)).alias("excluded_modules"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.join(held, by, "left").select(*by, zero("deferred_tests"), zero("cross_module_consumers"), "excluded_modules")
+
+
 def rank(scored: DataFrame, by: list[str], key: str = "path", collation: str | None = None) -> DataFrame:
     """scored with rank: by score, then key; collation: e.g. UNICODE for the order of a reader rather than of bytes."""
     k = F.collate(F.col(key), collation) if collation else F.col(key)

@@ -11,14 +11,18 @@ PADDING = {0: (12, 8), 1: (8, 8)}
 
 
 def innermost(probes: DataFrame, spans: DataFrame, keys: list[str], point: str = "line") -> DataFrame:
-    """probes with name, start and end of the innermost span (keys, name, start, end) that holds point; null without one."""
+    """probes with name, start and end of the innermost span (keys, name, start, end) that holds point; null without one.
+
+    Equal probes are one group while spans are compared and as many rows as before in the result.
+    """
+    alike = probes.groupBy(*probes.columns).agg(F.count("*").alias("_times"))
     found = (
-        probes.alias("p")
+        alike.alias("p")
         .join(spans.alias("s"), [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys] + [F.col(f"p.{point}").between(F.col("s.start"), F.col("s.end"))], "left")
-        .groupBy(*[F.col(f"p.{c}").alias(c) for c in probes.columns])
+        .groupBy(*[F.col(f"p.{c}").alias(c) for c in alike.columns])
         .agg(F.max_by(F.struct("s.name", "s.start", "s.end"), F.struct(F.col("s.start"), -F.col("s.end"), F.col("s.name"))).alias("span"))
     )
-    return found.select(*probes.columns, "span.*")
+    return found.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*probes.columns, "span.*")
 
 
 def latest_before(probes: DataFrame, events: DataFrame, keys: list[str], at: str, time: str, value: str) -> DataFrame:
@@ -50,8 +54,10 @@ def read_window(p: Column, line: Column, start: Column, end: Column) -> tuple[Co
     return F.when(fits, low).otherwise(first), F.when(fits, high).otherwise(last)
 
 
-def preview(lines: DataFrame, probes: DataFrame, keys: list[str], radius: int = 2) -> DataFrame:
-    """The numbered lines around each probe (keys, line) as one text."""
-    near = lines.join(probes.withColumnRenamed("line", "at"), keys).filter(F.abs(F.col("line") - F.col("at")) <= radius)
-    numbered = F.concat(F.lpad(F.col("line").cast("string"), 5, " "), F.lit(": "), F.col("value"))
-    return near.groupBy(*keys, "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", numbered.alias("t")))), lambda x: x["t"]), "\n").alias("preview"))
+def preview(items: DataFrame, probes: DataFrame, keys: list[str], text: str = "text", radius: int = 2) -> DataFrame:
+    """keys, at and preview: the numbered lines around each probe (keys, line) of items (keys, text) as one text; none beyond the text."""
+    met = items.select(*keys, text).join(probes.select(*keys, F.col("line").alias("at")), keys).withColumn("_lines", F.split(text, "\r?\n")).filter(F.col("at") - radius <= F.size("_lines"))
+    first = F.greatest(F.lit(1), F.col("at") - radius)
+    near = F.slice("_lines", first, F.col("at") + radius - first + 1)
+    numbered = F.transform(near, lambda value, k: F.concat(F.lpad((first + k).cast("string"), 5, " "), F.lit(": "), value))
+    return met.select(*keys, "at", F.array_join(numbered, "\n").alias("preview"))

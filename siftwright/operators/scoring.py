@@ -71,6 +71,9 @@ class Anchor:
     kind: str | None = None
     annotations: list[str] = field(default_factory=list)
     parents: list[str] = field(default_factory=list)
+    method: str | None = None
+    line: int = 1
+    column: int = 1
 
 
 @dataclass
@@ -82,6 +85,8 @@ class Options:
     cross_module: str = "auto"
     test_read_mode: str = "defer"
     read_plan_max: int | None = None
+    semantic_policy: str = "auto"
+    semantic_ready: bool = False
 
 
 def entry(id_: str, source: str, delta: Column | int, reason: str) -> Column:

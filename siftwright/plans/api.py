@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions import paths
-from siftwright.functions.text import clamp, symbol_kind
+from siftwright.functions.text import clamp, half_up, symbol_kind
 from siftwright.operators import references as refs
 from siftwright.operators import snapshot
 
-# Short names of the gaps that a result may have.
+# What a result may lack, with the short forms that are shown.
 GAPS = {
-    "semantic evidence was not requested": "semantic:off", "semantic evidence timed out": "semantic:timeout", "no pattern matched": "patterns:none",
-    "results were truncated": "truncated", "tests were deferred": "tests:deferred",
+    "Run Gradle compile/test before claiming behavior.": "Run compile/test before claims.",
+    "Use rg/runtime evidence for Spring wiring, SQL/XML/YAML, logs, Nacos, and DB state.": "Check rg/runtime evidence for wiring and DB/config.",
+    "LSP semantic enrichment was skipped by policy; raise semanticPolicy or mode if exact symbol binding is required.": "Semantic skipped; raise semanticPolicy for exact binding.",
+    "LSP semantic enrichment hit the configured timeout and fell back to source-index plus rg evidence.": "Semantic timed out; using source-index plus rg.",
+    "Source facts are regex-derived and not yet JDT LS documentSymbol confirmed.": "Source facts are regex-derived.",
+    "Review persistence/config evidence from rgSummary before changing behavior.": "Review persistence/config evidence.",
+    "Tests are returned as lower-priority candidates; use testReadMode=priority when verification planning is the main task.": "Tests are lower-priority; use testReadMode=priority for verification.",
 }
 SHOWN = {"compact": 2, "standard": 3}
 
@@ -40,10 +45,11 @@ def references(edges: DataFrame, path: str, line: int, limit: int | None = None,
 
 
 def symbols(table: DataFrame, query: str, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """Symbols whose name holds query, and whether there are more."""
+    """Symbols whose name holds query, and whether there are more; what is shown is found once."""
     n = limit_of(limit)
-    rows = table.filter(F.contains("name", F.lit(query))).withColumn("kind_name", symbol_kind(F.col("kind"))).orderBy("name", "file", "line").limit(n + 1)
-    return rows.limit(n), rows.count() > n
+    found = table.filter(F.contains("name", F.lit(query))).withColumn("kind_name", symbol_kind(F.col("kind"))).orderBy("name", "file", "line").limit(n + 1)
+    rows = found.collect()  # one more than the limit, 301 at most
+    return table.sparkSession.createDataFrame(rows[:n], found.schema), len(rows) > n
 
 
 def diagnostics(latest: DataFrame, files: list[str]) -> DataFrame:
@@ -60,25 +66,28 @@ def status(facts: DataFrame, listing: DataFrame, runtimes: DataFrame) -> DataFra
     return snapshot.status(facts).withColumn("k", F.lit(1)).join(changed.withColumn("k", F.lit(1)), "k").join(started.withColumn("k", F.lit(1)), "k").drop("k")
 
 
-def evidence_gaps(semantic: Column, matched: Column, truncated: Column, deferred: Column) -> Column:
-    """What a result lacks, in a fixed order."""
-    names = list(GAPS)
-    return F.array_compact(F.array(F.when(semantic == "off", names[0]).when(semantic == "timeout", names[1]), F.when(matched == 0, names[2]), F.when(truncated, names[3]), F.when(deferred > 0, names[4])))
+def evidence_gaps(skipped: Column, timeout: Column, regex_facts: Column, profiles: Column, test_read_mode: Column) -> Column:
+    """What a result lacks, in a fixed order; profiles are those of its anchors."""
+    holds = [F.lit(True), F.lit(True), skipped, timeout, regex_facts, F.arrays_overlap(profiles, F.array(F.lit("repository"), F.lit("port"))), test_read_mode == "defer"]
+    return F.array_compact(F.array(*[F.when(h, gap) for h, gap in zip(holds, GAPS, strict=True)]))
 
 
 def short_gaps(gaps: Column, verbosity: str) -> Column:
+    """The gaps that a verbosity shows; only diagnostic shows them all, in full."""
     table = F.create_map(*[F.lit(x) for pair in GAPS.items() for x in pair])
-    short = F.transform(gaps, lambda g: F.coalesce(F.try_element_at(table, g), g))
-    return F.slice(short, 1, SHOWN[verbosity]) if verbosity in SHOWN else gaps
+    short = F.transform(F.array_distinct(gaps), lambda g: F.coalesce(F.try_element_at(table, g), g))
+    return F.slice(short, 1, SHOWN[verbosity]) if verbosity in SHOWN else F.array_distinct(gaps)
 
 
 def shown(ranked: DataFrame, verbosity: str = "standard") -> DataFrame:
-    """The columns of ranked that a verbosity shows: compact, standard or diagnostic."""
-    base = ["file_id", "path", "score"]
-    if verbosity == "compact":
-        return ranked.select(*base, F.slice("positions", 1, 1).alias("positions"))
-    more = [*base, "module", "layer", "source_set", "match_count", "categories", "reasons", F.slice("positions", 1, 3).alias("positions")]
-    return ranked.select(*more, *(["confidence", "verified_by", "ledger"] if verbosity == "diagnostic" else []))
+    """The columns of ranked that a verbosity shows; diagnostic adds how sure the evidence is and the ledger."""
+    columns = ["file_id", "path", "module", "layer", "source_set", "score", "match_count", "categories", "reasons", F.slice("positions", 1, 3).alias("positions")]
+    return ranked.select(*columns, *(["confidence", "verified_by", "ledger"] if verbosity == "diagnostic" else []))
+
+
+def shown_sections(summary: DataFrame, verbosity: str = "standard") -> DataFrame:
+    """Section summaries, whose files only diagnostic shows."""
+    return summary if verbosity == "diagnostic" else summary.withColumn("top", F.slice("top", 1, 0))
 
 
 def hover_text(contents: Column) -> Column:
@@ -123,16 +132,38 @@ def resolve_alias(probes: DataFrame, aliases: DataFrame, families: DataFrame) ->
     return joined.select("path", F.coalesce("alias", F.when(F.col("n") == 1, F.col("kin"))).alias("alias"), how.alias("how"))
 
 
+# Words of a request that is about Java semantics.
+SEMANTIC_WORDS = r"(?i)(\bjava\b|controller|service|repository|mapper|entity|dto|调用链|影响面|方法|类|实现|修复|排查)"
+
+
 def looks_semantic(prompt: Column) -> Column:
-    """Whether a request is about Java semantics: references, implementations, callers, types."""
-    return prompt.rlike(r"(?i)(\bjava\b|\.java|references?|implement|callers?|type hierarchy|引用|实现|调用)")
+    """Whether a request is about Java semantics."""
+    return F.coalesce(prompt.rlike(SEMANTIC_WORDS), F.lit(False))
+
+
+def use_semantic(policy: str, mode: str, profiles: list[str]) -> bool:
+    """Whether a plan asks the semantic tables: never if fast, always if required or the mode is precise or wide, else for services."""
+    return policy != "fast" and (policy == "required" or mode in {"precision", "recall"} or "service" in profiles)
 
 
-def use_semantic(policy: str, enabled: bool, kind: str | None, profile: str) -> bool:
-    """Whether a plan asks the semantic tables: never if fast or off, always if required, else for interfaces and what usually has implementations."""
-    if not enabled or policy == "fast":
+def verify_semantic(policy: str, mode: str, used: bool, ready: bool = False) -> bool:
+    """Whether references are asked for too: as use_semantic, but when nothing requires it only of a server that is ready."""
+    if policy == "fast":
         return False
-    return policy == "required" or kind == "interface" or profile in {"port", "service", "repository"}
+    return policy == "required" or mode in {"precision", "recall"} or ((used or policy != "auto") and ready)
+
+
+def payload_attribution(results: DataFrame, by: list[str], column: str = "json") -> DataFrame:
+    """Average bytes, to hundredths, of the parts of result payloads (by, JSON)."""
+    size = lambda path, empty: F.octet_length(F.coalesce(F.get_json_object(column, path), F.lit(empty)))
+    sections = F.coalesce(F.from_json(F.get_json_object(column, "$.rgSummary.sections"), "array<struct<files: string>>"), F.array().cast("array<struct<files: string>>"))
+    listed = F.aggregate(sections, F.lit(0), lambda n, s: n + F.octet_length(F.coalesce(s["files"], F.lit("[]")))) + 2 + F.greatest(F.lit(0), F.size(sections) - 1)
+    parts = {
+        "total_bytes": F.octet_length(column), "files_bytes": size("$.files", "[]"), "read_plan_bytes": size("$.readPlan", "[]"), "summary_bytes": size("$.rgSummary", "{}"),
+        "section_files_bytes": listed, "gaps_bytes": size("$.evidenceGaps", "[]"), "metrics_bytes": size("$.metrics", "{}"),
+        "output_bytes": F.coalesce(F.get_json_object(column, "$.metrics.outputBytes").cast("long"), F.lit(0)),
+    }
+    return results.groupBy(*by).agg(F.count("*").alias("n"), *[(half_up(F.avg(c) * 100) / 100).alias(k) for k, c in parts.items()])
 
 
 def limits(column: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import build, facts, paths, text
 from siftwright.operators import evaluation, evidence, graph, ranking, readplan, references, scoring, snapshot
-from siftwright.plans import profiles
+from siftwright.plans import api, profiles
 from siftwright.session import table
+from siftwright.sources import tree
 from siftwright.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,15 +217,42 @@ def token_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", scoring.package_proximity(F.lit(anchor).cast("string"), F.col("package")).cast("long").alias("proximity"))
 
 
+STEREOTYPE_SQL = "['Service', 'Mapper', 'Repository', 'Entity', 'Controller', 'Unknown'][1 + p_partkey % 6]"
+
+
+def stereotyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as candidates with facts: a stereotype by their key, parents and kinds by their size."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    names = F.array(*[F.lit(x) for x in ("Service", "Mapper", "Repository", "Entity", "Controller", "Unknown")])
+    return table(spark, sf_dir, "part").select(
+        F.lit("q").alias("query_id"), F.concat(F.lit("modules/m/src/main/java/P"), k.cast("string"), F.lit(".java")).alias("path"), F.lit("m").alias("module"), F.lit("domain").alias("layer"), F.lit("main").alias("source_set"),
+        F.lit(10).cast("bigint").alias("score"), F.lit(0).cast("bigint").alias("match_count"), F.concat(F.lit("P"), k.cast("string")).alias("type_name"), F.when(size % 2 == 0, "class").otherwise("interface").alias("kind"),
+        F.concat(F.lit("a.b.c"), (size % 3).cast("string")).alias("package_name"), F.array(F.concat(F.lit("org.x."), F.element_at(names, (1 + k % 6).cast("int")))).alias("annotations"),
+        F.when(size % 5 == 0, F.array(F.lit("Port1"))).otherwise(F.array().cast("array<string>")).alias("parents"), F.array(scoring.entry("evidence", "merge", F.lit(10), "merged evidence")).alias("ledger"), k,
+    )
+
+
+@query(f"""
+SELECT p_partkey, CAST(10 + CASE WHEN p_size % 5 = 0 THEN 95 ELSE 0 END + CASE WHEN {STEREOTYPE_SQL} IN ('Repository', 'Mapper', 'Service', 'Controller') THEN 50 ELSE 0 END
+  + CASE WHEN p_size % 3 = 0 THEN 30 ELSE 0 END + CASE WHEN p_partkey IN (7, 8) THEN 95 ELSE 0 END + CASE WHEN p_size % 2 = 0 AND p_size % 5 = 0 THEN 20 ELSE 0 END AS BIGINT) AS score FROM part
+""")
+def structural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type relations either way, stereotypes, packages and kinds."""
+    anchor = scoring.Anchor("modules/m/src/main/java/Port1.java", "port", "m", "Port1", package_name="a.b.c0", kind="interface", annotations=["Service"], parents=["P7", "P8"])
+    return scoring.final_scores(stereotyped(spark, sf_dir), anchor, scoring.Options()).select("p_partkey", "score")
+
+
 @query("""
-WITH p(a, b) AS (VALUES ('view', 'click'), ('click', 'purchase'), ('view', 'view')), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p)
-SELECT event_type, count(DISTINCT b) AS partners FROM (SELECT DISTINCT event_type FROM events) e LEFT JOIN s ON s.a = e.event_type GROUP BY event_type
+WITH p(a, b) AS (VALUES ('Controller', 'Service'), ('Controller', 'AppService'), ('Controller', 'QueryAppService'), ('RestController', 'Service'), ('RestController', 'AppService'), ('RestController', 'QueryAppService'),
+  ('Service', 'Repository'), ('Service', 'Mapper'), ('Service', 'Component'), ('Service', 'Service'), ('Service', 'Configuration'), ('AppService', 'Repository'), ('AppService', 'Mapper'), ('AppService', 'Service'),
+  ('QueryAppService', 'Repository'), ('QueryAppService', 'Mapper'), ('QueryAppService', 'Service'), ('Repository', 'Mapper'), ('Repository', 'Entity'), ('Repository', 'Table'), ('Mapper', 'Entity'), ('Mapper', 'Table'),
+  ('Component', 'Service'), ('Component', 'Repository'), ('Component', 'Component')), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+  t AS (SELECT p_partkey, ['Service', 'Mapper', 'Repository', 'Entity', 'Controller', 'Unknown'][1 + p_partkey % 6] AS name FROM part)
+SELECT p_partkey, count(b) AS partners FROM t LEFT JOIN s ON s.a = t.name GROUP BY p_partkey
 """)
 def pair_collaboration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([("view", "click"), ("click", "purchase"), ("view", "view")], "a string, b string")
-    both = pairs.union(pairs.select("b", "a")).distinct()
-    types = table(spark, sf_dir, "events").select("event_type").distinct()
-    return types.join(F.broadcast(both), F.col("event_type") == F.col("a"), "left").groupBy("event_type").agg(F.countDistinct("b").alias("partners"))
+    named = stereotyped(spark, sf_dir).select("p_partkey", scoring.stereotype(F.col("annotations")).alias("a"))
+    return named.join(F.broadcast(scoring.collaboration_pairs(spark)), "a", "left").groupBy("p_partkey").agg(F.count("b").alias("partners"))
 
 
 @query("""
@@ -317,7 +345,7 @@ def read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines around the third of every document."""
     probes = table(spark, sf_dir, "documents").select("doc_id", F.lit(3).alias("line"))
-    return readplan.preview(lines_of(spark, sf_dir).select("doc_id", "line", "value"), probes, ["doc_id"]).select("doc_id", "preview")
+    return readplan.preview(table(spark, sf_dir, "documents"), probes, ["doc_id"]).select("doc_id", "preview")
 
 
 LINK = r"""href=["']([^"']+)["']"""
@@ -527,14 +555,53 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.latest_version(versions, ["s_nationkey"])
 
 
-@query("""
-WITH n AS (SELECT c_nationkey AS repo, CASE WHEN c_nationkey < 12 THEN 8 + c_custkey % 3 * 3 ELSE 8 + c_nationkey % 5 * 3 END AS need FROM customer), r AS (SELECT repo, min(need) AS need, count(DISTINCT need) > 1 AS amb FROM n GROUP BY repo)
-SELECT CAST(repo AS VARCHAR) AS repo, CAST(need AS BIGINT) AS required, CASE WHEN amb THEN 'ambiguous' WHEN need IN (11, 17) THEN 'exact' WHEN need <= 17 THEN 'compatible' ELSE 'missing' END AS status FROM r
+BUILD_SQL = """SELECT CAST(s_suppkey AS VARCHAR) AS repo, s_suppkey % 3 AS kind, 8 + s_suppkey % 5 * 3 AS major, CASE WHEN s_suppkey % 4 = 0 THEN 11 WHEN s_suppkey % 4 = 1 THEN 17 END AS pinned, s_suppkey AS k FROM supplier"""
+
+
+def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build file for each supplier, and for half of them a pinned version; sources in one of four shapes."""
+    k = F.col("s_suppkey")
+    version = F.when(8 + k % 5 * 3 == 8, "1.8").otherwise((8 + k % 5 * 3).cast("string"))
+    content = (
+        F.when(k % 3 == 0, F.concat(F.lit("<project><maven.compiler.release> "), version, F.lit(" </maven.compiler.release><artifactId>lombok</artifactId></project>")))
+        .when(k % 3 == 1, F.concat(F.lit("java { JavaLanguageVersion.of("), (8 + k % 5 * 3).cast("string"), F.lit(") } dagger auto.value")))
+        .otherwise(F.concat(F.lit("targetCompatibility = '"), version, F.lit("'")))
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(k.cast("string").alias("repo"), "s_suppkey")
+    built = suppliers.select("repo", F.when(k % 3 == 0, "pom.xml").when(k % 3 == 1, "build.gradle.kts").otherwise("build.gradle").alias("path"), content.alias("content"))
+    pinned = suppliers.filter(k % 4 < 2).select("repo", F.lit(".sdkmanrc").alias("path"), F.when(k % 4 == 0, "java=11.0.2-tem").otherwise("java = 17.0.9").alias("content"))
+    inner = F.when(k % 7 < 2, "modules/x/src/main/java/A.java").when(k % 7 < 4, "x/src/test/java/A.java").when(k % 7 < 6, "src/main/java/A.java").otherwise("lib/A.java")
+    sources = suppliers.select("repo", inner.alias("path"), F.lit("").alias("content"))
+    settings = suppliers.filter(k % 2 == 0).select("repo", F.lit("settings.gradle").alias("path"), F.lit("include").alias("content"))
+    return built.unionByName(pinned).unionByName(sources).unionByName(settings)
+
+
+@query(f"""
+SELECT repo, CASE WHEN kind = 0 THEN 'maven' ELSE 'gradle-toolchain' END AS source, CAST(major AS BIGINT) AS required,
+  CASE WHEN major IN (11, 17) THEN 'resolved' WHEN pinned IS NOT NULL THEN 'ambiguous' WHEN major < 17 THEN 'degraded' ELSE 'missing' END AS status,
+  CASE WHEN major <= 11 THEN 'a11' WHEN major <= 17 THEN 'b17' END AS jdk, CASE WHEN major = 8 THEN 'JavaSE-1.8' ELSE 'JavaSE-' || major END AS runtime FROM ({BUILD_SQL})
 """)
 def jdk_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("repo"), F.lit("pom.xml").alias("name"), F.when(F.col("c_nationkey") < 12, 8 + F.col("c_custkey") % 3 * 3).otherwise(8 + F.col("c_nationkey") % 5 * 3).cast("int").alias("required"))
     installed = spark.createDataFrame([("a11", 11), ("b17", 17)], "jdk string, major int")
-    return build.resolve_jdk(need, installed).select("repo", F.col("required").cast("long").alias("required"), "status")
+    files = build_files(spark, sf_dir)
+    return build.resolve_jdk(build.requirements(files), installed, files.select("repo")).select("repo", "source", F.col("required").cast("long").alias("required"), "status", "jdk", "runtime")
+
+
+@query(f"""
+SELECT repo, CASE WHEN k % 2 = 0 THEN CASE WHEN k % 7 < 2 THEN 'gradle-multi' ELSE 'single' END WHEN kind = 0 THEN CASE WHEN k % 7 < 4 THEN 'maven-multi' ELSE 'single' END WHEN k % 7 < 6 THEN 'single' ELSE 'flat-layers' END AS layout,
+  CASE WHEN k % 2 = 0 OR kind <> 0 THEN 'gradle' ELSE 'maven' END AS build_system, CASE WHEN k % 7 < 2 THEN 'modules' WHEN k % 7 < 4 THEN 'x' ELSE '.' END AS broad_roots FROM ({BUILD_SQL})
+""")
+def layout_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.layout(build_files(spark, sf_dir)).withColumn("broad_roots", F.array_join("broad_roots", ","))
+
+
+@query(f"""
+SELECT repo, CASE kind WHEN 0 THEN 'lombok' WHEN 1 THEN 'auto-value,dagger' ELSE '' END AS processors, kind < 2 AS enabled, CASE WHEN kind = 0 THEN 'missing-agent' ELSE 'not-detected' END AS lombok,
+  CASE kind WHEN 0 THEN 'incomplete' WHEN 1 THEN 'ok' ELSE 'not-detected' END AS semantics FROM ({BUILD_SQL})
+""")
+def generated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = build.generated_code(build_files(spark, sf_dir))
+    return found.select("repo", F.array_join("processors", ",").alias("processors"), "enabled", "lombok", "semantics")
 
 
 @query("SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS bytes, regexp_extract(text, '^[A-Za-z_][A-Za-z0-9_]*', 0) AS token FROM conversations WHERE regexp_matches(text, '^[A-Za-z_]')")
@@ -555,28 +622,117 @@ def rank_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(F.concat(F.lit("F"), F.col("rank").cast("string")).alias("file_id"), "path", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+FLAGSHIP_SQL = f"""
+WITH places AS (SELECT {PATH_SQL} AS path, arg_min(line, section * 1000000000 + line) AS line FROM ({MATCH_SQL}) GROUP BY ALL),
+ f AS (SELECT t.*, CAST(greatest(1, total) AS BIGINT) AS score, {PRIORITY_SQL} AS priority, regexp_extract(path, '([^/]*)[.]java$', 1) IN ('Doc1Controller', 'Doc1Repository') AS strong FROM ({FINAL_SQL}) t),
+ c AS (SELECT *, row_number() OVER (ORDER BY priority, score DESC, path) <= 6 AS covered FROM f),
+ k AS (SELECT *, count(*) OVER () AS n, count(*) FILTER (strong) OVER () AS s, row_number() OVER (PARTITION BY covered ORDER BY score DESC, path) AS turn FROM c),
+ r AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank FROM k WHERE n <= 10 OR n <= 16 OR covered OR turn <= 10)
+SELECT 'F' || rank AS file_id, r.path, score, 'P' || priority AS priority, CAST(greatest(1, line - CASE priority WHEN 1 THEN 16 ELSE 10 END) AS BIGINT) AS start_line, CAST(line + CASE priority WHEN 1 THEN 32 ELSE 22 END AS BIGINT) AS end_line,
+ CASE WHEN contains(categories, 'persistence') THEN 'persistence or migration evidence' WHEN source_set = 'test' THEN 'deferred verification candidate' ELSE 'ranked candidate from source index, rg summary, and optional LSP' END AS reason, covered AS in_plan
+FROM r JOIN places ON places.path = r.path
+"""
+
+
+@query(FLAGSHIP_SQL)
 def impact_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked documents of the anchor's query, truncated, with priority and read window."""
+    """Ranked documents of the anchor's query, truncated (fewer than six are strong), with priority, read window and reason."""
     scored = scored_items(spark, sf_dir).withColumns({"priority": ranking.priority(), "strong": ranking.is_strong(F.col("ledger"))})
     covered = ranking.priority_top(scored, ["query_id"], ranking.read_plan_max("balanced")).select("query_id", "path", F.lit(True).alias("covered"))
     ranked = scored.join(covered, ["query_id", "path"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     kept = ranking.rank(ranking.truncate_tail(ranked, ["query_id"], ranking.candidate_limit("balanced", ANCHOR.profile)), ["query_id"])
     first, last = readplan.fixed_window(F.col("priority"), F.col("positions")[0]["line"])
     return kept.select(
-        F.concat(F.lit("F"), F.col("rank").cast("string")).alias("file_id"), "path", "module", "layer", "source_set", "score", "match_count", F.concat(F.lit("P"), F.col("priority").cast("string")).alias("priority"),
+        F.concat(F.lit("F"), F.col("rank").cast("string")).alias("file_id"), "path", "score", F.concat(F.lit("P"), F.col("priority").cast("string")).alias("priority"),
         first.cast("long").alias("start_line"), last.cast("long").alias("end_line"), ranking.read_reason(F.col("priority")).alias("reason"), F.col("covered").alias("in_plan"),
     )
 
 
-@query()
+@query(f"""
+SELECT count(*) FILTER (source_set = 'test' AND module <> 'de') AS deferred_tests, count(*) FILTER (module NOT IN ('en', 'fr', 'de') AND NOT contains(lower(path), 'src3')) AS cross_module_consumers, count(*) FILTER (module = 'de') AS excluded_modules FROM ({MERGED_SQL})
+""")
+def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candidates a query holds back, and why."""
+    scored = scored_items(spark, sf_dir)
+    return ranking.suppression_counts(scored, ranking.exclude_modules(scored, ["de"]), ["de"], ["query_id"]).drop("query_id")
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS path, 'a.b' || p_partkey % 5 AS package_name, CASE WHEN p_size % 2 = 0 THEN 'class' ELSE 'enum' END AS kind, 'P' || p_partkey AS type_name, 'Base' AS extends_type, 'Port<X>|Other' AS implements_types, 'Service|Deprecated' AS annotations,
+  '[{"name":"size","line":4,"end_line":' || (6 + p_size % 7) || '},{"name":"open","line":' || (7 + p_size % 7) || ',"end_line":' || (12 + p_size % 7) || '}]' AS methods FROM part
+""")
 def java_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of sources made of the part table: header by expressions, methods from Arrow batches."""
     k = F.col("p_partkey")
     source = F.concat(
-        F.lit("package a.b"), (k % 5).cast("string"), F.lit(";\n@Service\npublic class P"), k.cast("string"), F.lit(" extends Base implements Port<X>, Other {\n  public int size() {\n    return "),
-        F.col("p_size").cast("string"), F.lit(";\n  }\n  private void open(int a,\n      int b) {\n    if (a > b) {\n      run();\n    }\n  }\n}\n"),
+        F.lit("package a.b"), (k % 5).cast("string"), F.lit(";\n@Service\npublic "), F.when(F.col("p_size") % 2 == 0, "class").otherwise("enum"), F.lit(" P"), k.cast("string"), F.lit(" extends Base implements Port<X>, Other {\n  @Deprecated public <T> List<T> size() {\n"),
+        F.repeat(F.lit("    run(\"{\" + \"}\");\n"), F.col("p_size") % 7), F.lit("    return null;\n  }\n  private void open(int a,\n      int b) { // }\n    if (a > b) {\n      run();\n    }\n  }\n  public abstract int none();\n  void hidden() {\n  }\n}\n"),
     )
     files = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), source.alias("content"))
     found = facts.with_methods(facts.header_facts(files))
     return found.select("path", "package_name", "kind", "type_name", "extends_type", F.array_join("implements_types", "|").alias("implements_types"), F.array_join("annotations", "|").alias("annotations"), F.to_json("methods").alias("methods"))
+
+
+@query("SELECT doc_id, line, value FROM (" + LINES_SQL + ") WHERE line <= 3")
+def match_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of every document, as a search program prints them, parsed again."""
+    some = lines_of(spark, sf_dir).filter("line <= 3")
+    printed = some.select(F.concat("doc_id", F.lit(":"), "line", F.lit(":"), "value").alias("value"))
+    return tree.parse_matches(printed).select(F.col("path").cast("long").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("text").alias("value"))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_orderstatus, o_orderkey % 3 = 0 AS config FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, b.o_orderkey IS NOT NULL AS exists FROM a FULL JOIN b USING (o_orderkey) WHERE (a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.status) AND coalesce(a.o_orderkey, b.o_orderkey) % 3 <> 1
+""")
+def file_change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a poller sees between two listings; a third of the files isn't watched."""
+    k = F.col("o_orderkey")
+    path = F.when(k % 3 == 0, F.concat(F.lit("modules/m"), k.cast("string"), F.lit("/pom.xml"))).when(k % 3 == 1, F.concat(F.lit("docs/D"), k.cast("string"), F.lit(".java"))).otherwise(F.concat(F.lit("src/main/java/O"), k.cast("string"), F.lit(".java")))
+    orders = table(spark, sf_dir, "orders").withColumn("path", path)
+    before = orders.filter(k % 5 != 0).select("path", F.col("o_orderstatus").alias("mtime"), F.lit(1).alias("size"))
+    after = orders.filter(k % 11 != 0).select("path", F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("mtime"), F.lit(1).alias("size"))
+    return changes.listing_events(before, after, F.lit(0)).select(F.regexp_extract("uri", r"(\d+)(/pom.xml|\.java)$", 1).cast("long").alias("o_orderkey"), "exists")
+
+
+@query("""
+WITH r AS (SELECT event_id, user_id, ts, (SELECT count(*) FROM events d WHERE d.event_type = 'error' AND d.user_id = 1 AND d.ts <= e.ts) AS generation FROM events e WHERE event_type = 'view')
+SELECT event_id, CAST(generation AS BIGINT) AS generation, row_number() OVER (PARTITION BY generation, user_id ORDER BY ts, event_id) > 1 AS hit FROM r
+""")
+def search_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of a cache that every error of one user empties; entries don't age."""
+    events = table(spark, sf_dir, "events")
+    reads = events.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    drops = events.filter("event_type = 'error' and user_id = 1").select("ts")
+    return changes.search_cache_hits(reads, drops, ["user_id"], "ts", "event_id", 10**9).select("event_id", F.col("generation").cast("long").alias("generation"), "hit")
+
+
+@query("""
+WITH l AS (SELECT user_id, value < 50 AS part, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS last_at FROM events GROUP BY ALL)
+SELECT user_id, count(*) FILTER (kind <> 'purchase') AS active, CASE WHEN count(*) FILTER (kind <> 'purchase') = 0 THEN max(last_at) END AS idle_since FROM l GROUP BY user_id
+""")
+def idle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumns({"token": F.col("value") < 50, "kind": F.when(F.col("event_type") == "purchase", "end").otherwise("report"), "at": F.struct("ts", "event_id")})
+    return changes.idle_since(events, ["user_id"], "token", "at").select("user_id", "active", F.col("idle_since.ts").alias("idle_since"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'close' ELSE 'change' END AS action, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey % 4 + 2 AS BIGINT) END AS version FROM orders WHERE o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0)
+""")
+def document_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents, of which the even ones are open; a third of the changes deletes, a fifth changes nothing."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    opened = orders.filter(k % 2 == 0).select(k.alias("path"), (F.col("o_custkey") % 4 + 1).cast("long").alias("version"), F.col("o_orderstatus").alias("text"))
+    files = orders.select(k.alias("path"), F.when(k % 5 == 0, F.col("o_orderstatus")).otherwise(F.concat("o_orderstatus", F.lit("2"))).alias("text"))
+    changed = orders.select(k.alias("path"), F.when(k % 3 == 0, changes.DELETED).otherwise(changes.CHANGED).alias("change_type"))
+    return snapshot.sync_documents(opened, changed, files).select(F.col("path").alias("o_orderkey"), "action", "version")
+
+
+@query("SELECT lang, count(*) AS n, floor(avg(strlen(text)) * 100 + 0.5) / 100 AS text_bytes FROM documents WHERE text IS NOT NULL GROUP BY lang")
+def payload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average bytes of the files part of payloads whose one file is a document's text; its two quotes and brackets don't count."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    held = docs.select("lang", F.concat(F.lit('{"evidenceGaps":["'), F.regexp_replace("text", r'["\\\x00-\x1f]', "_"), F.lit('"]}')).alias("json"))
+    out = api.payload_attribution(held, ["lang"])
+    return out.select("lang", "n", (F.round(F.col("gaps_bytes") - 4, 2)).alias("text_bytes"))

@@ -70,6 +70,28 @@ FAMILY = {
     "job": "Job|Scheduler|Task|AppService|Service|Repository|Config|Properties",
     "listener": "Listener|Event|Publisher|Handler|Consumer|AppService|Service|Repository|Config",
 }
+# What a section looks for, as results say it.
+REASONS = {
+    "repository": "repository port, implementation, mapper, entity, and application callers",
+    "sql": "mapper, migration, and SQL evidence",
+    "controller": "endpoint contract, assembler, command/result, and application service path",
+    "parser": "parser port, implementation, parsed model, and app-service callers",
+    "dto": "DTO/view field propagation and mapper usage",
+    "upstream": "likely upstream source service or view",
+    "vo": "VO/view field propagation, assembler, and service callers",
+    "entity": "entity mapping, mapper, repository, and service callers",
+    "entity sql": "entity table, mapper XML, migration, and SQL evidence",
+    "mapper": "mapper interface, entity, repository, and service callers",
+    "mapper sql": "mapper XML, entity table, migration, and SQL evidence",
+    "job": "scheduled job, application service, repository, and config path",
+    "job config": "job scheduling and runtime configuration evidence",
+    "listener": "event listener, publisher, handler, service, and repository path",
+    "listener config": "listener/event runtime configuration evidence",
+    "port": "port contract, implementations, and direct callers",
+    "service": "service, direct callers, and local protocol family",
+    "tests": "targeted verification candidates",
+    "recall": "runtime configuration evidence",
+}
 DRAFTS = "ParsedTemplate|StudentDraft|TeacherDraft|GradeDraft|ClassDraft|PreviewItem|BindingDraft|BindingPreviewItem"
 FLOW = "Controller|AppService|QueryAppService|Service|Assembler|Response|View|DTO"
 FLOW_NOISE = ("Student", "Item", "Detail", "Entry")
@@ -88,7 +110,7 @@ class Section:
     category: str
     reason: str
     pattern: str
-    roots: str  # main, test, all, persistence or broad
+    roots: str  # main, test, persistence, broad, or module: and a name
     globs: list[str]
 
 
@@ -133,13 +155,17 @@ def search_plan(profile: str, base: str, symbol: str = "", keywords: list[str] |
         return Section(category, reason, fused([*terms, *extra]), roots, GLOBS[category])
 
     raw = [base, stem, symbol]
-    out = [section("protocol" if profile == "controller" else "java", f"{profile} family", profile_terms(profile, base, symbol), "all" if profile == "port" else "main")]
+    out = [section("protocol" if profile == "controller" else "java", REASONS[profile], profile_terms(profile, base, symbol), "broad" if profile == "port" else "main")]
+    root = symbol.removesuffix("Code")
+    if profile == "dto" and root != symbol and len(root) >= 4:
+        terms = [f"{literal(root[0].upper() + root[1:])}(QueryAppService|View)", rf"{literal(symbol)}\(", rf"\.{literal(symbol)}\("]
+        out.append(section("java", REASONS["upstream"], terms, f"module:{root[0].lower() + root[1:]}"))
     if profile in {"repository", "entity", "mapper"}:
-        out.append(section("persistence", "persistence names", sql_terms(base, symbol), "persistence"))
+        out.append(section("persistence", REASONS["sql"] if profile == "repository" else REASONS[f"{profile} sql"], sql_terms(base, symbol), "persistence"))
     if profile in {"job", "listener"}:
-        out.append(section("config", "configuration", raw, "broad"))
+        out.append(section("config", REASONS[f"{profile} config"], raw, "broad"))
     tests = [*profile_terms("port", base, symbol), f"{literal(stem)}.*Test"] if profile in {"port", "service"} else profile_terms(profile, base, symbol)
-    out.append(section("tests", "tests", tests, "test"))
+    out.append(section("tests", REASONS["tests"], tests, "test"))
     if mode == "recall":
-        out.append(section("config", "recall configuration", [base, stem], "broad"))
+        out.append(section("config", REASONS["recall"], [base, stem], "broad"))
     return [Section(**s) for s in prune_sections([vars(x) for x in out])]

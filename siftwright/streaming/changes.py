@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from siftwright.functions import paths
+from siftwright.functions.build import MODULE
+
 CREATED, CHANGED, DELETED = 1, 2, 3
 GAP = "250 milliseconds"
 
@@ -49,6 +53,32 @@ def classify_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("uri").transformWithStateInPandas(Classifier(), "uri string, change_type int, event_time timestamp", "append", "none")
 
 
+# What is watched besides Java sources, at the root, in its folders, and in those under modules and apps.
+CONFIG_FILES = ["pom.xml", "build.gradle", "build.gradle.kts", "gradle.properties"]
+ROOT_FILES = [*CONFIG_FILES, "settings.gradle", "settings.gradle.kts", "gradle/libs.versions.toml"]
+
+
+def watched(path):
+    """Whether changes of path are followed: Java sources under a source root, and build files."""
+    name = "|".join(re.escape(n) for n in CONFIG_FILES)
+    root = "|".join(re.escape(n) for n in ROOT_FILES)
+    return path.rlike(rf"^{MODULE}src/(main|test)/java/.*\.java$|^{MODULE}({name})$|^({root})$") & ~paths.is_ignored(path)
+
+
+def listing_events(before: DataFrame, after: DataFrame, at) -> DataFrame:
+    """(uri, exists, event_time) of watched files that differ between two listings (path, mtime, size): one scan of a poller."""
+    old = before.select("path", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"), F.lit(True).alias("_old"))
+    both = after.withColumn("_new", F.lit(True)).join(old, "path", "full_outer").filter(watched(F.col("path")))
+    same = F.col("_new") & F.col("_old") & F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("size").eqNullSafe(F.col("_size"))
+    return both.filter(~F.coalesce(same, F.lit(False))).select(paths.path_to_uri(F.col("path")).alias("uri"), F.coalesce("_new", F.lit(False)).alias("exists"), at.alias("event_time"))
+
+
+def file_events(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream (uri, exists, event_time) of the JSON-line files that watchers drop into folder: {path, exists, at}."""
+    rows = spark.readStream.schema("path string, exists boolean, at timestamp").json(folder)
+    return rows.filter(watched(F.col("path"))).select(paths.path_to_uri(F.col("path")).alias("uri"), "exists", F.col("at").alias("event_time"))
+
+
 def debounce(changes: DataFrame, group: str, key: str, value: str, time: str = "event_time", gap: str = GAP) -> DataFrame:
     """The last value of each key in every burst of a group: (group, burst_end, key, value).
 
@@ -80,18 +110,41 @@ def generations(drops: DataFrame, order: list[str]) -> DataFrame:
 
 
 def ttl_hits(reads: DataFrame, key: str, time: str, order: str, ttl_seconds: int) -> DataFrame:
-    """reads with hit: whether the entry written at the last miss is still fresh. Time counts from the write, so it is sequential per key."""
-    kind = reads.schema
+    """reads with hit: whether the entry written at the last miss is still fresh.
+
+    Time counts from the write, so it is sequential per key; the reads of a key stream past in order and none is held back.
+    """
+    schema = reads.schema.simpleString()[len("struct<") : -1] + ",hit:boolean"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, written = None, None
+        for frame in frames:
+            hits = []
+            for k, at in zip(frame[key], frame[time], strict=True):
+                if k != own:
+                    own, written = k, None
+                hit = written is not None and (at - written).total_seconds() < ttl_seconds
+                hits.append(hit)
+                written = written if hit else at
+            yield frame.assign(hit=hits)
+
+    return reads.repartition(key).sortWithinPartitions(key, time, order).mapInPandas(run, schema)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, written, hits = frame.sort_values([time, order]), None, []
-        for at in frame[time]:
-            hit = written is not None and (at - written).total_seconds() < ttl_seconds
-            hits.append(hit)
-            written = written if hit else at
-        return frame.assign(hit=hits)
 
-    return reads.groupBy(key).applyInPandas(run, kind.simpleString()[len("struct<") : -1] + ",hit:boolean")
+def search_cache_hits(reads: DataFrame, drops: DataFrame, keys: list[str], time: str, order: str, ttl_seconds: int) -> DataFrame:
+    """reads with generation, the invalidations (drops: time) up to them, and hit: a cache whose keys hold the generation.
+
+    Invalidations are numbered within each hour, and hours among themselves.
+    """
+    hour = F.date_trunc("hour", "_t")
+    row = F.struct(*reads.columns)
+    rows = reads.select(F.col(time).alias("_t"), row.alias("_row"), F.lit(0).alias("_drop"))
+    union = rows.unionByName(drops.select(F.col(time).alias("_t"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(1).alias("_drop"))).withColumn("_hour", hour)
+    earlier = union.groupBy("_hour").agg(F.sum("_drop").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    within = F.sum("_drop").over(Window.partitionBy("_hour").orderBy("_t", F.desc("_drop")).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = union.withColumn("_within", within).filter("_row is not null").join(earlier.select("_hour", "_before"), "_hour")
+    named = numbered.select("_row.*", (F.col("_before") + F.col("_within")).alias("generation")).withColumn("_key", F.to_json(F.struct("generation", *keys)))
+    return ttl_hits(named, "_key", time, order, ttl_seconds).drop("_key")
 
 
 def open_intervals(progress: DataFrame, key: str = "token", order: str = "event_time") -> DataFrame:
@@ -99,6 +152,12 @@ def open_intervals(progress: DataFrame, key: str = "token", order: str = "event_
     return progress.groupBy(key).agg(F.max_by("kind", order).alias("kind"), F.max(order).alias(order)).filter("kind <> 'end'")
 
 
+def idle_since(progress: DataFrame, by: list[str], key: str = "token", order: str = "event_time") -> DataFrame:
+    """by, active and idle_since: how many tokens of each group are open, and when the last one ended if none is."""
+    last = progress.groupBy(*by, key).agg(F.max_by("kind", order).alias("kind"), F.max(order).alias("_at"))
+    return last.groupBy(*by).agg(F.count_if(F.col("kind") != "end").alias("active"), F.max("_at").alias("_at")).select(*by, "active", F.when(F.col("active") == 0, F.col("_at")).alias("idle_since"))
+
+
 def latest_diagnostics(published: DataFrame, key: str = "uri", order: str = "event_time") -> DataFrame:
     """The last published diagnostics of each key; an empty list clears."""
     return published.groupBy(key).agg(F.max_by("diagnostics", order).alias("diagnostics")).filter(F.size("diagnostics") > 0)

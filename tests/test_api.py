@@ -35,10 +35,26 @@ def test_texts_and_projections(spark):
     assert sized.output_bytes == 90 + len(',"outputBytes":') + 3 and one.select(api.pick(F.col("settings"), "java.home")).first()[0] == "/j"
     place = api.describe_location(one).first()
     assert (place.path, place.line, place.column) == ("/a b", 1, 5)
-    gaps = one.select(api.short_gaps(api.evidence_gaps(F.lit("off"), F.lit(0), F.lit(True), F.lit(2)), "compact")).first()[0]
-    assert gaps == ["semantic:off", "patterns:none"]
-    assert one.select(api.looks_semantic(F.lit("who implements it")), api.looks_semantic(F.lit("hello"))).first()[:] == (True, False)
-    assert [api.use_semantic(*a) for a in (("fast", True, "interface", "port"), ("required", True, None, "dto"), ("auto", True, None, "dto"), ("auto", True, "interface", "dto"), ("required", False, None, "dto"))] == [False, True, False, True, False]
+    full = api.evidence_gaps(F.lit(True), F.lit(False), F.lit(True), F.array(F.lit("dto"), F.lit("port")), F.lit("defer"))
+    compact, standard, whole = one.select(api.short_gaps(full, "compact"), api.short_gaps(full, "standard"), api.short_gaps(full, "diagnostic")).first()
+    assert compact == ["Run compile/test before claims.", "Check rg/runtime evidence for wiring and DB/config."]
+    assert standard[2] == "Semantic skipped; raise semanticPolicy for exact binding." and len(standard) == 3
+    assert [g.split()[0] for g in whole] == ["Run", "Use", "LSP", "Source", "Review", "Tests"]
+    prompts = {"排查 Java service 调用链": True, "fix the OrderMapper": True, "hello": False}
+    got = spark.createDataFrame([(p,) for p in prompts], "p string").select("p", api.looks_semantic(F.col("p")).alias("y")).collect()
+    assert {r.p: r.y for r in got} == prompts
+
+
+def test_semantic_policy():
+    use, verify = api.use_semantic, api.verify_semantic
+    assert not use("fast", "recall", ["service"]) and use("required", "balanced", []) and use("auto", "precision", ["dto"]) and use("auto", "balanced", ["dto", "service"]) and not use("auto", "balanced", ["port"])
+    assert not verify("fast", "recall", True, True) and verify("required", "balanced", False) and verify("auto", "recall", True) and verify("auto", "balanced", True, True) and not verify("auto", "balanced", False, True)
+
+
+def test_payload_attribution(spark):
+    rows = [("s", '{"files":[1,2],"rgSummary":{"sections":[{"files":[{"a":1}]},{"files":[]}]},"metrics":{"outputBytes":7,"cache":{}}}'), ("s", "{}")]
+    row = api.payload_attribution(spark.createDataFrame(rows, "v string, json string"), ["v"]).first()
+    assert (row.n, row.files_bytes, row.section_files_bytes, row.gaps_bytes, row.output_bytes) == (2, 3.5, 8.0, 2.0, 3.5)
 
 
 def test_alias_resolution(spark):

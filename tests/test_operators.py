@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftwright.operators import evaluation, evidence, graph, ranking, readplan, scoring, snapshot
 from siftwright.plans import impact, profiles
-from siftwright.schemas import EVIDENCE
+from siftwright.schemas import EVIDENCE, SEMANTIC_EDGES
 from siftwright.sources import tree
 from siftwright.streaming import changes
 
@@ -202,6 +202,135 @@ def test_impact_end_to_end(spark, tmp_path):
     assert [r.module for r in tree.source_roots(files).collect()] == [".", "."]
 
 
+def files_in(spark, files):
+    return spark.createDataFrame(list(files.items()), "path string, content string")
+
+
+def test_read_windows_around_an_anchor(spark):
+    lines = ["package demo;", "public class WindowService {", *["  int padding;"] * 27, "  public void targetMethod() {", "    int value = 1;", "    value++;", "  }", "", "  int afterMethod;", "}"]
+    path = "src/main/java/demo/WindowService.java"
+    files = files_in(spark, {path: "\n".join(lines)})
+    rows = [impact.impact_of(files, [(path, line, column)], scoring.Options(read_plan_max=1), "service").read_plan.collect() for line, column in ((31, 10), (35, 7))]
+    assert [(r.priority, r.file_id, r.start_line, r.end_line, r.reason) for (r,) in rows] == [("P0", "F1", 18, 41, "anchor symbol and local behavior"), ("P0", "F1", 11, 79, "anchor symbol and local behavior")]
+
+
+ORDERS = {
+    "pom.xml": "<project></project>",
+    "modules/order/src/main/java/com/x/order/app/OrderService.java": "package com.x.order.app;\n@Service\npublic class OrderService { public void placeOrder() { } }\n",
+    "modules/order/src/main/java/com/x/order/infra/OrderRepository.java": "package com.x.order.infra;\n@Repository\npublic class OrderRepository { public void saveOrder(Long orderId) { } }\n",
+    "modules/pay/src/main/java/com/x/pay/OrderGateway.java": "package com.x.pay;\npublic interface OrderGateway { }\n",
+    "modules/pay/src/main/java/com/x/pay/StripeGateway.java": "package com.x.pay;\npublic class StripeGateway implements OrderGateway { }\n",
+    "modules/order/src/test/java/com/x/order/OrderServiceTest.java": "package com.x.order;\npublic class OrderServiceTest { OrderService s; }\n",
+}
+
+
+def test_structural_signals_and_counters(spark):
+    files = files_in(spark, ORDERS)
+    found = impact.impact_of(files, [("modules/order/src/main/java/com/x/order/app/OrderService.java", 3, 21)], scoring.Options(task_keywords=["order"]))
+    rows = {r.path.split("/")[-1]: r for r in found.files.collect()}
+    ledger = {e.id: e.delta for e in rows["OrderRepository.java"].ledger}
+    assert ledger["finalize.structural.annotation"] == 50 and ledger["finalize.structural.package"] == 18
+    assert all(sum(e.delta for e in r.ledger) == r.score for r in rows.values())
+    assert "StripeGateway.java" not in rows  # another module
+    counts = found.suppressed.first()
+    assert (counts.deferred_tests, counts.cross_module_consumers, counts.excluded_modules) == (1, 0, 0)
+    assert found.gaps[2].startswith("LSP semantic enrichment was skipped") and len(found.gaps) == 5
+    assert {(s.category, s.reason) for s in found.sections.collect()} == {("java", "service, direct callers, and local protocol family"), ("tests", "targeted verification candidates")}
+
+
+def test_type_graph_and_semantic_edges(spark):
+    files = files_in(spark, ORDERS)
+    place = ("modules/pay/src/main/java/com/x/pay/OrderGateway.java", 2, 20)
+    plain = {r.path.split("/")[-1]: r for r in impact.impact_of(files, [place]).files.collect()}
+    stripe = plain["StripeGateway.java"]
+    assert "typeGraph" in stripe.verified_by and "typeGraph" in stripe.reasons and "semantic" in stripe.categories and "implementation" not in stripe.reasons
+    edges = spark.createDataFrame([("implementation", place[0], 2, 20, "modules/pay/src/main/java/com/x/pay/StripeGateway.java", 2, 14, 0), ("reference", place[0], 2, 20, "modules/order/src/main/java/com/x/order/infra/OrderRepository.java", 3, 5, 0)], SEMANTIC_EDGES)
+    off = impact.impact_of(files, [place], edges=edges)  # a port in a balanced mode doesn't ask
+    assert {r.path.split("/")[-1]: r.score for r in off.files.collect()} == {k: r.score for k, r in plain.items()}
+    on = impact.impact_of(files, [place], scoring.Options(semantic_policy="required"), edges=edges)
+    rows = {r.path.split("/")[-1]: r for r in on.files.collect()}
+    assert {"implementation", "typeGraph"} <= set(rows["StripeGateway.java"].reasons) and "semantic-implementation" in rows["StripeGateway.java"].verified_by and rows["StripeGateway.java"].confidence == "high"
+    assert "reference" in rows["OrderRepository.java"].reasons
+    assert {r.path.split("/")[-1]: r.priority for r in on.read_plan.collect()}["StripeGateway.java"] == "P0"
+    assert not any("skipped" in g for g in on.gaps)
+
+
+def test_several_anchors_are_merged(spark):
+    files = files_in(spark, ORDERS)
+    places = [("modules/order/src/main/java/com/x/order/app/OrderService.java", 3, 21), ("modules/pay/src/main/java/com/x/pay/OrderGateway.java", 2, 20)]
+    found = impact.impact_of(files, places, scoring.Options(exclude_modules=["nothing"]))
+    rows = {r.path.split("/")[-1]: r for r in found.files.collect()}
+    assert [a.profile for a in found.anchors] == ["service", "port"] and {"OrderService.java", "OrderGateway.java", "StripeGateway.java", "OrderServiceTest.java"} <= set(rows)
+    assert "target" in rows["OrderGateway.java"].reasons and sum(r.priority == "P0" for r in found.read_plan.collect()) == 2
+    away = impact.impact_of(files, places, scoring.Options(exclude_modules=["pay"]))
+    assert away.suppressed.first().excluded_modules >= 2 and not any("/pay/" in r.path for r in away.files.collect())
+    for wrong in ([], places * 3):
+        with pytest.raises(ValueError, match="anchors"):
+            impact.impact_of(files, wrong)
+
+
+def tail_of(spark, rows, limit=26):
+    table = spark.createDataFrame([("q", p, s, strong, covered) for p, s, strong, covered in rows], "q string, path string, score long, strong boolean, covered boolean")
+    return {r.path for r in ranking.truncate_tail(table, ["q"], limit).collect()}
+
+
+def test_tail_cases(spark):
+    strong = lambda n, top: [(f"/s/S{i}.java", top - i, True, False) for i in range(n)]
+    noise = [(f"/n/N{i:02d}.java", 50 - i, False, i == 0) for i in range(12)]
+    covered = [(p, s, k, c or i == 0) for i, (p, s, k, c) in enumerate(strong(8, 200))]
+    kept = tail_of(spark, covered + noise)
+    assert len(kept) == 13 and {p for p, *_ in covered} <= kept
+    cliff = tail_of(spark, strong(8, 300) + [("/n/A.java", 100, False, False), ("/n/B.java", 95, False, False), ("/n/C.java", 20, False, False)])
+    assert {"/n/A.java", "/n/B.java"} <= cliff and "/n/C.java" not in cliff
+    assert len(tail_of(spark, strong(3, 300) + [(f"/n/N{i}.java", 100 - i, False, False) for i in range(9)], 20)) == 12
+    focus = tail_of(spark, [(f"/f/F{i:02d}.java", 120 - i, False, i == 0) for i in range(12)], 5)
+    assert len(focus) == 5 and "/f/F00.java" in focus
+
+
+def test_roots_are_looked_for_where_modules_are(spark):
+    paths_ = ["src/main/java/A.java", "x/src/test/java/A.java", "modules/m/src/main/java/p/A.java", "apps/a/src/main/resources/x.yml", "a/b/src/main/java/A.java", "docs/sql/1.sql", "a/b/src/main/resources/r", "deep/docs/sql/2.sql"]
+    files = spark.createDataFrame([(p,) for p in paths_], "path string")
+    assert [tuple(r) for r in tree.source_roots(files).collect()] == [("modules/m/src/main/java", "m", "main"), ("src/main/java", ".", "main"), ("x/src/test/java", "x", "test")]
+    assert [r[0] for r in tree.resource_roots(files).collect()] == ["apps/a/src/main/resources", "docs/sql"]
+
+
+def test_aliases_and_printed_matches(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"aliases":[{"id":"x","root":"/r/s/"},{"id":"y","root":"/","lspEnabled":true,"layoutProfile":"ddd-gradle"}],"defaults":{}}')
+    assert sorted(tuple(r) for r in tree.read_aliases(spark, str(tmp_path / "a.json")).collect()) == [("x", "/r/s", False, None), ("y", "/", True, "ddd-gradle")]
+    (tmp_path / "b.json").write_text('{"aliases":[{"id":"x","root":"r"}]}')
+    with pytest.raises(Exception, match="absolute root"):
+        tree.read_aliases(spark, str(tmp_path / "b.json")).collect()
+    printed = spark.createDataFrame([("a/b.java:12:x:1",), ("nothing",), ("c:3:",)], "value string")
+    assert [tuple(r) for r in tree.parse_matches(printed).collect()] == [("a/b.java", 12, "x:1"), ("c", 3, "")]
+
+
+def test_logs_are_whole_or_discarded(spark):
+    facts = spark.createDataFrame([("p", 1.0, [("m", 1, 2)]), ("q", 2.0, [])], "path string, mtime_ms double, methods array<struct<name:string,line:int,end_line:int>>")
+    files, symbols = snapshot.appended(facts)
+    lines = lambda df: df.selectExpr("to_json(struct(*)) AS value")
+    schemas = ("path string, mtime_ms double, batch_id string", "path string, batch_id string, name string, line int, end_line int")
+    back, methods = snapshot.read_logs(lines(files), lines(symbols), *schemas)
+    got = {r.path: [m.name for m in r.methods] for r in snapshot.load(back.withColumn("seq", F.lit(1)), methods).collect()}
+    assert got == {"p": ["m"], "q": []}
+    broken = lines(symbols).union(spark.createDataFrame([("{oops",)], "value string"))
+    assert [df.count() for df in snapshot.read_logs(lines(files), broken, *schemas)] == [0, 0]
+
+
+def test_equal_probes_stay_apart(spark):
+    probes = spark.createDataFrame([("a", 5), ("a", 5), ("a", 50)], "path string, line int")
+    spans = spark.createDataFrame([("a", "outer", 1, 9), ("a", "inner", 4, 6)], "path string, name string, start int, end int")
+    assert sorted((r.line, r.name) for r in readplan.innermost(probes, spans, ["path"]).collect() if r.name) == [(5, "inner")] * 2
+
+
+def test_watched_files_as_a_stream(spark, tmp_path):
+    rows = [("src/main/java/A.java", True), ("docs/A.java", True), ("x/pom.xml", True), ("src/main/java/node_modules/B.java", True), ("gradle/libs.versions.toml", False), ("x/settings.gradle", True)]
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(p, e, "2024-01-01T00:00:00") for p, e in rows], "path string, exists boolean, at string").coalesce(1).write.mode("overwrite").json(str(tmp_path / "in"))
+    q = changes.file_events(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.uri, r.exists) for r in spark.table("seen").collect()) == [("file://gradle/libs.versions.toml", False), ("file://src/main/java/A.java", True), ("file://x/pom.xml", True)]
+
+
 def test_scenarios(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"id":"a","golden":{"mustHit":["x"],"shouldHit":["y","z"]}}\n\n{"id":"b","golden":{}}\n')
     got = tree.read_scenarios(spark, str(tmp_path / "s.jsonl"))
