@@ -35,13 +35,13 @@ WIDTH = 4
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 85
 #: Shingles in the lowest part of the hash space, in which nearly all prefixes end, are ordered by how many documents hold them.
-LOW_SHARE = 4 / 3
+LOW_SHARE = 1.2
 #: Nearest documents of other groups that each meets in a region, round by round (at last all that may link), out of so many before it.
 ROUNDS, RECENT = (3, None), 256
 #: Members of a region, or of a part of one, that are compared in one task.
 LARGE = 2048
-#: Parts of the counts that are compared first.
-COARSE = 64
+#: Parts of the counts that are compared first, and the fine count that may be larger.
+COARSE, FULL = 64, 15
 
 _bytes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _bytes[0x41:0x5B] = _bytes[0x61:0x7B]
@@ -101,31 +101,36 @@ def prefix_size(n: int, least: int = LEAST) -> int:
 
 
 def parts_of(n: int) -> int:
-    """Parts of the hash space that the shingles of a set are counted by, a power of two; about one shingle each."""
-    return 1 << min(15, max(6, (n - 1).bit_length()))
+    """Parts of the hash space that the shingles of a set are counted by, a power of two; one or two shingles each."""
+    return 1 << min(15, max(6, (n // 2).bit_length()))
+
+
+def counted(shingles: np.ndarray, parts: int, most: int) -> np.ndarray:
+    counts = np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
+    return np.minimum(counts, most).astype(np.uint8)
 
 
 def profile(shingles: np.ndarray) -> bytes:
-    """Counts of shingles by part of the hash space, four bits each; 15 stands for more, too."""
-    parts = parts_of(len(shingles))
-    counts = np.minimum(np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 15).astype(np.uint8)
-    return (counts[0::2] | counts[1::2] << 4).tobytes()
+    """Counts of shingles by COARSE parts of the hash space, a byte each, and by fine ones, four bits each; the most stands for more, too."""
+    fine = counted(shingles, parts_of(len(shingles)), FULL)
+    return counted(shingles, COARSE, 255).tobytes() + (fine[0::2] | fine[1::2] << 4).tobytes()
 
 
-def counts_of(packed: bytes) -> np.ndarray:
+def counts_of(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The coarse and fine counts of a profile; there are no fine ones if only its first part is given."""
     raw = np.frombuffer(packed, np.uint8)
-    return np.column_stack([raw & 15, raw >> 4]).ravel()
+    return raw[:COARSE], np.column_stack([raw[COARSE:] & 15, raw[COARSE:] >> 4]).ravel()
 
 
 def folded(counts: np.ndarray, parts: int) -> np.ndarray:
-    """Counts by fewer parts; a count that may be larger stays 15 or more."""
+    """Fine counts by fewer parts; one that may be larger stays FULL or more."""
     return np.minimum(counts.reshape(-1, parts).sum(0, dtype=np.int64), 255).astype(np.uint8)
 
 
-def difference(many: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """At least so many shingles are in one of two sets alone, by their counts; what may be larger than counted says nothing."""
+def difference(many: np.ndarray, one: np.ndarray, full: int) -> np.ndarray:
+    """At least so many shingles are in one of two sets alone, by their counts; counts of full or more, which may be larger, say nothing."""
     apart = np.abs(many.astype(np.int16) - one.astype(np.int16))
-    return np.where((many >= 15) | (one >= 15), 0, apart).sum(1, dtype=np.int64)
+    return np.where((many >= full) | (one >= full), 0, apart).sum(1, dtype=np.int64)
 
 
 def low_bound(least: int) -> np.uint64:
@@ -208,10 +213,12 @@ class Region:
         shared = np.minimum(self.sizes[own] - self.places[own], n - place)
         others = start + np.flatnonzero((self.groups[own] != label) & ((100 + least) * shared >= least * (self.sizes[own] + n)))
         apart = np.zeros(0)
-        for counts, one in ((self.coarse, coarse), (self.fine, fine)):
+        for counts, one, full in ((self.coarse, coarse, 255), (self.fine, fine, FULL)):
             if not len(others):
                 return self.nodes[others]
-            apart = difference(counts[others], one)
+            if not len(one):
+                continue
+            apart = difference(counts[others], one, full)
             keep = (100 + least) * apart <= (100 - least) * (self.sizes[others] + n)
             others, apart = others[keep], apart[keep]
         if most is not None and len(others) > most:
@@ -251,7 +258,10 @@ def split(members: DataFrame, least: int) -> DataFrame:
 
 
 def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
-    """(a, b) pairs of members (region, node, place, n, profile, label) of different labels that may link; for each the `most` nearest, or all."""
+    """(a, b) pairs of members (region, node, place, n, profile, label) of different labels that may link.
+
+    For each the `most` nearest by the coarse counts, or all that the fine ones leave.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("jaccardjoin")
@@ -262,14 +272,13 @@ def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
             for *key, node, place, n, label, packed in zip(*columns, batch.column("profile").to_pylist(), strict=True):
                 if seen != key:
                     regions, seen = [], key
-                fine = counts_of(packed)
-                coarse = folded(fine, COARSE)
+                coarse, fine = counts_of(packed)
                 if not regions or regions[-1].parts != len(fine):
                     regions = [*regions[-1:], Region(len(fine))]  # partners have the same parts, or half as many
                 for region in regions:
                     if region.last > region.first:
                         region.forget(n, least)
-                        own = fine if region.parts == len(fine) else folded(fine, region.parts)
+                        own = folded(fine, region.parts) if region.parts and region.parts < len(fine) else fine
                         others = region.near(n, place, coarse, own, label, least, most)
                         found_a.append(np.minimum(others, node))
                         found_b.append(np.maximum(others, node))
@@ -277,7 +286,8 @@ def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
 
-    parts = split(members, least).select("region", "shell", "block.low", "block.high", "node", "place", "n", "label", "profile")
+    needed = F.col("profile") if most is None else F.substring("profile", 1, COARSE)
+    parts = split(members, least).select("region", "shell", "block.low", "block.high", "node", "place", "n", "label", needed.alias("profile"))
     ordered = parts.repartition("region", "shell", "low", "high").sortWithinPartitions("region", "shell", "low", "high", "n", "node")
     return ordered.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
@@ -331,7 +341,7 @@ def linked_groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, leas
 
     component_id is the least doc_id that links reach. Texts without words, and null ones, have no shingles and link with nothing. Rows
     that repeat a doc_id with another text link as one document does that has both. A null doc_id takes no part and has no component.
-    Other columns are ignored.
+    Texts of any length are read whole; an empty table gives an empty one, and other columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = checkpoint(spark, described(own, width, least))

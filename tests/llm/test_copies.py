@@ -46,6 +46,17 @@ def test_substrings_of_odd_tables(spark):
     assert suffixfamily.dedup_substrings(spark, docs.limit(0)).count() == 0
 
 
+def test_substrings_of_long_texts_and_a_passage_that_all_share(spark, monkeypatch):
+    monkeypatch.setattr(suffixfamily, "FLUSH", 2000)
+    monkeypatch.setattr(suffixfamily, "BATCH", 500)
+    r = np.random.default_rng(9)
+    letters = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    passage, long = letters(400), letters(150_000)
+    rows = [(k, f"{letters(120)}{passage if k % 2 else passage[:230]}{letters(60)}") for k in range(60)] + [(60, long), (61, long[70_000:90_000] + letters(50) + long[10:500])]
+    docs = spark.createDataFrame([(*x, 1, "h") for x in rows], "doc_id long, text string, lo int, h string")
+    assert sorted(tuple(x) for x in suffixfamily.dedup_substrings(spark, docs).collect()) == sorted(brute_dedup(rows, 100))
+
+
 @given(st.lists(st.binary(min_size=0, max_size=80).map(lambda b: bytes(x % 3 for x in b)), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_neighbourhoods_cover_every_string_once(texts):
@@ -133,9 +144,9 @@ def test_jaccard_groups_against_brute_force(spark, rounds, large, monkeypatch):
 def test_counts_never_overstate_a_difference(x, y, cut):
     a, b = (np.array(sorted(s), np.uint64) for s in (x, {*sorted(x)[cut:], *y}))
     p, q = (jaccardjoin.counts_of(jaccardjoin.profile(s)) for s in (a, b))
-    for parts in {min(len(p), len(q)), jaccardjoin.COARSE}:
-        found = jaccardjoin.difference(jaccardjoin.folded(p, parts)[None], jaccardjoin.folded(q, parts))[0]
-        assert found <= len(set(a.tolist()) ^ set(b.tolist()))
+    apart, parts = len(set(a.tolist()) ^ set(b.tolist())), min(len(p[1]), len(q[1]))
+    assert jaccardjoin.difference(p[0][None], q[0], 255)[0] <= apart
+    assert jaccardjoin.difference(jaccardjoin.folded(p[1], parts)[None], jaccardjoin.folded(q[1], parts), jaccardjoin.FULL)[0] <= apart
 
 
 def test_jaccard_groups_of_odd_tables(spark):
