@@ -89,7 +89,7 @@ class Model:
     langs: list[str]
     grams: list[HashArray]  # by order, 1 first
     backoff: list[HashArray]  # of contexts, by the order above them, 2 first
-    floor: float
+    floor: np.ndarray  # of characters that no language holds, by language
     slope: float = 1.0
     intercept: float = 0.0
     mean: np.ndarray | None = None
@@ -110,7 +110,7 @@ class Model:
             rows, found = self.grams[order - 2].find(own & np.uint64((1 << 16 * (order - 1)) - 1))
             out[lost] += np.where(found[:, None], self.grams[order - 2].values[rows], np.float32(0))
             lost = lost[~found]
-        out[lost] += np.float32(self.floor)
+        out[lost] += self.floor
         return out
 
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,9 @@ def kneser_ney(tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         grams.append(HashArray(union, np.log(p)))
         if n > 1:
             backoff.append(HashArray(contexts, np.log(weights)))
-    return Model(langs, grams, backoff, float(np.log(1 / alphabet)))
+        else:
+            floor = np.log(weights[0] / alphabet).astype(np.float32)
+    return Model(langs, grams, backoff, floor)
 
 
 def fold(column: str = "doc_id", of: int = 5):
@@ -297,7 +299,8 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted, nats) of documents (doc_id, text, lang).
 
     Fold 0 of five (crc32 of doc_id) is held out, fold 1 calibrates, the others are counted. Null texts and languages teach nothing, a
-    null doc_id is in no fold; repeated rows are predicted each; other columns are ignored. If nothing can be learned all are und.
+    null doc_id is in no fold; repeated rows are predicted each; texts of any length are read whole; other columns are ignored. If nothing
+    can be learned all are und; an empty table gives an empty one.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("fold", fold())
     model = train(spark, own.filter("fold > 1"), own.filter("fold = 1"))
