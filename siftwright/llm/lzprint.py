@@ -128,32 +128,47 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows of SCHEMA for documents (doc_id, text): fingerprints of each text and of the text whose last quarter comes from the next.
 
     Null texts are empty; a text without phrases has the fingerprint of all f. A null doc_id comes first; repeated ids follow each other
-    in the order of their texts; a single document is its own next one. Other columns are ignored.
+    in the order of their texts; a single document is its own next one. Texts of any length are parsed whole, an empty table gives an empty
+    one, and other columns are ignored.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
+    cuts = np.array(sorted(set(cuts)), np.int64)
 
-    def bucket(c):
-        """Number of cuts below c; a null is in the first."""
-        return F.coalesce(F.expr(f"array_size(filter(array({', '.join(f'{x}L' for x in cuts)}), x -> x < {c}))") if cuts else F.lit(0), F.lit(0))
+    def bucket_of(column: pa.Array) -> np.ndarray:
+        """The number of cuts below each id; a null is in the first range."""
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        return np.where(known, np.searchsorted(cuts, column.fill_null(0).to_numpy()), 0).astype(np.int32)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("doc_id")
+            table = pa.table({"bucket": bucket_of(column), "doc_id": column, "none": column.is_null().cast(pa.int64())})
+            found = table.group_by("bucket").aggregate([("doc_id", "min"), ("none", "sum")])
+            yield from found.select(["bucket", "doc_id_min", "none_sum"]).rename_columns(["bucket", "first", "nulls"]).to_batches()
 
     # one row per range: at most as many as partitions
-    firsts = sorted((r["bucket"], r["first"], r["nulls"]) for r in ids.groupBy(bucket("doc_id").alias("bucket")).agg(F.min("doc_id").alias("first"), (F.count("*") - F.count("doc_id")).alias("nulls")).collect())
+    ranges = ids.mapInArrow(summed, "bucket int, first long, nulls long").groupBy("bucket").agg(F.min("first").alias("first"), F.sum("nulls").alias("nulls"))
+    firsts = sorted((r["bucket"], r["first"], r["nulls"]) for r in ranges.collect())
     if not firsts:
         return spark.createDataFrame([], SCHEMA)
     before = {b: firsts[k - 1][0] for k, (b, _, _) in enumerate(firsts)}  # that of the first is the last: the order closes
     lead = {b: None if nulls else first for b, first, nulls in firsts}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", bucket("doc_id"))
-    opens = F.lit(False)
-    for b, first in lead.items():
-        opens = opens | ((F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(first).cast("long")))
-    previous = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("bucket"))
-    targets = F.when(opens, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("whole")), F.struct(previous.alias("bucket"), F.lit(False).alias("whole")))).otherwise(
-        F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("whole")))
-    )
-    dealt = rows.select("doc_id", "text", F.explode(targets).alias("to")).select("doc_id", "text", "to.bucket", "to.whole")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row to its range, and those that open a range to the one before as well."""
+        for batch in batches:
+            bucket = bucket_of(batch.column("doc_id"))
+            opens = [k for k, (b, d) in enumerate(zip(bucket.tolist(), batch.column("doc_id").to_pylist(), strict=True)) if lead[b] == d]
+            rows = [batch, batch.take(pa.array(opens, pa.int64()))]
+            to = [bucket, np.array([before[b] for b in bucket[opens].tolist()], np.int32)]
+            for own, b, whole in zip(rows, to, (True, False), strict=True):
+                if own.num_rows:
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(b), pa.array(np.full(len(b), whole))], ["doc_id", "text", "bucket", "whole"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, bucket int, whole boolean")
     ordered = dealt.repartitionByRange(len(firsts) if len(firsts) > 1 else 1, "bucket").sortWithinPartitions("bucket", F.desc("whole"), F.asc_nulls_first("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
