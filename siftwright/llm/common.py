@@ -17,17 +17,29 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 19
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset, a temporary one serves while both are one process (tests); on a cluster it raises, as nobody else would see it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and cut from its lineage.
+    """df, written to the shared folder and cut from its lineage.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests) a local one is used. Shuffle files
-    of steps before that nothing refers to any more are let go first, which Spark does when the driver collects its garbage.
+    Shuffle files of steps before that nothing refers to any more are let go first, which Spark does when the driver collects its garbage.
     """
     sc = spark.sparkContext
     gc.collect()
     sc._jvm.System.gc()
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.llm.common import checkpoint
+
 SIZE = 10
 ANCHOR = 5
 #: Grams that a plan may carry.
@@ -72,7 +74,7 @@ def hits(docs: DataFrame, windows: DataFrame, size: int = SIZE, max_literals: in
 
 def joined_hits(docs: DataFrame, grams: DataFrame, lengths: list[int], size: int, empty: str) -> DataFrame:
     """hits() where the grams are too many to travel with the plan: their anchors and then windows meet documents in joins."""
-    keyed = docs.withColumn("row", F.monotonically_increasing_id())
+    keyed = checkpoint(docs.sparkSession, docs.withColumn("row", F.monotonically_increasing_id()))  # the numbers are read three times
     keys = []
     for n in lengths:
         width, step = (ANCHOR, n - ANCHOR + 1) if n >= 2 * ANCHOR else (n, 1)
@@ -95,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_l
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs (doc_id, text).
 
     A word is hit if a window of an item covers it. Null and empty texts have no words; items without words are no windows; repeated
-    rows have a row each. Other columns are ignored.
+    rows have a row each. Texts of any length are scanned whole, an empty table gives an empty one, and other columns are ignored.
     """
     windows = item_windows(benchmark, size)
     own = docs.select("doc_id", words(F.col("text")).alias("words"))
@@ -108,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_l
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_literals: int = MAX_LITERALS) -> DataFrame:
-    """The rows of docs, all columns, in which no window of an item stands."""
+    """The rows of docs, all columns, in which no window of an item stands; null and empty texts stay, and so do all if there are no items."""
     named = docs.withColumn("words", words(F.col("text"))) if "words" not in docs.columns else None
     if named is None:  # a clashing column keeps its values
         renamed = docs.withColumnRenamed("words", "own words")

@@ -184,8 +184,8 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[in
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
-    A null or empty text is the end id alone. Repeated rows are packed once each. Without documents the result is empty. Other columns
-    are ignored, whatever their names. sequence_id is unique but has gaps.
+    A null or empty text is the end id alone, a text of more than a window several pieces. Repeated rows are packed once each. Without
+    documents the result is empty. Other columns are ignored, whatever their names. sequence_id is unique but has gaps.
     """
     docs = checkpoint(spark, tokenised(docs, tokenizer_path or default_tokenizer(), window))
     histogram = {r["rest"]: r["count"] for r in docs.filter("rest > 0").groupBy("rest").count().collect()}  # under `window` rows

@@ -167,7 +167,7 @@ def masked(text: str) -> str:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with text masked; null stays null, all columns and their order are kept."""
+    """docs, which has one column text, with that masked; null stays null, whole texts are read, all columns and their order are kept."""
     schema, place = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

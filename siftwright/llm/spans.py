@@ -55,7 +55,7 @@ def scan(docs: DataFrame, kinds: list[str], base: Callable[[str], list[Span]], a
     """(doc_id, a count per kind, base_sha256, spans) of each row of docs (doc_id, text).
 
     base finds the plain spans, which counts and base_sha256 are of; added finds more. A null text is empty; repeated rows have a row
-    each; other columns are ignored.
+    each; texts of any length are scanned whole; an empty table gives an empty one, and other columns are ignored.
     """
     names = [f"n_{k}" for k in kinds]
 

@@ -353,7 +353,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
 
     A byte goes if a string that covers it also starts earlier, in a smaller doc_id or before in its own document. Null texts are empty;
     a null doc_id is before all others; rows that repeat a doc_id with another text rank by a hash of it, and whole repeated rows count as
-    one and have the same result. Other columns are ignored.
+    one and have the same result. Texts of any length are read whole; an empty table gives an empty one, and other columns are ignored.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

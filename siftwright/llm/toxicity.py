@@ -479,8 +479,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     """(doc_id, held_out, score, predicted) of each row of docs (doc_id, text).
 
     Fold 1 of three (crc32 of doc_id) is held out; a null doc_id is in no fold and teaches nothing. A null text is empty. Labels that
-    differ for one doc_id count as toxic. Repeated rows are scored each; other columns are ignored. Without labels of both classes all
-    scores are 0.
+    differ for one doc_id count as toxic. Repeated rows are scored each, texts of any length whole; an empty table gives an empty one, and
+    other columns are ignored. Without labels of both classes all scores are 0.
     """
     fitted = learned(spark, docs, labels)
 
@@ -494,7 +494,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows whose text is predicted toxic."""
+    """docs, which has one column text, without the rows whose text is predicted toxic; all columns, null and empty texts stay."""
     fitted = learned(spark, docs, labels)
     place = docs.columns.index("text")
 

@@ -58,6 +58,24 @@ def test_near_copies_between_the_thresholds(spark):
     assert {r.doc_id for r in pipeline.one_of_each_group(spark, docs, "").collect()} == {0, 2}
 
 
+def test_stages_on_odd_tables(spark, corpus, tmp_path):
+    folder, texts, _ = corpus
+    long = " ".join(f"w{k % 977}x{k % 31}" for k in range(20_000))
+    same = "one two three four five six seven"
+    rows = [(None, None, 1, "a", 2.0, "h", "w", "g"), (None, same, 1, "a", 2.0, "h", "w", "g"), (5, same, 2, "b", 1.0, "h", "w", "g"), (5, same, 2, "b", 1.0, "h", "w", "g"), (6, same.upper(), 3, "c", 0.5, "h", "w", "g"), (7, long, 4, "d", 0.1, "h", "w", "g"), (8, "", 5, "e", 0.2, "h", "w", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, node string, score double, hits string, words string, gram string")
+    kept = {"toxicity": 7, "jaccard_join": 5, "decontamination": 7, "pii": 7}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() == kept[name], name
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    left = sorted((r.doc_id or 0, r.text or "") for r in pipeline.one_of_each_group(spark, docs, folder).collect())
+    assert left == sorted([(0, ""), (0, same), (5, same), (7, long), (8, "")])
+    pieces = pipeline.pack(spark, docs, folder)
+    assert pieces.groupBy("doc_id").count().count() == 5 and pieces.agg({"length": "sum"}).first()[0] > 40_000
+    assert pipeline.pack(spark, docs.limit(0), folder).count() == 0
+
+
 def test_empty_corpus(spark, corpus, tmp_path):
     folder, *_ = corpus
     for name in ("documents", "benchmark", "labels"):
