@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwright.llm import decontam, jaccardjoin, packing, pii, toxicity
-from siftwright.llm.common import ship
+from siftwright.llm.common import shared_folder, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject."""
+    """Documents that the toxicity model doesn't reject, all columns.
+
+    The model learns from labels, outside the held-out fold; without both classes nothing is rejected. Null and empty texts stay, repeated
+    rows are judged each, a null doc_id is scored but teaches nothing, and texts of any length are read whole. docs needs doc_id and text.
+    """
     ship(spark)
     return toxicity.drop_toxic(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the document of the least id; of repeated rows one."""
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the document of the least id, all columns.
+
+    Null and empty texts have no shingles and stay. Of rows of one doc_id and text one stays; a doc_id with several texts stays with all of
+    them if it is the least of its group. Rows with a null doc_id take no part and stay. Texts of any length are read whole.
+    """
     ship(spark)
     groups = jaccardjoin.linked_groups(spark, docs, width=5, least=80)
     kept = groups.filter("component_id = doc_id").select("doc_id").distinct()
@@ -26,12 +33,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window stands."""
+    """Documents in which no benchmark window stands, all columns; null and empty texts, repeated rows and null ids as they are."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked; n_chars follows the new text."""
+    """All documents, all columns, with personal data masked; n_chars, if there, follows the new text. A null text stays null."""
     from pyspark.sql import functions as F
 
     ship(spark)
@@ -40,7 +47,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 4096 tokens."""
+    """Pieces of all documents in windows of 4096 tokens; null texts count as empty, repeated rows and null ids have pieces of their own."""
     ship(spark)
     return packing.pack_documents(spark, docs)
 
@@ -58,13 +65,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that the stages leave of the documents; each stage is written and read again in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces that the stages leave of the documents; each stage is written and read again in the shared folder.
+
+    What a stage has read is removed once its own result is written; the last result that was written stays, as the pieces come from it.
+    """
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if read:
+                remove(spark, read)
+            read = f"{folder}/{k}-{name}"
     return docs
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
