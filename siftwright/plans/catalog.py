@@ -736,3 +736,110 @@ def payload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = docs.select("lang", F.concat(F.lit('{"evidenceGaps":["'), F.regexp_replace("text", r'["\\\x00-\x1f]', "_"), F.lit('"]}')).alias("json"))
     out = api.payload_attribution(held, ["lang"])
     return out.select("lang", "n", (F.round(F.col("gaps_bytes") - 4, 2)).alias("text_bytes"))
+
+
+@query("""
+SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1) AS path, starts_with(regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1), '/es/') AS inside, CASE WHEN starts_with(regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1), '/es/') THEN substr(regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1), 5) END AS below,
+  page_id % 3 = 0 AS ignored, 'file:///a%20b/' || page_id || '%25.java' AS uri FROM pages
+""")
+def path_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of URIs, containment, ignored folders, and URIs of paths, there and back."""
+    k = F.col("page_id")
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+(/.*)$", 1)
+    local = F.concat(F.lit("/a b/"), k.cast("string"), F.lit("%.java"))
+    folder = F.concat(F.lit("x/"), F.when(k % 3 == 0, "node_modules").otherwise("nodes"), F.lit("/y"))
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), local.alias("local"), folder.alias("folder"))
+    back = rows.withColumn("uri", paths.path_to_uri(F.col("local"))).filter(paths.uri_to_path(F.col("uri")) == F.col("local"))
+    return back.select("page_id", "path", paths.is_within(F.col("path"), "/es").alias("inside"), paths.relative(F.col("path"), "/es/").alias("below"), paths.is_ignored(F.col("folder")).alias("ignored"), "uri")
+
+
+@query("""
+SELECT p_partkey, 'x = 1; ' AS code, 'Map' AS simple, 'Service' AS annotation, CASE p_size % 30 WHEN 0 THEN 'Kind0' WHEN 1 THEN 'File' WHEN 5 THEN 'Class' WHEN 6 THEN 'Method' WHEN 11 THEN 'Interface' WHEN 12 THEN 'Function' WHEN 26 THEN 'TypeParameter' WHEN 27 THEN 'Kind27' ELSE 'other' END AS kind,
+  CAST(CASE WHEN p_retailprice < 1 THEN 1 WHEN p_retailprice > 950 THEN 950 ELSE floor(p_retailprice) END AS BIGINT) AS clamped, CAST(floor(p_retailprice / 7 + 0.5) AS BIGINT) AS rounded FROM part
+""")
+def java_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code without comments, simple names, names of symbol kinds, clamped and rounded numbers."""
+    k = F.col("p_partkey").cast("string")
+    named = F.when((F.col("p_size") % 30).isin(0, 1, 5, 6, 11, 12, 26, 27), text.symbol_kind(F.col("p_size") % 30)).otherwise("other")
+    rows = table(spark, sf_dir, "part").withColumns({"line": F.concat(F.lit("x = 1; // "), k), "type": F.concat(F.lit("java.util.Map<a.K"), k, F.lit(", V>")), "mark": F.lit("@org.x.Service")})
+    return rows.select(
+        "p_partkey", text.strip_line_comment(F.col("line")).alias("code"), text.simple_name(F.col("type")).alias("simple"), text.simple_annotation(F.col("mark")).alias("annotation"), named.alias("kind"),
+        text.clamp(F.col("p_retailprice"), 1, 950, 80).cast("long").alias("clamped"), text.half_up(F.col("p_retailprice") / 7).cast("long").alias("rounded"),
+    )
+
+
+@query("""
+WITH s AS (SELECT 'O' || o_orderkey AS path, o_orderkey % 4 AS n FROM orders), f AS (SELECT path, 0 AS seq, NULL AS parent_seq, 'T' AS name, 5 AS kind, 1 AS line, 10 AS end_line FROM s UNION ALL SELECT path, k, 0, 'm' || k, 6, 1 + k, 2 + k FROM s, LATERAL (SELECT unnest(range(1, n + 1)) AS k))
+SELECT path, CAST(seq AS BIGINT) AS seq, CAST(parent_seq AS BIGINT) AS parent_seq, name, CAST(kind AS BIGINT) AS kind, CAST(line AS BIGINT) AS line, CAST(end_line AS BIGINT) AS end_line FROM f
+""")
+def symbols_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested symbols of a class with up to three methods for every order, flattened with their parents."""
+    at = lambda a, b: F.concat(F.lit('"range":{"start":{"line":'), a.cast("string"), F.lit('},"end":{"line":'), b.cast("string"), F.lit("}}"))
+    many = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: (k > 0) & (k <= F.col("o_orderkey") % 4))
+    children = F.array_join(F.transform(many, lambda k: F.concat(F.lit('{"name":"m'), k.cast("string"), F.lit('","kind":6,'), at(k, k + 1), F.lit("}"))), ",")
+    tree_ = F.concat(F.lit('[{"name":"T","kind":5,'), at(F.lit(0), F.lit(9)), F.lit(',"children":['), children, F.lit("]}]"))
+    flat = facts.flatten_symbols(table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("path"), tree_.alias("symbols")))
+    return flat.select("path", *[F.col(c).cast("long").alias(c) for c in ("seq", "parent_seq")], "name", *[F.col(c).cast("long").alias(c) for c in ("kind", "line", "end_line")])
+
+
+@query("""
+SELECT 'r' || s_nationkey || '/m' || s_suppkey || '/src/A.java' AS path, CASE s_nationkey % 3 WHEN 0 THEN 'r' || s_nationkey WHEN 1 THEN 'r' || s_nationkey ELSE 'r' || s_nationkey || '/m' || s_suppkey END AS root FROM supplier
+""")
+def build_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder whose build file governs each source: a settings file's, a Maven aggregator's, or the nearest build.gradle's."""
+    kind, top = F.col("s_nationkey") % 3, F.concat(F.lit("r"), F.col("s_nationkey").cast("string"))
+    inner = F.concat(top, F.lit("/m"), F.col("s_suppkey").cast("string"))
+    rows = table(spark, sf_dir, "supplier")
+    name = F.when(kind == 0, "settings.gradle.kts").when(kind == 1, "pom.xml").otherwise("build.gradle")
+    outer = rows.select(top.alias("dir"), name.alias("name"), (kind == 1).alias("aggregator")).distinct()
+    own = rows.select(inner.alias("dir"), F.when(kind == 1, "pom.xml").otherwise("build.gradle.kts").alias("name"), F.lit(False).alias("aggregator"))
+    return graph.build_root(rows.select(F.concat(inner, F.lit("/src/A.java")).alias("path")), outer.unionByName(own))
+
+
+@query("""
+SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'modules/m' || s_nationkey || '/src/main/java' WHEN 1 THEN 'm' || s_nationkey || '/src/test/java' WHEN 2 THEN 'src/main/java' END AS relative_path,
+  CASE WHEN s_suppkey % 4 = 2 THEN '.' ELSE 'm' || s_nationkey END AS module, CASE WHEN s_suppkey % 4 = 1 THEN 'test' ELSE 'main' END AS source_set FROM supplier WHERE s_suppkey % 4 < 3
+""")
+def source_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, m = F.col("s_suppkey"), F.concat(F.lit("m"), F.col("s_nationkey").cast("string"))
+    root = F.when(k % 4 == 0, F.concat(F.lit("modules/"), m, F.lit("/src/main/java/"))).when(k % 4 == 1, F.concat(m, F.lit("/src/test/java/"))).when(k % 4 == 2, "src/main/java/").otherwise(F.concat(F.lit("deep/er/"), m, F.lit("/src/main/java/")))
+    return tree.source_roots(table(spark, sf_dir, "supplier").select(F.concat(root, F.lit("p/S"), k.cast("string"), F.lit(".java")).alias("path")))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'error'")
+def last_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was last published for every user; an error publishes an empty list, which clears."""
+    ids = F.when(F.col("event_type") == "error", F.array().cast("array<bigint>")).otherwise(F.array("event_id"))
+    published = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), ids.alias("diagnostics"))
+    return changes.latest_diagnostics(published, "user_id", "at").select("user_id", F.col("diagnostics")[0].alias("event_id"))
+
+
+@query("""
+SELECT count(*) AS entries, count(*) FILTER (o_orderkey % 3 = 0) AS regex_facts, count(*) FILTER (o_orderkey % 3 = 1) AS symbol_facts, count(*) FILTER (o_orderkey % 4 = 0) AS dirty, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) AS started FROM orders
+""")
+def server_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    known = orders.select(k.alias("path"), F.lit(1.0).alias("mtime_ms"), F.lit(1).alias("size"), F.when(k % 3 == 0, "regex").when(k % 3 == 1, "documentSymbol").otherwise("none").alias("fact_source"))
+    listing = orders.select(k.alias("path"), F.lit(1.0).alias("mtime_ms"), F.when(k % 4 == 0, 2).otherwise(1).alias("size"))
+    runtimes = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("repo"), F.col("s_suppkey").alias("pid"), (F.col("s_suppkey") % 2 == 0).alias("started"))
+    return api.status(known, listing, runtimes).select("entries", "regex_facts", "symbol_facts", "dirty", "started")
+
+
+@query("SELECT user_id, event_type AS name, CAST(sum(event_id % 97) AS BIGINT) AS ms, count(*) AS n FROM events GROUP BY user_id, event_type")
+def phase_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.phase_totals(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), (F.col("event_id") % 97).alias("ms")), ["user_id"])
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN role || chr(10) || chr(10) || 'x' ELSE role END AS hover, role AS picked, '/c d/' || conv_id AS path, CAST(turn + 1 AS BIGINT) AS line, CAST(conv_id % 50 + 1 AS BIGINT) AS col FROM conversations")
+def hovers_and_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of hovers in the three forms they have, settings by dotted path, and places of locations and links."""
+    role, t = F.col("role"), F.col("turn") % 3
+    quoted = F.concat(F.lit('"'), role, F.lit('"'))
+    hover = F.when(t == 0, F.concat(F.lit('{"value":'), quoted, F.lit("}"))).when(t == 1, F.concat(F.lit("["), quoted, F.lit(',"",{"value":"x"}]'))).otherwise(quoted)
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", hover.alias("h"), F.concat(F.lit('{"java":{"home":'), quoted, F.lit("}}")).alias("settings"), F.when(t == 0, F.concat(F.lit("file:///c%20d/"), "conv_id")).alias("target_uri"),
+        F.when(t == 0, F.lit("file:///other")).otherwise(F.concat(F.lit("file:///c%20d/"), "conv_id")).alias("uri"), F.col("turn").alias("line"), (F.col("conv_id") % 50).alias("character"),
+    )
+    placed = api.describe_location(rows)
+    return placed.select("conv_id", "turn", api.hover_text(F.col("h")).alias("hover"), api.pick(F.col("settings"), "java.home").alias("picked"), "path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"))
