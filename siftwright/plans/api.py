@@ -94,9 +94,9 @@ def hover_text(contents: Column) -> Column:
     """The text of hover contents (JSON: a text, {value}, or a list of either), parts two lines apart."""
     parsed = F.try_parse_json(contents)
     parts = F.try_variant_get(parsed, "$", "array<string>")
-    values = F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.value"), p))
+    values = F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.value"), p, F.lit("")))
     one = F.coalesce(F.try_variant_get(parsed, "$.value", "string"), F.try_variant_get(parsed, "$", "string"), contents)
-    return F.when(parts.isNotNull(), F.array_join(F.filter(values, lambda v: v != ""), "\n\n")).otherwise(one)
+    return F.when(parts.isNotNull(), F.array_join(values, "\n\n")).otherwise(one)
 
 
 def phase_totals(timings: DataFrame, by: list[str]) -> DataFrame:
@@ -166,5 +166,32 @@ def payload_attribution(results: DataFrame, by: list[str], column: str = "json")
     return results.groupBy(*by).agg(F.count("*").alias("n"), *[(half_up(F.avg(c) * 100) / 100).alias(k) for k, c in parts.items()])
 
 
+# Up to how many GB of memory a tier goes, and what it runs: repositories, idle milliseconds, heap, imports at a time.
+TIERS = [(24, 1, 900_000, "1536m", 1), (48, 3, 2_700_000, "2g", 2), (None, 4, 2_700_000, "3g", 2)]
+
+
+def resource_defaults(memory_gb: Column) -> Column:
+    """(memory_gb, max_active_repos, idle_ttl_ms, heap, import_concurrency) of a machine."""
+    names = ("max_active_repos", "idle_ttl_ms", "heap", "import_concurrency")
+    out = None
+    for most, *values in reversed(TIERS):
+        tier = F.struct(half_up(memory_gb).alias("memory_gb"), *[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)])
+        out = tier if out is None else F.when(memory_gb <= most, tier).otherwise(out)
+    return out
+
+
+def positive_integer(value: Column, fallback: int) -> Column:
+    """The whole part of a text that is a number above 0, else the fallback."""
+    number = value.try_cast("double")
+    usable = (number > 0) & (number < float("inf"))
+    return F.when(F.coalesce(usable, F.lit(False)), F.floor(number)).otherwise(F.lit(fallback))
+
+
+def envelope(results: DataFrame, column: str = "json", error: str = "error") -> DataFrame:
+    """results with is_error and text: the payload's JSON, or the message of what failed."""
+    failed = F.col(error).isNotNull()
+    return results.withColumns({"is_error": failed, "text": F.when(failed, F.col(error)).otherwise(F.col(column))})
+
+
 def limits(column: Column) -> Column:
     return clamp(column, 1, 300, 80)

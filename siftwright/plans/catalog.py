@@ -754,7 +754,7 @@ def path_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, 'x = 1; ' AS code, 'Map' AS simple, 'Service' AS annotation, CASE p_size % 30 WHEN 0 THEN 'Kind0' WHEN 1 THEN 'File' WHEN 5 THEN 'Class' WHEN 6 THEN 'Method' WHEN 11 THEN 'Interface' WHEN 12 THEN 'Function' WHEN 26 THEN 'TypeParameter' WHEN 27 THEN 'Kind27' ELSE 'other' END AS kind,
+SELECT p_partkey, 'x = 1; ' AS code, 'Map' AS simple, 'Service' AS annotation, CASE p_size % 30 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'File' WHEN 5 THEN 'Class' WHEN 6 THEN 'Method' WHEN 11 THEN 'Interface' WHEN 12 THEN 'Function' WHEN 26 THEN 'TypeParameter' WHEN 27 THEN 'Kind27' ELSE 'other' END AS kind,
   CAST(CASE WHEN p_retailprice < 1 THEN 1 WHEN p_retailprice > 950 THEN 950 ELSE floor(p_retailprice) END AS BIGINT) AS clamped, CAST(floor(p_retailprice / 7 + 0.5) AS BIGINT) AS rounded FROM part
 """)
 def java_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -831,7 +831,7 @@ def phase_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.phase_totals(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), (F.col("event_id") % 97).alias("ms")), ["user_id"])
 
 
-@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN role || chr(10) || chr(10) || 'x' ELSE role END AS hover, role AS picked, '/c d/' || conv_id AS path, CAST(turn + 1 AS BIGINT) AS line, CAST(conv_id % 50 + 1 AS BIGINT) AS col FROM conversations")
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN role || repeat(chr(10), 4) || 'x' ELSE role END AS hover, role AS picked, '/c d/' || conv_id AS path, CAST(turn + 1 AS BIGINT) AS line, CAST(conv_id % 50 + 1 AS BIGINT) AS col FROM conversations")
 def hovers_and_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of hovers in the three forms they have, settings by dotted path, and places of locations and links."""
     role, t = F.col("role"), F.col("turn") % 3
@@ -843,3 +843,25 @@ def hovers_and_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = api.describe_location(rows)
     return placed.select("conv_id", "turn", api.hover_text(F.col("h")).alias("hover"), api.pick(F.col("settings"), "java.home").alias("picked"), "path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"))
+
+
+@query("""
+SELECT p_partkey, CAST(p_size AS BIGINT) AS memory_gb, CAST(CASE WHEN p_size <= 24 THEN 1 WHEN p_size <= 48 THEN 3 ELSE 4 END AS BIGINT) AS repos, CASE WHEN p_size <= 24 THEN '1536m' WHEN p_size <= 48 THEN '2g' ELSE '3g' END AS heap,
+  CAST(CASE p_partkey % 4 WHEN 0 THEN p_partkey // 2 + CASE WHEN p_partkey = 0 THEN 80 ELSE 0 END ELSE 80 END AS BIGINT) AS n FROM part
+""")
+def resource_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What machines of a part's size in GB run, and numbers read from texts, of which three in four aren't usable."""
+    k = F.col("p_partkey")
+    raw = F.when(k % 4 == 0, (k / 2).cast("string")).when(k % 4 == 1, "many").when(k % 4 == 2, F.concat(F.lit("-"), k.cast("string")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", api.resource_defaults(F.col("p_size")).alias("d"), api.positive_integer(raw, 80).cast("long").alias("n"))
+    return rows.select("p_partkey", F.col("d.memory_gb").cast("long").alias("memory_gb"), F.col("d.max_active_repos").cast("long").alias("repos"), "d.heap", "n")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 3 = 0 THEN 'P' || p_partkey ELSE 'Kept' END AS type_name FROM part")
+def facts_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of parts as sources, two thirds of which were parsed before and haven't changed."""
+    k = F.col("p_partkey")
+    files = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.lit(1).alias("mtime"), F.when(k % 3 == 0, 2).otherwise(1).alias("size"), F.concat(F.lit("public class P"), k.cast("string"), F.lit(" {\n}")).alias("content"))
+    made = facts.with_methods(facts.header_facts(files)).drop("content")
+    known = made.withColumns({"size": F.lit(1), "type_name": F.lit("Kept")})
+    return facts.refreshed(files, known).select("path", "type_name")
