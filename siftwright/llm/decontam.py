@@ -5,8 +5,8 @@ not needed: a window of ten words holds a five-word gram that starts at a multip
 is hashed and looked up, and only documents where one of them belongs to an item are scanned window by window. Hits are verified on the
 words themselves, never on hashes alone.
 
-The grams are a literal hash set that travels with the plan if there are at most MAX_LITERALS of them (the size is counted first);
-beyond that the same grams are looked up by joins.
+The grams are counted first. At most MAX_LITERALS of them are a literal hash set that travels with the plan; at most MAX_BROADCAST are a
+table that is broadcast and looked up by joins; beyond that the same joins shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ SIZE = 10
 ANCHOR = 5
 #: Grams that a plan may carry.
 MAX_LITERALS = 50_000
+#: Grams, with what is looked up of each, that are sent to every executor: some 100 bytes each.
+MAX_BROADCAST = 1_000_000
 #: What parts words: all ASCII but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,8 +57,9 @@ def hits(docs: DataFrame, windows: DataFrame, size: int = SIZE, max_literals: in
     if not lengths:
         return docs.withColumn("hits", F.expr(empty))
     grams = windows.select("n", "gram").distinct()
-    if grams.count() > max_literals:
-        return joined_hits(docs, grams, lengths, size, empty)
+    number = grams.count()
+    if number > max_literals:
+        return joined_hits(docs, grams, lengths, empty, number <= MAX_BROADCAST)
     known = {n: [r["gram"] for r in grams.filter(F.col("n") == n).collect()] for n in lengths}  # max_literals in all
     tests = []
     for n in lengths:
@@ -72,15 +75,16 @@ def hits(docs: DataFrame, windows: DataFrame, size: int = SIZE, max_literals: in
     return docs.withColumn("hits", F.expr(f"CASE WHEN {' OR '.join(tests)} THEN concat({', '.join(found)}) ELSE {empty} END"))
 
 
-def joined_hits(docs: DataFrame, grams: DataFrame, lengths: list[int], size: int, empty: str) -> DataFrame:
+def joined_hits(docs: DataFrame, grams: DataFrame, lengths: list[int], empty: str, few: bool) -> DataFrame:
     """hits() where the grams are too many to travel with the plan: their anchors and then windows meet documents in joins."""
+    sent = F.broadcast if few else lambda df: df
     keyed = checkpoint(docs.sparkSession, docs.withColumn("row", F.monotonically_increasing_id()))  # the numbers are read three times
     keys = []
     for n in lengths:
         width, step = (ANCHOR, n - ANCHOR + 1) if n >= 2 * ANCHOR else (n, 1)
         theirs = grams.filter(F.col("n") == n).select(F.split("gram", " ").alias("w")).select(F.expr(f"explode(transform(sequence(1, {n - width + 1}), p -> xxhash64(slice(w, p, {width}))))").alias("h")).distinct()
         ours = keyed.filter(F.expr(f"size(words) >= {n}")).select("row", F.expr(f"explode(array_distinct(transform(sequence(1, size(words) - {width - 1}, {step}), p -> xxhash64(slice(words, p, {width})))))").alias("h"))
-        keys.append(ours.join(theirs, "h", "left_semi").select("row"))
+        keys.append(ours.join(sent(theirs), "h", "left_semi").select("row"))
     some = keys[0]
     for k in keys[1:]:
         some = some.union(k)
@@ -89,7 +93,7 @@ def joined_hits(docs: DataFrame, grams: DataFrame, lengths: list[int], size: int
     for n in lengths:
         own = scan.filter(F.expr(f"size(words) >= {n}")).select("row", F.expr(f"explode(transform(sequence(1, size(words) - {n - 1}), p -> struct(p AS p, {n} AS n, concat_ws(' ', slice(words, p, {n})) AS gram)))").alias("h")).select("row", "h.*")
         places = own if places is None else places.union(own)
-    found = places.join(grams, ["n", "gram"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("p", "n", "gram")).alias("hits"))
+    found = places.join(sent(grams), ["n", "gram"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("p", "n", "gram")).alias("hits"))
     return keyed.join(found, "row", "left").withColumn("hits", F.coalesce("hits", F.expr(empty))).drop("row")
 
 

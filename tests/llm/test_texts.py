@@ -208,8 +208,9 @@ ITEMS = [(2, "One two THREE four five six seven eight nine ten eleven twelve"),
 DOCS = ["x one two three four five six seven eight nine ten y", "SHORT É ONE short é one", None, "", "one " * 3000, "a-b c,d.e f g h i j k", "É", "one two three four five six seven eight nine ten eleven twelve " * 3]
 
 
-@pytest.mark.parametrize("literals", [50_000, 0])
-def test_contamination_against_brute_force(spark, literals):
+@pytest.mark.parametrize(("literals", "broadcast"), [(50_000, 0), (0, 1000), (0, 0)])
+def test_contamination_against_brute_force(spark, literals, broadcast, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", broadcast)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = table(spark, DOCS + DOCS[:1])
     out = sorted(decontam.contamination(docs, items, max_literals=literals).collect())
