@@ -274,7 +274,7 @@ def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
                     regions, seen = [], key
                 coarse, fine = counts_of(packed)
                 if not regions or regions[-1].parts != len(fine):
-                    regions = [*regions[-1:], Region(len(fine))]  # partners have the same parts, or half as many
+                    regions = [*(r for r in regions if r.last > r.first), Region(len(fine))]  # smaller partners have fewer parts
                 for region in regions:
                     if region.last > region.first:
                         region.forget(n, least)

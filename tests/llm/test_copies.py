@@ -95,11 +95,11 @@ def test_family_finds_what_is_there(batches, block):
     assert all(len(a) > 2 * len(b) for a, b in zip(family.levels, family.levels[1:], strict=False))
 
 
-def brute_groups(rows, least=85):
+def brute_groups(rows, least=85, width=4):
     sets = []
     for doc, text in rows:
         w = [x for x in "".join(c.lower() if c.isascii() else c for c in (text or "")).replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if x]
-        sets.append((doc, {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()))
+        sets.append((doc, {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()))
     parent = {d: d for d, _ in sets}
 
     def top(x):
@@ -139,6 +139,20 @@ def test_jaccard_groups_against_brute_force(spark, rounds, large, monkeypatch):
     assert out == brute_groups(rows)
 
 
+@pytest.mark.parametrize(("width", "least"), [(5, 80), (2, 30), (1, 100)])
+def test_jaccard_groups_at_other_thresholds(spark, width, least):
+    r = np.random.default_rng(width)
+    words = [f"w{k}" for k in range(300)]
+    texts = []
+    for n in (400, 150, 60, 12, 5):
+        base = list(r.choice(words, n))
+        texts += [base[: max(1, int(n * share))] for share in (1, 1, 0.97, 0.9, 0.8, 0.6, 0.34, 0.2)]
+    rows = [(int(i), " ".join(t)) for i, t in zip(r.permutation(100), texts, strict=False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccardjoin.linked_groups(spark, docs, width, least).collect())
+    assert out == brute_groups(rows, least, width)
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.integers(0, 300))
 @settings(max_examples=150, deadline=None)
 def test_counts_never_overstate_a_difference(x, y, cut):
