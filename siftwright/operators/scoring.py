@@ -142,7 +142,7 @@ def package_proximity(a: Column, b: Column) -> Column:
 
 def stereotype(annotations: Column) -> Column:
     """The first annotation that is a stereotype."""
-    names = F.transform(annotations, lambda x: simple_annotation(F.regexp_extract(F.trim(x), r"^@?((?:[A-Za-z0-9_]+\.)*[A-Za-z_][A-Za-z0-9_]*)", 1)))
+    names = F.transform(annotations, lambda x: simple_annotation(F.trim(F.substring_index(F.trim(x), "(", 1))))
     return F.try_element_at(F.filter(names, lambda x: x.isin(STEREOTYPES)), F.lit(1))
 
 
