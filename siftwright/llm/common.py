@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import zipfile
@@ -44,6 +45,8 @@ def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 _held: dict[str, Callable[[], None]] = {}
+#: Gives the pages that former tasks freed back to the system, where the C library can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def hold(name: str, clear: Callable[[], None]) -> None:
@@ -56,6 +59,8 @@ def release(own: str = "") -> None:
     for name in [n for n in _held if n != own]:
         _held.pop(name)()
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftwright.llm.common import release
+from siftwright.llm.common import chunks, release, text_buffer
 from siftwright.llm.spans import Layer, Span, scan
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -173,7 +173,10 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("pii")
         for batch in batches:
-            texts = pa.array([None if t is None else masked(t) for t in batch.column(place).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if k == place else c for k, c in enumerate(batch.columns)], batch.schema.names)
+            _, offsets = text_buffer(batch.column(place))
+            for a, b in chunks(offsets):  # rows of a batch may hold very much text
+                part = batch.slice(a, b - a)
+                texts = pa.array([None if t is None else masked(t) for t in part.column(place).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if k == place else c for k, c in enumerate(part.columns)], batch.schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import checkpoint, chunks, mix64, release, text_buffer
+from siftwright.llm.common import checkpoint, chunks, hold, mix64, release, text_buffer
 from siftwright.llm.langid import SPACE, Model, count_grams, kneser_ney
 
 #: Labelled rows that the lexicon and the curve are fitted on, at most.
@@ -43,7 +43,7 @@ AS_SIGN, DROPPED, REPEATED = -1.0, -0.5, -0.5
 #: A sign or digit between spaced letters at their start costs this much more to leave out, about what a space costs the model.
 BREAK = -4.0
 #: Restored tokens that are remembered, look-ups made at a time, characters of a lattice laid out at a time.
-MEMORY, LOOKUPS, STRETCH = 100_000, 1 << 17, 2048
+MEMORY, LOOKUPS, STRETCH = 50_000, 1 << 14, 2048
 
 _unit = r"(?:[^\W\d_]|[0-9@$!|+€£])"
 SPACED = re.compile(rf"(?<![^\W_])(?:{_unit}[ .*_\-]+){{2,}}{_unit}(?![^\W_])")
@@ -468,6 +468,7 @@ def probabilities(batch: pa.RecordBatch, fitted) -> np.ndarray:
     global _restorer
     if _restorer is None or _restorer.model is not model:
         _restorer = Restorer(model)
+        hold("toxicity", forget)
     parts = [lexicon.features(texts) for _, texts in restored(batch, _restorer)]
     return 1 / (1 + np.exp(-np.clip(np.concatenate([*parts, np.zeros((0, FEATURES))]) @ w[:-1] + w[-1], -30, 30)))
 
@@ -475,6 +476,11 @@ def probabilities(batch: pa.RecordBatch, fitted) -> np.ndarray:
 _restorer: Restorer | None = None
 
 
+def forget() -> None:
+    global _restorer
+    _restorer = None
+
+
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs (doc_id, text).
 
