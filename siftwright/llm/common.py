@@ -38,6 +38,8 @@ def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     """
     sc = spark.sparkContext
     gc.collect()
+    if _trim is not None:
+        _trim(0)
     sc._jvm.System.gc()
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(spark))

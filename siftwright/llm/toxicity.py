@@ -334,10 +334,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     share = min(1.0, sample / max(1, n))
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = checkpoint(spark, docs.join(F.broadcast(picked), "doc_id"))
-    grams = count_grams(docs.select("text", F.lit("all").alias("lang"))).toPandas()
-    if grams.empty:
+    grams = count_grams(docs.select("text", F.lit("all").alias("lang"))).select("key", "n").toArrow()
+    if not grams.num_rows:
         return None
-    model = kneser_ney({"all": (grams["key"].to_numpy().astype(np.int64).view(np.uint64), grams["n"].to_numpy())})
+    model = kneser_ney({"all": (grams.column("key").to_numpy().view(np.uint64), grams.column("n").to_numpy())})
+    del grams
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
