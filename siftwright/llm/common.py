@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised kernels handle at a time: their working arrays are 8 to 40 times as large.
 CHUNK_BYTES = 1 << 19
+#: Rows of a batch between Spark and a worker: texts are long, and a batch is held several times over on either side.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,6 +70,8 @@ def release(own: str = "") -> None:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each Spark context, so that workers can import it wherever they run."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default, unless the session has a size of its own
+        spark.conf.set(BATCH_ROWS, "1000")
     if getattr(sc, "_siftwright_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
