@@ -12,12 +12,15 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised kernels handle at a time: their working arrays are 8 to 40 times as large.
 CHUNK_BYTES = 1 << 19
 #: Rows of a batch between Spark and a worker: texts are long, and a batch is held several times over on either side.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Operation by which a Java virtual machine gives freed native memory back.
+TRIM_NATIVE = "systemTrimNativeHeap"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,15 +42,39 @@ def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     Shuffle files of steps before that nothing refers to any more are let go first, which Spark does when the driver collects its garbage.
     """
     sc = spark.sparkContext
-    gc.collect()
-    if _trim is not None:
-        _trim(0)
-    sc._jvm.System.gc()
+    give_back(spark)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """The driver collects its garbage and gives freed pages back to the system, those of Python and those of its virtual machine."""
+    gc.collect()
+    if _trim is not None:
+        _trim(0)
+    spark.sparkContext._jvm.System.gc()
+    trim_native_heap(spark)
+
+
+def trim_native_heap(spark: SparkSession) -> str | None:
+    """What the driver's virtual machine says to giving back what it has freed outside its heap; None if it can't.
+
+    Its compilers use and free tens of MB with each large plan, in many threads, and the C library keeps that until it is asked. The
+    operation is called through its public interface, as the class behind it isn't open to reflection.
+    """
+    sc = spark.sparkContext
+    jvm, array = sc._jvm, sc._gateway.new_array
+    try:
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), TRIM_NATIVE
+        given[2], given[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # other virtual machines and C libraries
+        return None
+
+
 _held: dict[str, Callable[[], None]] = {}
 #: Gives the pages that former tasks freed back to the system, where the C library can.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

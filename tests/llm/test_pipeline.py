@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 pipeline = pytest.importorskip("corpus_pipeline")
-from siftwright.llm import packing, pii  # noqa: E402
+from siftwright.llm import common, packing, pii  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +81,32 @@ def test_empty_corpus(spark, corpus, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("step", ["checkpoint", "decontamination", "pii"])
+def test_the_driver_gives_freed_native_memory_back(spark, corpus, step):
+    folder, *_ = corpus
+    docs, jvm = spark.read.parquet(f"{folder}/documents.parquet"), spark.sparkContext._jvm
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, pid = field.get(None), jvm.java.lang.ProcessHandle.current().pid()
+    resident = lambda: int(open(f"/proc/{pid}/statm").read().split()[1]) * 4096 / 1e6
+    for _ in range(2):
+        jvm.System.gc()  # so that the heap itself has nothing to give
+    blocks = [unsafe.allocateMemory(60_000) for _ in range(6_000)]
+    for b in blocks:
+        unsafe.setMemory(b, 60_000, 1)
+    for b in blocks[:-1]:  # the last keeps the C library from returning what lies below it
+        unsafe.freeMemory(b)
+    full = resident()
+    common.checkpoint(spark, docs) if step == "checkpoint" else dict(pipeline.STAGES)[step](spark, docs, folder)
+    left = resident()
+    unsafe.freeMemory(blocks[-1])
+    assert left < full - 100, (full, left)  # of 360 MB; the stages have needs of their own meanwhile
+
+
+def test_virtual_machines_that_cannot_trim(spark, monkeypatch):
+    assert "rim" in common.trim_native_heap(spark)
+    monkeypatch.setattr(common, "TRIM_NATIVE", "noSuchOperation")
+    assert common.trim_native_heap(spark) is None
+    assert common.checkpoint(spark, spark.range(3)).count() == 3
