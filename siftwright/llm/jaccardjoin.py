@@ -8,8 +8,9 @@ The order goes by the number of documents that hold a shingle, counted over all,
 
 Regions with the same members are one. A large region is split again: into shells by the distance from the empty set, with the shell next
 to each, and those into blocks that meet in pairs. Within a part, documents run in order of size; what can be shared after the places of
-the region's shingle, and counts of shingles by hash part, coarse and then fine, bound the similarity from above. What is left is verified
-on the whole sets. Regions are joined recursively: at first each document meets its nearest neighbours of other groups, links that hold
+the region's shingle, and counts of shingles by hash part, coarse and then fine, bound the similarity from above. Two documents are
+compared in one part only: that of the first region they have in common, as each brings the regions before. What is left is verified on
+the whole sets. Regions are joined recursively: at first each document meets its nearest neighbours of other groups, links that hold
 merge groups, regions of one group drop out, and what is left is joined in full. So a group of very many near copies costs a few pairs for
 each, and still no two documents that link stay apart. Equal sets are one node from the start.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,25 +195,44 @@ def memberships(nodes: DataFrame, least: int) -> DataFrame:
 class Region:
     """Members of a region whose counts have the same parts, in order of size; those from first to last may still link with a later one."""
 
-    FIELDS = ("nodes", "sizes", "groups", "places", "coarse", "fine")
+    FIELDS = ("nodes", "sizes", "groups", "places", "visits", "sides", "coarse", "fine")
 
-    def __init__(self, parts: int):
-        self.parts, self.first, self.last = parts, 0, 0
+    def __init__(self, parts: int, low: int, high: int):
+        self.parts, self.crossed, self.first, self.last, self.gone = parts, low < high, 0, 0, 0
         self.nodes, self.sizes, self.groups, self.places = (np.zeros(16, np.int64) for _ in range(4))
+        self.visits, self.sides = np.zeros(16, bool), np.zeros(16, bool)
         self.coarse, self.fine = np.zeros((16, COARSE), np.uint8), np.zeros((16, parts), np.uint8)
+        self.earlier: dict[int, array] = {}  # the members of each region before, counted with those that are gone
 
     def forget(self, n: int, least: int) -> None:
         self.first += int(np.searchsorted(self.sizes[self.first : self.last], -(-least * n // 100)))
 
-    def near(self, n: int, place: int, coarse: np.ndarray, fine: np.ndarray, label: int, least: int, most: int | None) -> np.ndarray:
+    def met(self, before: list[int], others: np.ndarray) -> np.ndarray:
+        """Which of the others are also members of one of the regions before."""
+        out = np.zeros(self.last, bool)
+        for region in before:
+            if region in self.earlier:
+                at = np.frombuffer(self.earlier[region], np.int64) - self.gone
+                out[at[np.searchsorted(at, self.first) :]] = True
+        return out[others]
+
+    def near(self, n: int, label: int, place: int, visit: bool, side: bool, coarse: np.ndarray, fine: np.ndarray, before: list[int], least: int, most: int | None) -> np.ndarray:
         """Nodes of other groups that may share enough shingles; the nearest of recent ones if only `most` are asked for.
 
-        If the region is the first that a pair has in common, the shingles before their places aren't shared.
+        Only those that are compared here: the region is the first that a pair has in common, so the shingles before their places aren't
+        shared; two that visit this shell are compared in their own, and two of one block where only that block is.
         """
         start = self.first if most is None else max(self.first, self.last - RECENT)
         own = slice(start, self.last)
         shared = np.minimum(self.sizes[own] - self.places[own], n - place)
-        others = start + np.flatnonzero((self.groups[own] != label) & ((100 + least) * shared >= least * (self.sizes[own] + n)))
+        here = (self.groups[own] != label) & ((100 + least) * shared >= least * (self.sizes[own] + n))
+        if visit:
+            here &= ~self.visits[own]
+        if self.crossed:
+            here &= self.sides[own] != side
+        others = start + np.flatnonzero(here)
+        if len(others) and before:
+            others = others[~self.met(before, others)]
         apart = np.zeros(0)
         for counts, one, full in ((self.coarse, coarse, 255), (self.fine, fine, FULL)):
             if not len(others):
@@ -225,7 +246,7 @@ class Region:
             others = others[np.argpartition(apart, most - 1)[:most]]
         return self.nodes[others]
 
-    def hold(self, *member) -> None:
+    def hold(self, before: list[int], *member) -> None:
         if self.last == len(self.nodes):  # what is forgotten makes room, or the room doubles
             own, size = slice(self.first, self.last), max(16, 2 * (self.last - self.first))
             for name in self.FIELDS:
@@ -233,34 +254,41 @@ class Region:
                 new = np.zeros((size, *old.shape[1:]), old.dtype)
                 new[: self.last - self.first] = old[own]
                 setattr(self, name, new)
-            self.first, self.last = 0, self.last - self.first
+            self.first, self.last, self.gone = 0, self.last - self.first, self.gone + self.first
         for name, value in zip(self.FIELDS, member, strict=True):
             getattr(self, name)[self.last] = value
+        for region in before:
+            self.earlier.setdefault(region, array("q")).append(self.gone + self.last)
         self.last += 1
 
 
 def split(members: DataFrame, least: int) -> DataFrame:
-    """members (region, n, node, ...) with the shell and blocks of a region that each is in, so that no part of one is large.
+    """members (region, n, node, ...) with the shells and blocks of a region that each is in, so that no part of one is large.
 
     A region of more than LARGE members is cut into shells by their distance from the empty set, which is their size: partners are in the
     same shell or the next one. A shell that is still large is cut into blocks by hash, and every pair of blocks meets. So every pair that
-    may link meets in some part, and parts are regions of their own.
+    may link meets in some part, and parts are regions of their own. visit tells that the shell is not the member's own but the next, and
+    side that its block is the higher one of two.
     """
     width = float(np.log(100 / least)) * 1.001
     large = members.groupBy("region").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE)
     shell = F.floor(F.log(F.col("n")) / width).cast("int")
-    both = members.join(large, "region", "left").withColumn("shell", F.explode(F.when(F.col("size").isNull(), F.array(F.lit(-1))).otherwise(F.array(shell, shell + 1)))).drop("size")
+    at = lambda shell, visit: F.struct(shell.alias("shell"), F.lit(visit).alias("visit"))
+    shells = F.when(F.col("size").isNull(), F.array(at(F.lit(-1), False))).otherwise(F.array(at(shell, False), at(shell + 1, True)))
+    both = members.join(large, "region", "left").withColumn("in", F.explode(shells)).select(*members.columns, "in.shell", "in.visit")
     crowds = both.filter("shell >= 0").groupBy("region", "shell").agg(F.ceil(F.count("*") / LARGE).cast("int").alias("blocks")).filter("blocks > 1")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("low"), F.greatest(k, block).alias("high")))
-    alone = F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("low"), F.greatest(k, block).alias("high"), (k < block).alias("side")))
+    alone = F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(False).alias("side")))
     return both.join(crowds, ["region", "shell"], "left").withColumn("block", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets))).drop("blocks")
 
 
-def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
-    """(a, b) pairs of members (region, node, place, n, profile, label) of different labels that may link.
+def candidates(members: DataFrame, profiles: DataFrame, least: int, most: int | None) -> DataFrame:
+    """(a, b) pairs of members (region, node, place, label) of different labels that may link, by their profiles (node, n, profile, several).
 
-    For each the `most` nearest by the coarse counts, or all that the fine ones leave.
+    For each member of a region the `most` nearest by the coarse counts, or all that the fine ones leave. A pair is looked at in the first
+    region in common only, so of two nodes of different labels all regions in common must be there; a node of several texts, whose places
+    have no one order, is compared in all of its regions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,28 +296,31 @@ def candidates(members: DataFrame, least: int, most: int | None) -> DataFrame:
         regions, seen = [], None
         for batch in batches:
             found_a, found_b = [], []
-            columns = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("region", "shell", "low", "high", "node", "place", "n", "label")]
-            for *key, node, place, n, label, packed in zip(*columns, batch.column("profile").to_pylist(), strict=True):
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("region", "shell", "low", "high", "node", "place", "n", "label", "visit", "side")]
+            for *key, node, place, n, label, visit, side, before, packed in zip(*columns, batch.column("before").to_pylist(), batch.column("profile").to_pylist(), strict=True):
                 if seen != key:
                     regions, seen = [], key
                 coarse, fine = counts_of(packed)
                 if not regions or regions[-1].parts != len(fine):
-                    regions = [*(r for r in regions if r.last > r.first), Region(len(fine))]  # smaller partners have fewer parts
+                    regions = [*(r for r in regions if r.last > r.first), Region(len(fine), *key[2:])]  # smaller partners have fewer parts
                 for region in regions:
                     if region.last > region.first:
                         region.forget(n, least)
                         own = folded(fine, region.parts) if region.parts and region.parts < len(fine) else fine
-                        others = region.near(n, place, coarse, own, label, least, most)
+                        others = region.near(n, label, place, visit, side, coarse, own, before, least, most)
                         found_a.append(np.minimum(others, node))
                         found_b.append(np.maximum(others, node))
-                regions[-1].hold(node, n, label, place, coarse, fine)
+                regions[-1].hold(before, node, n, label, place, visit, side, coarse, fine)
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
 
     needed = F.col("profile") if most is None else F.substring("profile", 1, COARSE)
-    parts = split(members, least).select("region", "shell", "block.low", "block.high", "node", "place", "n", "label", needed.alias("profile"))
+    held = members.groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("place", "region"))).alias("held"))
+    each = held.join(profiles, "node").select("node", "label", "n", "several", needed.alias("profile"), F.col("held.region").alias("regions"), F.posexplode("held").alias("at", "one"))
+    brought = each.select("one.region", "node", "one.place", "n", "label", F.expr("if(several, slice(regions, 1, 0), slice(regions, 1, at))").alias("before"), "profile")
+    parts = split(brought, least).select("region", "shell", "block.low", "block.high", "block.side", "visit", "node", "place", "n", "label", "before", "profile")
     ordered = parts.repartition("region", "shell", "low", "high").sortWithinPartitions("region", "shell", "low", "high", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 @functools.lru_cache(256)
@@ -348,14 +379,16 @@ def linked_groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH, leas
     named = rows.filter("n > 0 and doc_id is not null")
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("n_low").alias("n_low"), F.first("head").alias("head"))
     members = checkpoint(spark, memberships(nodes, least))
-    profiles = named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "profile")
+    several = named.groupBy("doc_id").agg((F.min("digest") < F.max("digest")).alias("several")).filter("several")
+    own_profiles = named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    profiles = own_profiles.join(several, "doc_id", "left").select(F.col("doc_id").alias("node"), "n", "profile", F.coalesce("several", F.lit(False)).alias("several"))
     found = done = None
     for most in ROUNDS:
         labelled = members.withColumn("label", F.col("node"))
         if found is not None:
             labelled = members.join(found, "node", "left").select("region", "node", "place", F.coalesce("component", "node").alias("label"))
         mixed = labelled.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
-        pairs = candidates(labelled.join(mixed, "region").join(profiles, "node"), least, most)
+        pairs = candidates(labelled.join(mixed, "region"), profiles, least, most)
         pairs = checkpoint(spark, pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
         links = verified(spark, pairs, own, width, least)

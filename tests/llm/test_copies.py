@@ -153,6 +153,33 @@ def test_jaccard_groups_at_other_thresholds(spark, width, least):
     assert out == brute_groups(rows, least, width)
 
 
+def test_jaccard_pairs_are_made_once(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(300)]
+    base, rows = list(r.choice(words, 80)), []
+    for k in range(45):
+        c = base[: 80 - 6 * (k % 3)]
+        for _ in range(int(r.integers(1, 4))):
+            c[int(r.integers(len(c)))] = f"x{r.integers(1000)}"
+        rows.append((k, " ".join(c)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, candidates = [], jaccardjoin.candidates
+
+    def spy(*args):
+        with monkeypatch.context() as m:
+            m.setattr(type(docs), "distinct", lambda df: df)  # what the parts make, not what is left of it
+            pairs = [tuple(p) for p in candidates(*args).collect()]
+        made.append(pairs)
+        return spark.createDataFrame(sorted(set(pairs)), "a long, b long")
+
+    monkeypatch.setattr(jaccardjoin, "candidates", spy)
+    monkeypatch.setattr(jaccardjoin, "ROUNDS", (None,))
+    monkeypatch.setattr(jaccardjoin, "LARGE", 12)  # shells and blocks
+    out = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccardjoin.linked_groups(spark, docs, 4, 70).collect())
+    assert out == brute_groups(rows, 70)
+    assert len(made[0]) == len(set(made[0])) > 100
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.integers(0, 300))
 @settings(max_examples=150, deadline=None)
 def test_counts_never_overstate_a_difference(x, y, cut):
